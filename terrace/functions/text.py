@@ -78,35 +78,36 @@ def any_term(text: Column, terms: list[str]) -> Column:
     return found
 
 
+def _no_text() -> Column:
+    return F.array().cast("array<string>")
+
+
+def char_runs(text: Column, n: int) -> Column:
+    """Every run of ``n`` characters, in order.
+
+    A look-ahead walks the text once; slicing by position would start over from
+    the first byte for every run. The class keeps a run from starting inside a
+    surrogate pair.
+    """
+    start = r"[^\x{DC00}-\x{DFFF}]"
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({start}.{{{n - 1}}}))"), 1)
+
+
+def word_runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words, joined by a blank."""
+    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(
+        F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
+    ).otherwise(_no_text())
+
+
 def word_grams(text: Column, longest: int = 2) -> Column:
     """Lower-cased words of two or more characters and their runs up to ``longest``."""
     words = F.regexp_extract_all(F.lower(text), F.lit(rf"([{WORD}]{{2,}})"), 1)
-    return _runs(words, 1, longest, " ", lambda a, i, n: F.slice(a, i, n))
+    return F.concat(words, *[word_runs(words, n) for n in range(2, longest + 1)])
 
 
 def char_grams(text: Column, shortest: int = 2, longest: int = 5) -> Column:
     """Lower-cased character runs of every length in ``shortest..longest``."""
     low = F.lower(text)
-    grams = None
-    for n in range(shortest, longest + 1):
-        starts = F.sequence(F.lit(1), F.char_length(low) - (n - 1))
-        runs = F.when(
-            F.char_length(low) >= n, F.transform(starts, lambda i, n=n: F.substring(low, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-        grams = runs if grams is None else F.concat(grams, runs)
-    return grams
-
-
-def _runs(items: Column, shortest: int, longest: int, glue: str, cut) -> Column:
-    out = None
-    for n in range(shortest, longest + 1):
-        if n == 1:
-            runs = items
-        else:
-            starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
-            runs = F.when(
-                F.size(items) >= n,
-                F.transform(starts, lambda i, n=n: F.array_join(cut(items, i, F.lit(n)), glue)),
-            ).otherwise(F.array().cast("array<string>"))
-        out = runs if out is None else F.concat(out, runs)
-    return out
+    return F.concat(*[char_runs(low, n) for n in range(shortest, longest + 1)])

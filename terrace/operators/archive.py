@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from terrace.functions.numbers import clip
 from terrace.functions.text import message_key, strip
 from terrace.operators.cleaning import keep_first, keep_last
-from terrace.schemas import ARCHIVE, EMOTION_COLUMNS
+from terrace.schemas import ARCHIVE, EMOTION_COLUMNS, column_names
 
-ARCHIVE_COLUMNS = T.StructType.fromDDL(ARCHIVE).fieldNames()
+ARCHIVE_COLUMNS = column_names(ARCHIVE)
 
 # Allowed range per numeric column; None is open.
 RANGES: dict[str, tuple[float, float | None]] = {

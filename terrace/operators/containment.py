@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.text import literal_count
+from terrace.functions.text import char_runs, literal_count
 from terrace.session import estimated_bytes
 
 ANCHOR = 4
@@ -23,12 +23,7 @@ def anchor(term: Column) -> Column:
 
 def grams(text: Column, lengths: tuple[int, ...] = (1, 2, 3, 4)) -> Column:
     """Distinct runs of the given lengths; the lengths must cover every anchor."""
-    parts = []
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.char_length(text) - (n - 1))
-        runs = F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n)))
-        parts.append(F.when(F.char_length(text) >= n, runs).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[char_runs(text, n) for n in lengths]))
 
 
 def containment_join(texts: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:

@@ -43,18 +43,25 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(col: str | Column) -> Column:
-    """Six digits, never negative zero, so that two engines hash alike."""
-    name = col if isinstance(col, str) else None
-    out = F.round(F.col(col) if isinstance(col, str) else col, 6) + F.lit(0.0)
-    return out.alias(name) if name else out
+    """Six digits, never negative zero, so that two engines hash alike.
+
+    The offset keeps exact ties (0.0640625) from rounding by summation noise.
+    """
+    out = F.round((F.col(col) if isinstance(col, str) else col) + F.lit(1e-9), 6) + F.lit(0.0)
+    return out.alias(col) if isinstance(col, str) else out
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) + F.lit(0.0) for c in columns})
+    return df.withColumns({c: r6(F.col(c)) for c in columns})
+
+
+def s6(expression: str) -> str:
+    """``r6`` in the check dialect."""
+    return f"round({expression} + 1e-9, 6) + 0.0"
 
 
 def q6(*columns: str) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
+    return ", ".join(f"{s6(c)} AS {c}" for c in columns)
 
 
 def literal(text: str) -> str:

@@ -10,7 +10,7 @@ from terrace.operators import containment, mood, selector, situation, threat
 from terrace.operators.minutes import latest, posts_to_chat
 from terrace.registry.base import (
     BALANCE, EMO, EMO_SUM, PER_FIXTURE, THRESHOLD, classified, dominant_sql, ffill, mood_series, q6, query, r6,
-    rounded, state, term_sum,
+    rounded, s6, state, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
 
@@ -22,7 +22,7 @@ def minute_map(spark, sf):
     return posts_to_chat(w.posts(spark, sf), w.fixtures(spark, sf)).select("ingest_seq", "fixture_id", "minute")
 
 
-@query("lexicon_panic", f"""SELECT doc_id, round(tanh({term_sum('low', w.PANIC)}), 6) + 0.0 AS panic
+@query("lexicon_panic", f"""SELECT doc_id, {s6('tanh(' + term_sum('low', w.PANIC) + ')')} AS panic
     FROM (SELECT doc_id, lower(text) AS low FROM documents)""")
 def lexicon_panic(spark, sf):
     return lexicon.panic_score(w.documents(spark, sf), "text", w.PANIC).select("doc_id", r6("panic"))
@@ -64,7 +64,7 @@ def minute_profile(spark, sf):
     return rounded(mood.dense_profile(mood.minute_means(w.shared_chat(spark, sf))), *EMOTION_COLUMNS)
 
 
-@query("profile_panic", f"""SELECT fixture_id, minute, round(tanh(2 * ({BALANCE})), 6) + 0.0 AS panic,
+@query("profile_panic", f"""SELECT fixture_id, minute, {s6(f'tanh(2 * ({BALANCE}))')} AS panic,
     {dominant_sql()} AS dominant_emotion FROM prof""")
 def profile_panic(spark, sf):
     profile = mood.dense_profile(mood.minute_means(w.shared_chat(spark, sf)))
@@ -74,7 +74,7 @@ def profile_panic(spark, sf):
     )
 
 
-@query("simple_series", f"""SELECT fixture_id, minute, round(avg(p) OVER ({PER_FIXTURE} ROWS 4 PRECEDING), 6) + 0.0 AS crowd_panic_score
+@query("simple_series", f"""SELECT fixture_id, minute, {s6(f'avg(p) OVER ({PER_FIXTURE} ROWS 4 PRECEDING)')} AS crowd_panic_score
     FROM (SELECT fixture_id, minute, {ffill('panic', '0')} AS p FROM
       (SELECT fixture_id, unnest(range(0, max(minute) + 1)) AS minute FROM timed GROUP BY 1) LEFT JOIN
       (SELECT fixture_id, minute, avg(x) AS panic FROM timed JOIN (
@@ -92,7 +92,7 @@ def emotion_series(spark, sf):
     return rounded(mood_series(spark, sf), *SERIES_COLUMNS)
 
 
-@query("volatility", "SELECT fixture_id, minute, round(emotional_volatility, 6) + 0.0 AS emotional_volatility FROM series")
+@query("volatility", f"SELECT fixture_id, minute, {q6('emotional_volatility')} FROM series")
 def volatility(spark, sf):
     profile = mood.dense_profile(mood.minute_means(w.shared_chat(spark, sf)))
     return mood.with_volatility(profile).select("fixture_id", "minute", r6("emotional_volatility"))
@@ -103,7 +103,7 @@ def match_events(spark, sf):
     return threat.parse_commentary(w.commentary(spark, sf))
 
 
-@query("minute_xg", "SELECT fixture_id, minute, round(xg_value, 6) + 0.0 AS xg_value FROM mxg")
+@query("minute_xg", f"SELECT fixture_id, minute, {q6('xg_value')} FROM mxg")
 def minute_xg(spark, sf):
     return rounded(threat.minute_xg(threat.parse_commentary(w.commentary(spark, sf))), "xg_value")
 
@@ -163,7 +163,7 @@ _METRICS_SQL = " UNION ALL ".join(
 _METRIC_VALUE = "CASE metric " + " ".join(f"WHEN '{m}' THEN CAST({m} AS DOUBLE)" for m in situation.METRIC_LABELS) + " END"
 
 
-@query("key_metrics", f"""SELECT fixture_id, situation, position, metric, label, round({_METRIC_VALUE}, 6) + 0.0 AS value
+@query("key_metrics", f"""SELECT fixture_id, situation, position, metric, label, {s6(_METRIC_VALUE)} AS value
     FROM latest JOIN ({_METRICS_SQL}) USING (situation)""")
 def key_metrics(spark, sf):
     return rounded(situation.key_metrics(classified(spark, sf)), "value")
@@ -176,7 +176,7 @@ def latest_minute(spark, sf):
     )
 
 
-@query("top_flags", """SELECT fixture_id, minute, round(arbitrage_index, 6) + 0.0 AS arbitrage_index, CAST(position AS INTEGER) AS position
+@query("top_flags", f"""SELECT fixture_id, minute, {q6('arbitrage_index')}, CAST(position AS INTEGER) AS position
     FROM (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY arbitrage_index DESC, minute) AS position
           FROM st WHERE flagged) WHERE position <= 4""")
 def top_flags(spark, sf):
