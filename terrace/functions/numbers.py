@@ -15,7 +15,26 @@ def clip(col: Column, low: float | None = None, high: float | None = None) -> Co
 
 
 def half_even(col: Column, digits: int) -> Column:
-    return F.bround(col, digits)
+    """Round by scaling, ties to even: how array libraries round."""
+    scale = F.lit(10.0**digits)
+    return F.rint(col * scale) / scale
+
+
+def exact_round(col: Column, digits: int) -> Column:
+    """Round the exact binary value, true ties to even: how scalar Python rounds.
+
+    The scaled value is split into product and rounding error (error-free
+    multiplication), so 0.37235 stored just below the tie goes down.
+    """
+    scale = F.lit(10.0**digits)
+    big = col * F.lit(134217729.0)
+    head = big - (big - col)
+    product = col * scale
+    error = (head * scale - product) + (col - head) * scale
+    whole = F.floor(product).cast("double")
+    off_tie = (product - whole - 0.5) + error
+    up = F.when(off_tie > 0, 1.0).when(off_tie < 0, 0.0).otherwise(F.pmod(whole, F.lit(2.0)))
+    return (whole + up) / scale
 
 
 def digits_only(col: Column) -> Column:

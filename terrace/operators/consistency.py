@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.numbers import half_even, score_goals
+from terrace.functions.numbers import exact_round, score_goals
 from terrace.schemas import EMOTION_COLUMNS
 
 POSITIVE = ["joy", "confidence"]
@@ -58,7 +58,7 @@ def clarity() -> Column:
     volume = F.least(F.lit(1.0), F.col("volume") / F.lit(float(FULL_VOLUME)))
     w = CLARITY_WEIGHTS
     blend = w["margin"] * margin + w["coverage"] * F.col("coverage") + w["volume"] * volume
-    return half_even(F.least(F.lit(1.0), blend), 4)
+    return exact_round(F.least(F.lit(1.0), blend), 4)
 
 
 def with_clarity(mood: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.functions.numbers import half_even
+from terrace.functions.numbers import exact_round
 from terrace.functions.text import strip
 from terrace.operators.containment import anchor, grams
 
@@ -27,7 +27,7 @@ def implied_probabilities(prices: DataFrame) -> DataFrame:
     """
     event = Window.partitionBy("event_id")
     raw = prices.filter(F.col("price") > 0).withColumn("_raw", 1.0 / F.col("price"))
-    return raw.withColumn("probability", half_even(F.col("_raw") / F.sum("_raw").over(event), 4)).drop("_raw")
+    return raw.withColumn("probability", exact_round(F.col("_raw") / F.sum("_raw").over(event), 4)).drop("_raw")
 
 
 def market_rows(probabilities: DataFrame, events: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def market_rows(probabilities: DataFrame, events: DataFrame) -> DataFrame:
         of(F.col("outcome") == DRAW).alias("draw_prob"),
         of(F.col("outcome") == F.col("away_team")).alias("away_prob"),
         F.max_by("outcome", F.struct(F.col("probability"), -F.col("outcome_order"))).alias("favorite"),
-        half_even(F.max("probability"), 4).alias("certainty"),
+        exact_round(F.max("probability"), 4).alias("certainty"),
     )
 
 
@@ -88,4 +88,4 @@ def match_events(fixtures: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def divergence(panic: Column, certainty: Column) -> Column:
-    return half_even(F.abs(panic) * certainty, 4)
+    return exact_round(F.abs(panic) * certainty, 4)

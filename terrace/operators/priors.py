@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.numbers import half_even, score_goals
+from terrace.functions.numbers import exact_round, score_goals
 from terrace.functions.text import strip
 
 
@@ -70,5 +70,5 @@ def fixture_prior(fixtures: DataFrame, priors: DataFrame) -> DataFrame:
     joined = keyed.join(side("home"), "_home", "left").join(side("away"), "_away", "left")
     return joined.filter(F.col("home_played").isNotNull() | F.col("away_played").isNotNull()).select(
         "fixture_id", "home_played", "home_goal_diff", "away_played", "away_goal_diff",
-        half_even(F.col("home_goal_diff") - F.col("away_goal_diff"), 2).alias("edge"),
+        exact_round(F.col("home_goal_diff") - F.col("away_goal_diff"), 2).alias("edge"),
     )

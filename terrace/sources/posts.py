@@ -24,7 +24,9 @@ def _sequence() -> Column:
 
 def _items(landed: DataFrame, schema: str, path: str | None) -> DataFrame:
     parsed = F.from_json("payload", schema)
-    items = parsed[path] if path else parsed
+    items = parsed
+    for name in path.split(".") if path else []:
+        items = items[name]
     return landed.select(
         "fixture_id", "payload_order", F.posexplode(items).alias("_pos", "_item")
     ).withColumn("ingest_seq", _sequence())
