@@ -102,12 +102,22 @@ def word_runs(words: Column, n: int) -> Column:
 
 
 def word_grams(text: Column, longest: int = 2) -> Column:
-    """Lower-cased words of two or more characters and their runs up to ``longest``."""
+    """Lower-cased words of two or more characters and their runs up to ``longest``.
+
+    The word list is bound once per row as the single element of an array;
+    inlined into the run lambda it would be extracted again for every run.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(rf"([{WORD}]{{2,}})"), 1)
-    return F.concat(words, *[word_runs(words, n) for n in range(2, longest + 1)])
+    bound = F.transform(
+        F.array(words), lambda ws: F.concat(ws, *[word_runs(ws, n) for n in range(2, longest + 1)])
+    )
+    return F.get(bound, F.lit(0))
 
 
 def char_grams(text: Column, shortest: int = 2, longest: int = 5) -> Column:
     """Lower-cased character runs of every length in ``shortest..longest``."""
-    low = F.lower(text)
-    return F.concat(*[char_runs(low, n) for n in range(shortest, longest + 1)])
+    bound = F.transform(
+        F.array(F.lower(text)),
+        lambda low: F.concat(*[char_runs(low, n) for n in range(shortest, longest + 1)]),
+    )
+    return F.get(bound, F.lit(0))

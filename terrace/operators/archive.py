@@ -39,10 +39,9 @@ def validate_state(state: DataFrame, archived_at: Column | None = None) -> DataF
     wins, and gaps are filled in input order, not minute order. De-duplication
     comes first, so the fill runs over at most one row per match minute.
     """
-    minute = F.nanvl(F.col("minute").try_cast("double"), F.lit(None).cast("double"))
-    usable = state.withColumn("minute", F.greatest(minute.try_cast("bigint"), F.lit(0))).filter(
-        F.col("minute").isNotNull()
-    )
+    minute = F.nanvl(F.col("minute").try_cast("double"), F.lit(None).cast("double")).try_cast("bigint")
+    usable = state.withColumn("minute", minute).filter(F.col("minute").isNotNull())
+    usable = usable.withColumn("minute", F.greatest("minute", F.lit(0)))
     unique = keep_last(usable, ["fixture_id", "minute"])
     so_far = (
         Window.partitionBy("fixture_id").orderBy("ingest_seq")

@@ -29,9 +29,13 @@ def with_forward_threat(corpus: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 
 def corpus_truth(corpus: DataFrame, horizon: int = HORIZON, floor: float = THREAT_FLOOR) -> DataFrame:
-    """Label 1.0 where panic was not followed by threat."""
+    """Label 1.0 where panic was not followed by threat.
+
+    The sum is compared at nine digits: events are worth multiples of 0.01, and
+    a sum of exactly the floor must not depend on the order of addition.
+    """
     ahead = with_forward_threat(corpus, horizon)
-    truth = panicking() & (F.col("forward_threat") < floor)
+    truth = panicking() & (F.round("forward_threat", 9) < floor)
     return ahead.withColumn("overreaction", truth.cast("double"))
 
 

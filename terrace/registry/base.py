@@ -64,6 +64,17 @@ def q6(*columns: str) -> str:
     return ", ".join(f"{s6(c)} AS {c}" for c in columns)
 
 
+def exact4(x: str) -> str:
+    """Exact four-digit rounding of a double column, by error-free multiplication."""
+    head = f"({x} * 134217729e0 - ({x} * 134217729e0 - {x}))"
+    error = f"(({head} * 1e4 - {x} * 1e4) + ({x} - {head}) * 1e4)"
+    off_tie = f"(({x} * 1e4 - floor({x} * 1e4) - 0.5e0) + {error})"
+    return (
+        f"(floor({x} * 1e4) + CASE WHEN {off_tie} > 0 THEN 1 WHEN {off_tie} < 0 THEN 0 "
+        f"ELSE floor({x} * 1e4) % 2 END) / 1e4"
+    )
+
+
 def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

@@ -9,7 +9,7 @@ from terrace import workload as w
 from terrace.functions.numbers import score_goals
 from terrace.operators import consistency, market, narrative, priors, stats
 from terrace.operators.minutes import latest
-from terrace.registry.base import THRESHOLD, VIEWS, classified, literal, q6, query, rounded, s6
+from terrace.registry.base import THRESHOLD, VIEWS, classified, exact4, literal, q6, query, rounded, s6
 from terrace.registry.reaction_queries import side_moods
 from terrace.schemas import EMOTION_COLUMNS
 from terrace.sources import detail
@@ -25,7 +25,9 @@ VIEWS.update({
           SELECT fixture_id, 'home' AS side, home_team AS team, CAST(split_part(score, '-', 1) AS INTEGER) AS own, CAST(split_part(score, '-', 2) AS INTEGER) AS other FROM fx
           UNION ALL SELECT fixture_id, 'away', away_team, CAST(split_part(score, '-', 2) AS INTEGER), CAST(split_part(score, '-', 1) AS INTEGER) FROM fx) f
         LEFT JOIN latest l ON l.fixture_id = f.fixture_id LEFT JOIN keepers k ON k.fixture_id = f.fixture_id AND k.team = f.team""",
-    "clear": f"""SELECT *, round_even(CAST(least(1, 0.5 * ({_SORTED}[1] - {_SORTED}[2]) + 0.3 * coverage + 0.2 * least(1, volume / 30.0)) AS DECIMAL(38, 20)), 4)::DOUBLE AS clarity FROM side_mood""",
+    "clear0": f"""SELECT *, least(1e0, 0.5e0 * ({_SORTED}[1] - {_SORTED}[2]) + 0.3e0 * coverage + 0.2e0 * least(1e0, volume / 30e0)) AS c
+        FROM side_mood""",
+    "clear": f"SELECT * EXCLUDE (c), {exact4('c')} AS clarity FROM clear0",
     "verd": """SELECT fixture_id, side, m.team, clarity, dominant, status,
         CASE WHEN status = 'trailing' AND dominant IN ('joy', 'confidence') THEN 'conflict'
           WHEN status = 'leading' AND dominant IN ('panic', 'despair', 'anger') AND keeper_saves <= 2 THEN 'conflict' ELSE 'consistent' END AS verdict,

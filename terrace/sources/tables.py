@@ -60,7 +60,8 @@ def upsert(new: DataFrame, path: str, schema: str, keys: Sequence[str], replace_
     """Keyed merge into a bucketed table; running it twice changes nothing.
 
     ``replace_by`` names the key prefix whose old rows all go (a whole fixture);
-    by default rows are replaced one by one.
+    by default rows are replaced one by one. ``new`` must not read the table
+    itself: its files go while the merge commits.
     """
     spark = new.sparkSession
     key = keys[0]
