@@ -195,6 +195,9 @@ VIEWS: dict[str, str] = {
         ({list(PROTOTYPES)})[list_position(d, list_min(d))] AS situation,
         round_even(1 / list_sum(list_transform(d, lambda x: exp(-(x - list_min(d)) / 0.25))), 4) AS situation_confidence
         FROM dist""",
+    "fl": "SELECT fixture_id, minute FROM st WHERE flagged",
+    "alert_steps": """SELECT fixture_id, min(minute) AS m FROM fl GROUP BY 1 UNION ALL
+        SELECT fixture_id, (SELECT min(minute) FROM fl WHERE fl.fixture_id = a.fixture_id AND fl.minute >= a.m + 15) FROM alert_steps a WHERE a.m IS NOT NULL""",
     "latest": "SELECT * FROM cls QUALIFY row_number() OVER (PARTITION BY fixture_id ORDER BY minute DESC) = 1",
 }
 
@@ -212,7 +215,7 @@ def with_views(sql: str) -> str:
         return sql
     ordered = [n for n in VIEWS if n in needed]
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
-    return f"WITH {views}\n{sql}"
+    return f"WITH RECURSIVE {views}\n{sql}"
 
 
 # --- shared Spark views --------------------------------------------------------

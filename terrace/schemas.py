@@ -1,12 +1,15 @@
 """Fixed schemas of the tables, as DDL."""
 
+import re
+
 EMOTIONS = ("panic", "anger", "joy", "confidence", "despair", "surprise")
 EMOTION_COLUMNS = [f"emo_{name}" for name in EMOTIONS]
 
 
 def column_names(ddl: str) -> list[str]:
     """Names of a flat DDL, usable before a session exists."""
-    return [part.split()[0] for part in ddl.split(", ")]
+    flat = re.sub(r"<[^>]*>", "", ddl)
+    return [part.split()[0] for part in flat.split(", ")]
 
 
 RAW_REACTION = "fixture_id STRING, created_utc TIMESTAMP, message STRING, source STRING, author STRING"

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrace.operators.archive import merge_by_key
+from terrace.schemas import column_names
+from terrace.session import cut_lineage
 
 BUCKETS = 64
 
@@ -60,13 +62,13 @@ def upsert(new: DataFrame, path: str, schema: str, keys: Sequence[str], replace_
     """Keyed merge into a bucketed table; running it twice changes nothing.
 
     ``replace_by`` names the key prefix whose old rows all go (a whole fixture);
-    by default rows are replaced one by one. ``new`` must not read the table
-    itself: its files go while the merge commits.
+    by default rows are replaced one by one. ``new`` is materialised first: it
+    is read three times here, and it may itself come from the table.
     """
     spark = new.sparkSession
     key = keys[0]
-    names = T.StructType.fromDDL(schema).fieldNames()
-    rows = new.select(*names)
+    names = column_names(schema)
+    rows = cut_lineage(new.select(*names))
     touched = [r[0] for r in rows.select(bucket(F.col(key))).distinct().collect()]  # at most BUCKETS numbers
     if not touched:
         return
