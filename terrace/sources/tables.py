@@ -48,10 +48,13 @@ def load(spark: SparkSession, path: str, schema: str, key: str = "match_id", onl
 
 
 def write_bucketed(df: DataFrame, path: str, key: str, order: Sequence[str]) -> None:
-    """Overwrite the buckets present in ``df``; rows sorted inside the files."""
+    """Overwrite the buckets present in ``df``; rows sorted inside the files.
+
+    Rebalancing makes one file of a small bucket and several of a large one.
+    """
     keyed = df.withColumn("bucket", bucket(F.col(key)))
     (
-        keyed.repartition("bucket", F.pmod(F.hash(key), F.lit(8)))
+        keyed.hint("rebalance", F.col("bucket"))
         .sortWithinPartitions("bucket", *order)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
         .partitionBy("bucket").parquet(path)
