@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace import workload as w
+from terrace.session import fan_out
 
 
 def _payload(*fields: Column) -> Column:
@@ -21,7 +22,7 @@ def _texts(spark: SparkSession, sf: str, kinds: list[str]) -> DataFrame:
     documents = w.table(spark, sf, "documents")
     n = documents.agg(F.count(F.lit(1))).scalar()
     rows = w.events(spark, sf).filter(F.col("event_type").isin(*kinds)).withColumn("doc_id", F.pmod("event_id", n))
-    return rows.join(documents.select("doc_id", "text"), "doc_id").withColumns({
+    return rows.join(fan_out(documents.select("doc_id", "text")), "doc_id").withColumns({
         "author": F.concat(F.lit("u"), F.col("user_id").cast("string")),
         "iso": stamp(),
     })
@@ -266,7 +267,10 @@ def odds(spark, sf):
     key = F.when(F.col("l_linestatus") == "O", "h2h").otherwise(F.when(F.col("l_linenumber") <= 4, "h2h").otherwise("totals"))
     market = F.struct(key.alias("key"), F.array(outcome).alias("outcomes"))
     book = F.struct(F.array(market).alias("markets"))
-    return w.table(spark, sf, "lineitem").select(
+    lines = fan_out(w.table(spark, sf, "lineitem").select(
+        "l_partkey", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice"
+    ))
+    return lines.select(
         F.col("l_partkey").alias("event_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("payload_order"),
         _payload(F.lit("A").alias("home_team"), F.lit("R").alias("away_team"), F.array(book).alias("bookmakers")),
     )

@@ -17,7 +17,7 @@ from terrace.sources import tables
 
 @dataclass
 class Captured:
-    """Frames of one ingest pass, lazy except ``state``."""
+    """Frames of one ingest pass; ``chat`` and ``state`` are materialised, everything reads them."""
 
     chat: DataFrame
     lines: DataFrame
@@ -48,7 +48,7 @@ def capture(
     merged: DataFrame, lines: DataFrame, fixtures: DataFrame, threshold: float = selector.THRESHOLD,
     lexicon: Lexicon = EMOTION_TERMS,
 ) -> Captured:
-    chat = posts_to_chat(gather_reactions(merged, fixtures), fixtures)
+    chat = cut_lineage(posts_to_chat(gather_reactions(merged, fixtures), fixtures))
     state = cut_lineage(score_state(chat, lines, threshold, lexicon))
     return Captured(chat, lines, threat.parse_commentary(lines), state)
 

@@ -96,8 +96,7 @@ def trained_parity(spark, sf):
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    scores = training.cross_validate(_labelled(spark, sf), "word", 2000, "doc_id", iterations=20)
-    return spark.createDataFrame([(k, float(v)) for k, v in sorted(scores.items())], "metric STRING, value DOUBLE")
+    return training.cross_validate(_labelled(spark, sf), "word", 2000, "doc_id", iterations=20)
 
 
 @query("evaluation_record")

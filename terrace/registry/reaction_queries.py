@@ -67,7 +67,7 @@ def _tagged(spark, sf, df=None):
 def side_moods(spark, sf):
     """Tag and score every text once, then spread both over the posts."""
     shared = w.shared_chat(spark, sf)
-    texts = w.table(spark, sf, "documents").select("doc_id", F.col("text").alias("message"))
+    texts = w.documents(spark, sf).select("doc_id", F.col("text").alias("message"))
     fixtures = w.fixtures(spark, sf)
     tagged = attribution.tag_teams(shared.join(texts, "doc_id"), fixtures)
     return attribution.side_mood(tagged.drop("message"), fixtures)

@@ -66,21 +66,23 @@ def _counts(spark, sf):
     return textmodel.gram_counts(_docs(spark, sf), "doc_id", word_grams(F.col("text")))
 
 
-def _vocabulary(spark, sf):
+def _vocabulary(spark, sf, counts=None):
+    """``counts`` is shared with the caller, so that both read one exchange."""
     n = w.table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
-    return textmodel.fit_vocabulary(_counts(spark, sf), n, FEATURES)
+    return textmodel.fit_vocabulary(_counts(spark, sf) if counts is None else counts, n, FEATURES)
 
 
-def _model(spark, sf):
+def _model(spark, sf, counts):
     weights = F.array(*[
         F.pmod(F.char_length("term") * (i + 3) + F.ascii("term"), F.lit(7 + i)) / 5.0 - 0.5 for i in range(len(CLASSES))
     ])
-    return _vocabulary(spark, sf).select("term", "idf", weights.alias("weights"))
+    return _vocabulary(spark, sf, counts).select("term", "idf", weights.alias("weights"))
 
 
 def _scores(spark, sf):
+    counts = _counts(spark, sf)
     scores = textmodel.linear_scores(
-        w.table(spark, sf, "documents"), _counts(spark, sf), "doc_id", _model(spark, sf), CLASSES, INTERCEPT
+        w.table(spark, sf, "documents"), counts, "doc_id", _model(spark, sf, counts), CLASSES, INTERCEPT
     )
     return textmodel.with_probabilities(scores, CLASSES)
 
@@ -113,7 +115,8 @@ def vocabulary(spark, sf):
 
 @query("tfidf", f"SELECT doc_id, term, {q6('value')} FROM feats")
 def tfidf(spark, sf):
-    return rounded(textmodel.tfidf(_counts(spark, sf), "doc_id", _vocabulary(spark, sf)), "value")
+    counts = _counts(spark, sf)
+    return rounded(textmodel.tfidf(counts, "doc_id", _vocabulary(spark, sf, counts)), "value")
 
 
 @query("linear_scores", f"SELECT doc_id, {q6(*[f'prob_{c}' for c in CLASSES])}, prediction FROM soft")

@@ -100,7 +100,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("message"))
+    texts = documents(spark, sf_dir).select("doc_id", F.col("text").alias("message"))
     return posts(spark, sf_dir).join(texts, "doc_id")
 
 
