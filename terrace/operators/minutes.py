@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 LEAD_IN_MINUTES = 15
 MAX_MINUTE = 130
+MAX_GAP = 100_000
 
 
 def by_minute() -> WindowSpec:
@@ -49,7 +50,8 @@ def densify(per_minute: DataFrame, carry: dict[str, Column], empty: dict[str, Co
     is also stretched back to 0. ``empty`` gives the value of a column in the
     minutes before the first row, ``carry`` its value in the minutes after a
     row (the row's own value for a forward fill, a constant for a zero fill).
-    No calendar table and no second read of the input.
+    No calendar table and no second read of the input. A gap no match can have
+    (a misread minute stamp) fails the job instead of flooding one task.
     """
     order = by_minute()
     spans = per_minute.select(
@@ -57,7 +59,11 @@ def densify(per_minute: DataFrame, carry: dict[str, Column], empty: dict[str, Co
         F.coalesce(F.lead("minute").over(order) - 1, F.col("minute")).alias("_until"),
         F.when(F.lag("minute").over(order).isNull(), F.lit(0)).otherwise(F.col("minute")).alias("_from"),
     )
-    rows = spans.withColumn("_m", F.explode(F.sequence(F.col("_from"), F.col("_until"))))
+    broken = F.raise_error(F.concat(F.lit("gap of too many minutes in fixture "), F.col("fixture_id")))
+    minutes = F.when(F.col("_until") - F.col("_from") > MAX_GAP, broken.cast("array<bigint>")).otherwise(
+        F.sequence(F.col("_from"), F.col("_until"))
+    )
+    rows = spans.withColumn("_m", F.explode(minutes))
     picked = [
         F.when(F.col("_m") < F.col("minute"), empty[name])
         .when(F.col("_m") > F.col("minute"), after)
