@@ -21,16 +21,33 @@ LEXICON_HALF = 0.6
 LEXICON_CAP = 0.7
 
 
-def gram_counts(docs: DataFrame, key: str, grams: Column) -> DataFrame:
-    """(key, term, tf). A document's repeats combine in its own task before the shuffle."""
-    return (
-        docs.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
+def gram_counts(docs: DataFrame, key: str, grams: Column, known: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf). A document's repeats combine in its own task before the shuffle.
+
+    With a vocabulary (bounded by its feature limit), unknown terms go before
+    the shuffle too.
+    """
+    terms = docs.select(key, F.explode(grams).alias("term"))
+    if known is not None:
+        terms = terms.join(known.select("term"), "term", "left_semi")
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def fit_vocabulary(counts: DataFrame, documents: int | Column, max_features: int, min_df: int = 2) -> DataFrame:
-    """(term, df, idf) of the most frequent terms; ties go to the smaller term."""
-    per_term = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+def fit_vocabulary(docs: DataFrame, grams: Column, documents: int | Column, max_features: int, min_df: int = 2) -> DataFrame:
+    """(term, df, idf) of the most frequent terms; ties go to the smaller term.
+
+    Each row lists its grams once for the total and its distinct grams once for
+    the document count, so only per-term sums are shuffled, never (document,
+    term) pairs.
+    """
+    bound = docs.select(grams.alias("_g"))
+    counted = F.concat(
+        F.transform("_g", lambda g: F.struct(g.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))),
+        F.transform(F.array_distinct("_g"), lambda g: F.struct(g.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))),
+    )
+    per_term = bound.select(F.explode(counted).alias("c")).groupBy("c.term").agg(
+        F.sum("c.n").alias("total"), F.sum("c.d").alias("df")
+    )
     top = per_term.filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_features)
     n = documents if isinstance(documents, Column) else F.lit(documents)
     return top.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))

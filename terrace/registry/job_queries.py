@@ -85,7 +85,7 @@ def trained_parity(spark, sf):
     rows, intercepts = training.model_table(model)
     table = spark.createDataFrame(rows, "term STRING, idf DOUBLE, weights ARRAY<DOUBLE>")
     docs = w.documents(spark, sf)
-    counts = textmodel.gram_counts(docs, "doc_id", training.grams("word", F.col("text")))
+    counts = textmodel.gram_counts(docs, "doc_id", training.grams("word", F.col("text")), table)
     joined = textmodel.with_probabilities(
         textmodel.linear_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes
     )

@@ -13,6 +13,7 @@ from terrace.registry.base import (
     EMO_SUM, PER_FIXTURE, VIEWS, WORDS, dominant_sql, literal, q6, query, rounded, s6, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
+from terrace.session import cut_lineage
 
 FEATURES = 500
 CLASSES = ["anger", "despair", "joy", "panic", "surprise"]
@@ -62,27 +63,27 @@ def _docs(spark, sf):
     return w.documents(spark, sf).select("doc_id", "text")
 
 
-def _counts(spark, sf):
-    return textmodel.gram_counts(_docs(spark, sf), "doc_id", word_grams(F.col("text")))
+def _counts(spark, sf, known=None):
+    return textmodel.gram_counts(_docs(spark, sf), "doc_id", word_grams(F.col("text")), known)
 
 
-def _vocabulary(spark, sf, counts=None):
-    """``counts`` is shared with the caller, so that both read one exchange."""
+def _vocabulary(spark, sf):
     n = w.table(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
-    return textmodel.fit_vocabulary(_counts(spark, sf) if counts is None else counts, n, FEATURES)
+    return textmodel.fit_vocabulary(_docs(spark, sf), word_grams(F.col("text")), n, FEATURES)
 
 
-def _model(spark, sf, counts):
+def _model(spark, sf):
+    """Fitted vocabulary with given weights, materialised: it is used twice per scoring."""
     weights = F.array(*[
         F.pmod(F.char_length("term") * (i + 3) + F.ascii("term"), F.lit(7 + i)) / 5.0 - 0.5 for i in range(len(CLASSES))
     ])
-    return _vocabulary(spark, sf, counts).select("term", "idf", weights.alias("weights"))
+    return cut_lineage(_vocabulary(spark, sf).select("term", "idf", weights.alias("weights")))
 
 
 def _scores(spark, sf):
-    counts = _counts(spark, sf)
+    model = _model(spark, sf)
     scores = textmodel.linear_scores(
-        w.table(spark, sf, "documents"), counts, "doc_id", _model(spark, sf, counts), CLASSES, INTERCEPT
+        w.table(spark, sf, "documents"), _counts(spark, sf, model), "doc_id", model, CLASSES, INTERCEPT
     )
     return textmodel.with_probabilities(scores, CLASSES)
 
@@ -115,8 +116,8 @@ def vocabulary(spark, sf):
 
 @query("tfidf", f"SELECT doc_id, term, {q6('value')} FROM feats")
 def tfidf(spark, sf):
-    counts = _counts(spark, sf)
-    return rounded(textmodel.tfidf(counts, "doc_id", _vocabulary(spark, sf, counts)), "value")
+    vocabulary = cut_lineage(_vocabulary(spark, sf))
+    return rounded(textmodel.tfidf(_counts(spark, sf, vocabulary), "doc_id", vocabulary), "value")
 
 
 @query("linear_scores", f"SELECT doc_id, {q6(*[f'prob_{c}' for c in CLASSES])}, prediction FROM soft")
