@@ -9,7 +9,7 @@ from terrace import workload as w
 from terrace.functions.numbers import score_goals
 from terrace.operators import consistency, market, narrative, priors, stats
 from terrace.operators.minutes import latest
-from terrace.registry.base import THRESHOLD, VIEWS, classified, exact4, literal, q6, query, rounded, s6
+from terrace.registry.base import THRESHOLD, VIEWS, classified, exact4, q6, query, rounded, s6
 from terrace.registry.reaction_queries import side_moods
 from terrace.schemas import EMOTION_COLUMNS
 from terrace.sources import detail
@@ -322,6 +322,3 @@ def fixture_prior(spark, sf):
     return priors.fixture_prior(pairs, priors.team_priors(schedule(spark, sf))).select(
         "fixture_id", "home_played", "away_played", "edge"
     )
-
-
-assert literal

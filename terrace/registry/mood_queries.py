@@ -9,7 +9,7 @@ from terrace.functions import lexicon
 from terrace.operators import containment, mood, selector, situation, threat
 from terrace.operators.minutes import latest, posts_to_chat
 from terrace.registry.base import (
-    BALANCE, EMO, EMO_SUM, PER_FIXTURE, THRESHOLD, classified, dominant_sql, ffill, mood_series, q6, query, r6,
+    BALANCE, EMO_SUM, PER_FIXTURE, classified, dominant_sql, ffill, mood_series, q6, query, r6,
     rounded, s6, state, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
@@ -204,6 +204,3 @@ def minute_change(spark, sf):
 def last_minutes(spark, sf):
     timed = posts_to_chat(w.posts(spark, sf), w.fixtures(spark, sf))
     return timed.groupBy("fixture_id").agg(F.max("minute").alias("last_minute"))
-
-
-assert EMO and THRESHOLD

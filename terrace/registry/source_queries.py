@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrace import landed, schemas
+from terrace import landed
 from terrace import workload as w
 from terrace.functions.text import message_key
-from terrace.registry.base import AS_OF, VIEWS, literal, q6, query, rounded
+from terrace.registry.base import AS_OF, VIEWS, q6, query, rounded
 from terrace.registry.reaction_queries import BLANKS
 from terrace.sources import detail, fixtures, posts, tables
 
@@ -199,6 +199,3 @@ def labelled_text(spark, sf):
     parts = [(rows.filter(F.col("lang") == lang).drop("lang"), lang) for lang in langs]
     other = rows.filter(~F.col("lang").isin(langs)).select("doc_id", "label", "lang")
     return tables.labelled_text([*parts, (other, None)], {0: "low", 1: "good"}).select("doc_id", "lang", "y")
-
-
-assert schemas and literal

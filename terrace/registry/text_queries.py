@@ -10,7 +10,7 @@ from terrace.functions.text import char_grams, word_grams
 from terrace.operators import mood, textmodel
 from terrace.operators.minutes import posts_to_chat
 from terrace.registry.base import (
-    EMO_SUM, PER_FIXTURE, VIEWS, WORDS, dominant_sql, literal, q6, query, rounded, s6, term_sum,
+    EMO_SUM, PER_FIXTURE, VIEWS, WORDS, dominant_sql, q6, query, rounded, s6, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
 from terrace.session import cut_lineage
@@ -206,6 +206,3 @@ def scorer_parity(spark, sf):
 def stratified_folds(spark, sf):
     folds = textmodel.stratified_folds(w.table(spark, sf, "labels"), "quality", "doc_id")
     return folds.filter(F.col("fold").between(0, 4)).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
-
-
-assert literal

@@ -16,12 +16,10 @@ from terrace.operators.minutes import posts_to_chat
 from terrace.plans import ingest, nightly, training
 from terrace.registry.reaction_queries import _with_terms
 from terrace.operators import cleaning
-from terrace.schemas import EMOTION_COLUMNS
 from terrace.sources import tables
 from terrace.streaming import live
 
 SF = "/root/testdata/sf0.001"
-AS_OF = F.lit  # built lazily inside tests
 RAW = "fixture_id STRING, ingest_seq BIGINT, minute DOUBLE, crowd_panic_score DOUBLE, dominant_emotion STRING, comment_volume DOUBLE, flagged BOOLEAN"
 
 
@@ -234,6 +232,3 @@ def test_registered_queries_match_their_sql(spark, name):
 def test_contract_shape(spark):
     assert set(contract.oracle_sql()) <= set(contract.queries()) and len(contract.queries()) > 100
     assert contract.entry(spark).columns == ["fixture_id", "minute", "crowd_panic_score", "delta_xg_10min", "arbitrage_index"]
-
-
-assert EMOTION_COLUMNS
