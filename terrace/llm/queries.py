@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import byte_bpe, language, packing, quality, suffix_dedup, warc
+from terrace.llm import byte_bpe, language, near_dup, packing, quality, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, from text and metadata."""
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with similar sets of word pairs."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
