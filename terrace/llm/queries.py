@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrace.llm import byte_bpe, language, near_dup, packing, quality, suffix_dedup, warc
+from terrace.llm import ann, byte_bpe, embed_dedup, language, near_dup, packing, quality, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with similar sets of word pairs."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), 2, 80)
+
+
+@query
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label with cosine 0.93 or more."""
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
