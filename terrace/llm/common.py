@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,16 @@ def table_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def filtered(docs: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """Rows of ``docs`` that ``mask`` (a boolean for each row of a batch) keeps, with all columns, unshuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(mask(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node with an edge; component is its smallest reachable node.
 

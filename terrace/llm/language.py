@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import settings, slices, table_of
+from terrace.llm.common import filtered, settings, slices, table_of
 
 ORDER = 5
 FIT_DOCS = 1200
@@ -319,3 +319,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield table_of({"doc_id": batch.column(0).slice(i, j - i), "lang_pred": lang, "score": score, "cross_entropy": entropy, "accepted": accepted}, OUT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, OUT_DDL)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` whose text is in a learned language, all columns; all rows where none was learned."""
+
+    def mask(batch: pa.RecordBatch) -> np.ndarray:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        return np.concatenate([np.zeros(0, bool), *(model.judge(texts[i:j])[3] for i, j in slices([len(t) for t in texts], CHUNK_CHARS))])
+
+    settings(docs.sparkSession)
+    return filtered(docs, mask) if model.langs else docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace.llm.common import settings, slices, table_of
+from terrace.llm.common import filtered, settings, slices, table_of
 
 LABELLED_DOCS = 6000
 POOL_DOCS = 4000
@@ -238,3 +238,15 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
                 yield table_of({"doc_id": doc, "quality_score": score, "text_score": a, "meta_score": b, "accepted": score >= (model.threshold if model.text else 0)}, OUT)
 
     return _source(docs, model.metadata).mapInArrow(run, OUT_DDL)
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of ``docs`` that the model does not reject, all columns; all rows of an unfitted model."""
+
+    def mask(batch: pa.RecordBatch) -> np.ndarray:
+        texts = pa.array([t or "" for t in batch.column("text").to_pylist()], pa.string())
+        views = pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, *(batch.column(c) for c in model.metadata)], names=["doc_id", "text", *model.metadata])
+        return np.concatenate([np.zeros(0, bool), *(model.score(text, meta)[0] >= model.threshold for _, text, meta in _views(views))])
+
+    settings(docs.sparkSession)
+    return filtered(docs, mask) if model.text else docs

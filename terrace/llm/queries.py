@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ann, byte_bpe, embed_dedup, language, near_dup, packing, quality, suffix_dedup, warc
+from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, near_dup, packing, quality, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,13 @@ def tokenizer_file(name: str) -> str:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document left when later copies of 100-byte strings are removed."""
-    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 100).drop("kept_text")
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), 100).drop("kept_text", "carried")
+
+
+@query
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 @query

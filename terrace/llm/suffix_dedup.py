@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrace.llm.common import settings, slices, stored, table_of
 
@@ -320,13 +321,15 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def _finish(docs: DataFrame, text_out: bool) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    carried = docs.schema["carried"]
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+    kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in schema.names}
-            for doc, raw, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = []
+            for doc, raw, spans in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
                 runs: list[list[int]] = []
                 for s in sorted((s["start"], s["end"]) for s in spans or []):
                     if runs and s[0] <= runs[-1][1]:
@@ -335,29 +338,32 @@ def _finish(docs: DataFrame, text_out: bool) -> DataFrame:
                         runs.append(list(s))
                 edges = [0, *(x for r in runs for x in r), len(raw)]
                 kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if runs else raw
-                values = (doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text_out else None)
-                for name, value in zip(out, values, strict=True):
-                    out[name].append(value)
-            yield table_of(out, schema)
+                rows.append((doc, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if text_out else None))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [batch.column(3)], names=[*names, "carried"])
 
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, StructType.fromDDL(ddl).add(carried))
 
 
-def dedup(docs: DataFrame, length: int = 100, text_out: bool = False) -> DataFrame:
-    """One row per row of ``docs``: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text).
+def dedup(docs: DataFrame, length: int = 100, text_out: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, carried).
 
     A byte goes if a ``length``-byte string over it also starts earlier: in a
     document with a smaller doc_id, or before it in its own document. Null texts
-    count as empty; texts below ``length`` bytes lose nothing against others. A
-    row that repeats another one's doc_id lies at the same place, so neither is
-    the other's earlier copy and both get the same result; a null doc_id has no place,
-    so its row stays whole and is no source. An empty table gives no rows, other columns are
-    ignored. ``kept_text`` (on request) drops characters cut in half.
+    count as empty; texts below ``length`` bytes lose nothing. A row that repeats
+    another one's doc_id lies at the same place, so neither is the other's
+    earlier copy and both get the same result; a null doc_id has no place, so its
+    row stays whole and is no source. An empty table gives no rows. ``kept_text``
+    (on request) drops characters cut in half; ``carried`` is a struct of the
+    columns named in ``carry``, other columns are ignored.
     """
     settings(docs.sparkSession)
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    raw = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"),
+        F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"),
+    )
     placed = raw.filter("doc_id is not null")
-    spans = removed_spans(placed, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = placed.join(spans, placed.doc_id == spans.doc, "left").select("doc_id", "raw", "spans")
-    lost = raw.filter("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
+    spans = removed_spans(placed.select("doc_id", "raw"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = placed.join(spans, placed.doc_id == spans.doc, "left").select("doc_id", "raw", "spans", "carried")
+    lost = raw.filter("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), "carried")
     return _finish(joined.union(lost), text_out)
