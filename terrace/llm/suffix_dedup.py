@@ -33,8 +33,12 @@ WIDE_KEY = 2000
 ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
-BLOCKS = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-BLOCKS_DDL = "key long, content long, doc long, start int, end int"
+BLOCKS = pa.schema([
+    ("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("left", pa.int32()), ("right", pa.int32()),
+])
+BLOCKS_DDL = "key long, content long, doc long, start int, end int, left int, right int"
+FIRSTS = pa.schema([f for f in BLOCKS if f.name != "content"])
+FIRSTS_DDL = "key long, doc long, start int, end int, left int, right int"
 TEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()), ("whole", pa.bool_())])
 TEXTS_DDL = "key long, doc long, start int, bytes binary, whole boolean"
 SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
@@ -79,10 +83,15 @@ def window_minima(x: np.ndarray, size: int) -> np.ndarray:
 
 
 def blocks_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(key, content, document number, start, end) of the blocks of documents laid end to end."""
+    """(key, content, document number, start, end, left, right) of the blocks of documents laid end to end.
+
+    A string over the anchor holds half of the rest before the anchor or half of
+    it behind: left and right are hashes of the anchor with that half, 0 where the
+    document ends before. Blocks with neither in common have no string in common.
+    """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return (none,) * 7
     hashes = RollingHash(data)
     grams = hashes.windows(GRAM)
     bits = np.uint64(int(len(data)).bit_length())
@@ -98,7 +107,19 @@ def blocks_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     last[:-1] &= (place[1:] != place[:-1]) | ~inside[1:] | (doc_of[1:] != doc_of[:-1])
     start, end = np.flatnonzero(first), np.flatnonzero(last) + length
     doc = doc_of[start]
-    return grams[place[start]].view(np.int64), hashes.of(start, end).view(np.int64), doc, start - starts[doc], end - starts[doc]
+    anchor = place[start].astype(np.int64)
+    half = (length - GRAM) // 2
+    far = length - half
+    left, right = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
+    fits = anchor - half >= starts[doc]
+    left[fits] = _short(hashes.of(anchor[fits] - half, anchor[fits] + GRAM))
+    fits = anchor + far <= ends[doc]
+    right[fits] = _short(hashes.of(anchor[fits], anchor[fits] + far))
+    return grams[anchor].view(np.int64), hashes.of(start, end).view(np.int64), doc, start - starts[doc], end - starts[doc], left, right
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(33)).astype(np.int32) | np.int32(1)
 
 
 def _laid_out(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,7 +139,7 @@ def block_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, data, ends in _laid_out(batch):
-                key, content, doc, start, end = blocks_of(data, ends, length)
+                key, content, doc, start, end, left, right = blocks_of(data, ends, length)
                 if not len(key):
                     continue
                 keep = np.zeros(len(key), bool)
@@ -131,6 +152,8 @@ def block_rows(docs: DataFrame, length: int) -> DataFrame:
                     "content": pa.array(np.concatenate([content[keep], np.zeros(len(gone[0]), np.int64)]), mask=np.arange(keep.sum() + len(gone[0])) >= keep.sum()),
                     "doc": np.concatenate([ids[doc[keep]], gone[0]]),
                     "start": np.concatenate([start[keep], gone[1]]), "end": np.concatenate([end[keep], gone[2]]),
+                    "left": np.concatenate([left[keep], np.zeros(len(gone[0]), np.int32)]),
+                    "right": np.concatenate([right[keep], np.zeros(len(gone[0]), np.int32)]),
                 }
                 yield table_of(columns, BLOCKS)
 
@@ -151,26 +174,26 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def resolved(blocks: DataFrame) -> DataFrame:
-    """Sorted blocks to (key, doc, start, end): removed spans (key null), and first blocks of keys with different blocks."""
+    """Sorted blocks to first blocks of keys with different blocks, and removed spans (key null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # key and content of the last row
         waiting = None  # the only block so far of the last key
-        schema = pa.schema([BLOCKS.field("key"), *SPANS])
         for batch in batches:
             if not batch.num_rows:
                 continue
             local = np.asarray(batch.column(1).is_null())
-            key, doc, start, end = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+            key, doc, start, end, left, right = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5, 6))
+            whole = (key, doc, start, end, left, right)
             content = batch.column(1).fill_null(0).to_numpy()
             real = np.flatnonzero(~local)
-            out = [(None, doc[local], start[local], end[local])]
+            out = [(None, doc[local], start[local], end[local], None, None)]
             if len(real):
                 k, c = key[real], content[real]
                 same_key = np.concatenate([[before is not None and before[0] == k[0]], k[1:] == k[:-1]])
                 same = same_key & np.concatenate([[before is not None and before[1] == c[0]], c[1:] == c[:-1]])
                 later = real[same]
-                out.append((None, doc[later], start[later], end[later]))
+                out.append((None, doc[later], start[later], end[later], None, None))
                 firsts = real[~same]
                 if len(firsts):
                     continued = same_key[~same]
@@ -182,71 +205,77 @@ def resolved(blocks: DataFrame) -> DataFrame:
                         out.append(tuple(np.array([x]) for x in waiting))
                         waiting = None
                     if not more[-1]:
-                        waiting = (key[firsts[-1]], doc[firsts[-1]], start[firsts[-1]], end[firsts[-1]])
+                        waiting = tuple(c[firsts[-1]] for c in whole)
                     elif len(firsts) > 1 or continued[0]:
                         waiting = None
                     chosen = firsts[more]
-                    out.append((key[chosen], doc[chosen], start[chosen], end[chosen]))
+                    out.append(tuple(c[chosen] for c in whole))
                 before = k[-1], c[-1]
-            for key_of, d, s, e in out:
-                if len(d):
-                    if key_of is None:
-                        d, s, e = _merged(d, s, e)
-                    yield table_of({"key": key_of if key_of is not None else pa.nulls(len(d), pa.int64()), "doc": d, "start": s, "end": e}, schema)
+            for key_of, d, first, last, before_, behind in out:
+                if not len(d):
+                    continue
+                if key_of is None:
+                    d, first, last = _merged(d, first, last)
+                    key_of = before_ = behind = [None] * len(d)
+                yield table_of(dict(zip(FIRSTS.names, (key_of, d, first, last, before_, behind), strict=True)), FIRSTS)
 
-    return blocks.mapInArrow(run, "key long, " + SPANS_DDL)
+    return blocks.mapInArrow(run, FIRSTS_DDL)
 
 
-def previous_factors(data: np.ndarray, ends: np.ndarray, depth: int = 128) -> np.ndarray:
-    """Longest previous factor of every position, up to ``depth - 1`` bytes, within pieces that end at ``ends``.
+def previous_factors(data: np.ndarray, ends: np.ndarray, length: int, depth: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, longest previous factor up to ``depth - 1`` bytes) in pieces that end at ``ends``.
 
-    A factor starts at an earlier position and crosses no end of a piece.
+    Only positions with ``length`` bytes left in their piece are sorted: no other
+    one starts a string that counts, earlier or later. At most 2**21 bytes.
     """
     n = len(data)
+    low = np.int64((1 << 21) - 1)
     piece = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
     left = ends[piece] - np.arange(n)  # bytes to the end of the piece
-    # ranks of prefixes of 1, 2, 4, ... bytes; behind the end of a piece nothing
-    rank = data.astype(np.int64) + 1
-    ranks = [rank]
-    width = 1
+
+    def ahead(rank: np.ndarray, width: int) -> np.ndarray:
+        """Rank of what follows ``width`` bytes later; behind the end of a piece nothing."""
+        out = np.zeros(n, np.int64)
+        out[:n - width] = rank[width:]
+        out[left <= width] = 0
+        return out
+
+    # order-keeping ranks of prefixes of 1, 2, 4, ... bytes; position and rank sort as one number
+    ranks = [data.astype(np.int64) + 1]
+    ranks.append(ranks[0] * 257 + ahead(ranks[0], 1))
+    width = 2
     while 2 * width <= depth:
-        ahead = np.zeros(n, np.int64)
-        if width < n:
-            ahead[:n - width] = rank[width:]
-        ahead[left <= width] = 0
-        pair = rank * (n + 300) + ahead
-        order = np.argsort(pair)
-        new = np.concatenate([[True], pair[order[1:]] != pair[order[:-1]]])
+        coded = np.sort(((ranks[-1] << 21 | ahead(ranks[-1], width)) << 21) | np.arange(n))
+        order, pair = coded & low, coded >> 21
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.concatenate([[True], pair[1:] != pair[:-1]]))
         width *= 2
         ranks.append(rank)
-    suffixes = np.lexsort((np.arange(n), rank))
-    near = np.full((2, n), n)
-    place = np.append(suffixes, -1)  # place[n]: smaller than any position
-    for side, step in enumerate((-1, 1)):
-        found = np.arange(n) + step
-        found[(found < 0) | (found >= n)] = n
-        found = np.append(found, n)
-        while True:
-            larger = np.flatnonzero(place[found[:-1]] > suffixes)
-            if not len(larger):
-                break
+    starts = np.flatnonzero(left >= length)
+    suffixes = np.sort(ranks[-1][starts] << 21 | starts) & low
+    m = len(suffixes)
+    place = np.append(suffixes, -1)  # place[m]: smaller than any position
+    best = np.zeros(m, np.int64)
+    for step in (-1, 1):
+        # previous (next) smaller position in suffix order, by jumping along those found so far
+        found = np.arange(m) + step
+        found[(found < 0) | (found >= m)] = m
+        found = np.append(found, m)
+        larger = np.flatnonzero(place[found[:-1]] > suffixes)
+        while len(larger):
             found[larger] = found[found[larger]]
-        near[side] = found[:-1]
-    best = np.zeros(n, np.int64)
-    for side in (0, 1):
-        there = np.flatnonzero(near[side] < n)
-        a, b = suffixes[there], suffixes[near[side][there]]
+            larger = larger[place[found[larger]] > suffixes[larger]]
+        there = np.flatnonzero(found[:-1] < m)
+        a, b = suffixes[there], suffixes[found[there]]
+        room = np.minimum(left[a], left[b])
         same = np.zeros(len(a), np.int64)
         for level in range(len(ranks) - 1, -1, -1):
             wide = 1 << level
-            room = (same + wide <= left[a]) & (same + wide <= left[b])
-            fits = room.copy()
-            fits[room] = ranks[level][(a + same)[room]] == ranks[level][(b + same)[room]]
-            same += fits * wide
-        best[a] = np.maximum(best[a], same)
-    return best
+            at = np.flatnonzero(same + wide <= room)
+            equal = ranks[level][a[at] + same[at]] == ranks[level][b[at] + same[at]]
+            same[at[equal]] += wide
+        best[there] = np.maximum(best[there], same)
+    return suffixes, best
 
 
 def factor_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -256,8 +285,8 @@ def factor_spans(texts: DataFrame, length: int) -> DataFrame:
         rows = sorted(rows, key=lambda r: r[1:3])
         sizes = np.array([len(r[3]) for r in rows])
         ends = np.cumsum(sizes)
-        best = previous_factors(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), ends)
-        at = np.flatnonzero(best >= length)
+        at, best = previous_factors(np.frombuffer(b"".join([r[3] for r in rows]), np.uint8), ends, length)
+        at = np.sort(at[best >= length])
         piece = np.searchsorted(ends, at, side="right")
         doc = np.array([r[1] for r in rows], np.int64)[piece]
         start = np.array([r[2] for r in rows], np.int64)[piece] + at - (ends - sizes)[piece]
@@ -312,7 +341,10 @@ def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc, start, end) byte spans of ``docs`` (doc_id, raw) that are later copies; spans of a document may overlap."""
     blocks = block_rows(docs, length).repartition("key").sortWithinPartitions("key", "content", "doc", "start")
     first = stored(resolved(blocks), "blocks")
-    wanted = first.filter("key is not null").withColumn("wide", F.count(F.lit(1)).over(Window.partitionBy("key")) > WIDE_KEY)
+    wanted = first.filter("key is not null").repartition("key")
+    twins = [(F.col(side) != 0) & (F.count(F.lit(1)).over(Window.partitionBy("key", side)) > 1) for side in ("left", "right")]
+    wanted = wanted.withColumn("twin", twins[0] | twins[1]).filter("twin")
+    wanted = wanted.withColumn("wide", F.count(F.lit(1)).over(Window.partitionBy("key")) > WIDE_KEY)
     by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end", "wide")).alias("wanted"))
     # a repeated row would only repeat its blocks at the same places
     texts = docs.join(by_doc, docs.doc_id == by_doc.doc).select("doc_id", "raw", "wanted")
