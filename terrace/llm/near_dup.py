@@ -7,10 +7,10 @@ pairs, a collision-corrected estimate drops the hopeless ones, and the rest is
 decided on full shingle sets.
 
 Documents with equal sets are one class and only its first goes on. Small bands
-propose all their pairs. Large ones compare all members with a few pivots; what
-these links leave in different components is compared with further pivots, twice
-as many each round, until each band lies in one component or all its members
-were pivots. So a group of copies costs rows in proportion to its size.
+propose all their pairs. Large ones compare all members with four pivots. The
+documents that these links leave outside the largest component of their family
+(what large bands tie together) are compared with the whole family in blocks,
+exactly. So a group of copies costs rows in proportion to its size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm.common import components, settings, slices, stored, table_of
@@ -31,7 +31,8 @@ REGISTERS = 240
 BAND = 6
 MANTISSA = 10
 PAIRED = 16
-PIVOTS = 4
+STRAY_BLOCK = 128
+FAMILY_BLOCK = 256
 SLACK = 0.2
 CHUNK_BYTES = 4 << 20
 EMPTY = np.uint64(2**64 - 1)
@@ -207,45 +208,101 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "s_a", "s_b").mapInArrow(run, "u long, v long")
 
 
-def _with_component(members: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links)
-    return members.join(found, members.doc == found.node, "left").select(*members.columns, F.coalesce("component", "doc").alias("component"))
+def _family_links(meeting: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between strays and members of other components, from rows sorted by (family, stray_block, block).
+
+    One block of strays meets one block of the family: all shared counts come from
+    products of 0/1 matrices over bounded runs of shingles, and only a star for
+    each local component leaves the task.
+    """
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch | None:
+        rows.sort(key=lambda r: r[3])
+        sets = [np.frombuffer(r[6].as_buffer(), np.uint64) for r in rows]
+        doc, component = (np.array([r[i] for r in rows], np.int64) for i in (4, 5))
+        n = int(sum(r[3] == 0 for r in rows))
+        _, column = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros((n, len(rows) - n), np.float32)
+        for first in range(0, int(column[-1]) + 1, 4096):
+            i, j = np.searchsorted(column, (first, first + 4096))
+            here = np.zeros((len(rows), 4096), np.float32)
+            here[row[i:j], column[i:j] - first] = 1
+            shared += here[:n] @ here[n:].T
+        near = 100 * shared >= percent * (size[:n, None] + size[None, n:] - shared)
+        a, b = np.nonzero(near & (component[:n, None] != component[None, n:]))
+        if not len(a):
+            return None
+        star = {}
+        for x, y in sorted(zip(doc[a].tolist(), component[n + b].tolist(), strict=True)):
+            star.setdefault((x, y), y)
+        return table_of({"u": [k[0] for k in star], "v": [k[1] for k in star]}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            plain = [batch.column(i).to_pylist() for i in range(6)]
+            for row in zip(*plain, batch.column(6), strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    out = settle(held)
+                    held = []
+                    if out is not None:
+                        yield out
+                held.append(row)
+        if held and (out := settle(held)) is not None:
+            yield out
+
+    return meeting.mapInArrow(run, "u long, v long")
+
+
+def _strays_against_families(members: DataFrame, candidates: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of large bands that the pivots missed.
+
+    Documents that share large bands form a family. Where its links so far leave
+    documents outside its largest component, these strays are compared with the
+    whole family, block by block.
+    """
+    families = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "family")
+    linked = components(found)
+    placed = members.join(families, members.doc == families.node).select("doc", "family").join(linked, F.col("doc") == linked.node, "left")
+    placed = stored(placed.select("doc", "family", F.coalesce("component", "doc").alias("component")), "families")
+    sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    largest = largest.filter(F.col("all") > F.col("top.n")).select(
+        "family", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.n")) / STRAY_BLOCK).cast("int").alias("stray_blocks"),
+        F.ceil(F.col("all") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    mixed_ = placed.join(largest, "family")
+    own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = mixed_.filter("component <> main").select("family", own("stray_blocks").alias("stray_block"), every("blocks").alias("block"), F.lit(0).alias("side"), "doc", "component")
+    rest = mixed_.select("family", every("stray_blocks").alias("stray_block"), own("blocks").alias("block"), F.lit(1).alias("side"), "doc", "component")
+    meeting = strays.union(rest).join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("family", "stray_block", "block", "side", "doc", "component", "shingles")
+    meeting = meeting.repartition("family", "stray_block", "block").sortWithinPartitions("family", "stray_block", "block")
+    return _family_links(meeting, percent)
 
 
 def links(docs: DataFrame, feats: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) that connect every component of the class representatives in ``feats``."""
     slim = feats.select("doc_id", "n", "registers")
     rows = feats.filter("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("p0"), F.max("doc").alias("p1"), F.min_by("doc", F.xxhash64("doc")).alias("p2"), F.max_by("doc", F.xxhash64("doc")).alias("p3")).filter("size > 1")
     members = stored(rows.join(sizes, "key"), "members")
     small = members.filter(F.col("size") <= PAIRED).select("key", "doc")
     pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").filter("a < b").select("a", "b")
-    by_place = Window.partitionBy("key").orderBy("doc")
-    large = members.filter(F.col("size") > PAIRED).select("key", "doc", F.row_number().over(by_place).alias("place"))
-    large = stored(large, "large")
-
-    def against_pivots(rows: DataFrame, least: int, most: int) -> DataFrame:
-        pivots = rows.filter(F.col("place").between(least, most)).select("key", F.col("doc").alias("pivot"), F.col("place").alias("at"), *([F.col("component").alias("other")] if "component" in rows.columns else []))
-        met = rows.join(pivots, "key").filter("place > at")
-        met = met.filter("component <> other") if "component" in rows.columns else met
-        return met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-
-    candidates = pairs.union(against_pivots(large, 1, PIVOTS)).distinct()
-    hopeful = stored(_hopeful(candidates, slim, percent), "hopeful")
-    wanted = hopeful.select(F.col("a").alias("doc_id")).union(hopeful.select(F.col("b").alias("doc_id"))).union(large.select(F.col("doc").alias("doc_id"))).distinct()
+    large = members.filter(F.col("size") > PAIRED)
+    # the pivots are the same documents in most bands of a family
+    met = large.select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot")).filter("doc <> pivot").distinct()
+    met = stored(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct(), "pivots")
+    hopeful = stored(_hopeful(pairs.union(met).distinct(), slim, percent), "hopeful")
+    crowd = large.select("doc").distinct()
+    wanted = hopeful.select(F.col("a").alias("doc_id")).union(hopeful.select(F.col("b").alias("doc_id"))).union(crowd.select(F.col("doc").alias("doc_id"))).distinct()
     sets = stored(full_sets(docs.join(wanted, "doc_id").select("doc_id", "text"), words).dropDuplicates(["doc_id"]), "sets")
     found = stored(_confirmed(hopeful, sets, percent), "links")
-    done, wave = PIVOTS, 2 * PIVOTS
-    while True:
-        placed = _with_component(large, found)
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("last")).filter((F.col("lo") < F.col("hi")) & (F.col("last") > done))
-        large = stored(placed.join(split.select("key"), "key", "left_semi"), "large")
-        if large.isEmpty():
-            return found
-        more = _confirmed(_hopeful(against_pivots(large, done + 1, done + wave).distinct(), slim, percent), sets, percent)
-        found = stored(found.union(more), "links")
-        large = large.drop("component")
-        done, wave = done + wave, 2 * wave
+    return found.union(_strays_against_families(crowd, met, found, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
