@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.functions.text import any_term, letter_runs, normalised
+from terrace.functions.text import any_term, letter_runs, normalised, strip
 
 NEWEST = 1000
 PER_AUTHOR = 5
@@ -77,9 +77,9 @@ def cap_authors(df: DataFrame, limit: int = PER_AUTHOR) -> DataFrame:
     in one task.
     """
     author = F.coalesce(F.col("author"), F.lit(""))
-    blank = F.trim(author) == ""
+    blank = strip(author) == ""
     group = Window.partitionBy(
-        "fixture_id", "author", F.when(blank, F.col("ingest_seq")).otherwise(F.lit(-1))
+        "fixture_id", "author", F.when(blank, F.col("ingest_seq"))
     ).orderBy("ingest_seq")
     return df.withColumn("_rank", F.row_number().over(group)).filter(F.col("_rank") <= limit).drop("_rank")
 

@@ -44,7 +44,7 @@ def market_rows(probabilities: DataFrame, events: DataFrame) -> DataFrame:
         of(F.col("outcome") == F.col("home_team")).alias("home_prob"),
         of(F.col("outcome") == DRAW).alias("draw_prob"),
         of(F.col("outcome") == F.col("away_team")).alias("away_prob"),
-        F.max_by("outcome", F.struct(F.col("probability"), -F.col("outcome_order"))).alias("favorite"),
+        F.min_by("outcome", F.struct(-F.col("probability"), F.col("outcome_order"))).alias("favorite"),
         exact_round(F.max("probability"), 4).alias("certainty"),
     )
 

@@ -55,7 +55,8 @@ def team_priors(schedule: DataFrame, team_stats: DataFrame | None = None, update
 def fixture_prior(fixtures: DataFrame, priors: DataFrame) -> DataFrame:
     """Both sides' priors and the goal-difference edge; no row when neither side is known."""
     first = priors.groupBy(F.lower(F.col("team")).alias("_team")).agg(
-        F.first(F.struct("goals_for_per_match", "goals_against_per_match", "matches_played")).alias("_p")
+        # of spellings that differ in case alone, the first in order
+        F.min_by(F.struct("goals_for_per_match", "goals_against_per_match", "matches_played"), F.col("team")).alias("_p")
     )
 
     def side(name: str) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.text import strip
+from terrace.functions.text import BLANK, strip
 from terrace.operators.minutes import last_rows, zero_filled
 
 THREAT_WINDOW = 10
+# A larger stamp is a misread one; it would stretch the fixture's dense minutes.
+LAST_POSSIBLE = 1000
 
 # Ordered patterns, the first that matches names the event.
 EVENT_PATTERNS: list[tuple[str, str, float]] = [
@@ -24,7 +26,7 @@ EVENT_PATTERNS: list[tuple[str, str, float]] = [
 ]
 
 # Minute stamp (stoppage part ignored), optional team, body.
-LINE = r"(?d)^\s*(\p{Nd}+)(?:\+\p{Nd}+)?'\s*(?:([A-Za-z .'-]+?)\s*:)?\s*(.+)$"
+LINE = rf"(?d)^[{BLANK}]*(\p{{Nd}}+)(?:\+\p{{Nd}}+)?'[{BLANK}]*(?:([A-Za-z .'-]+?)[{BLANK}]*:)?[{BLANK}]*(.+)$"
 
 
 def _first_match(body: Column, values: list[Column], otherwise: Column) -> Column:
@@ -35,13 +37,24 @@ def _first_match(body: Column, values: list[Column], otherwise: Column) -> Colum
     return chain.otherwise(otherwise)
 
 
+def _minute(line: Column) -> Column:
+    return F.regexp_extract(line, LINE, 1).try_cast("bigint")
+
+
+def _possible(line: Column) -> Column:
+    return F.coalesce(_minute(line) <= LAST_POSSIBLE, F.lit(False))
+
+
 def parse_commentary(lines: DataFrame) -> DataFrame:
-    """``line`` to (minute, team, event_type, xg_value); non-lines are dropped."""
+    """``line`` to (minute, team, event_type, xg_value); non-lines and lines with an impossible minute are dropped.
+
+    ``misread_lines`` gives the latter.
+    """
     line = F.coalesce(F.col("line"), F.lit(""))
     team = F.regexp_extract(line, LINE, 2)
-    parts = lines.filter(line.rlike(LINE)).select(
+    parts = lines.filter(line.rlike(LINE) & _possible(line)).select(
         *[c for c in lines.columns if c != "line"],
-        F.regexp_extract(line, LINE, 1).cast("bigint").alias("minute"),
+        _minute(line).alias("minute"),
         F.when(team == "", F.lit("unknown")).otherwise(strip(team)).alias("team"),
         F.lower(F.regexp_extract(line, LINE, 3)).alias("_body"),
     )
@@ -56,6 +69,12 @@ def parse_commentary(lines: DataFrame) -> DataFrame:
     )
 
 
+def misread_lines(lines: DataFrame) -> DataFrame:
+    """Lines that look like play-by-play but whose minute no match can have."""
+    line = F.coalesce(F.col("line"), F.lit(""))
+    return lines.filter(line.rlike(LINE) & ~_possible(line))
+
+
 def minute_xg(events: DataFrame) -> DataFrame:
     """Summed xG per minute, minutes without events at 0."""
     per_minute = events.groupBy("fixture_id", "minute").agg(F.sum("xg_value").alias("xg_value"))

@@ -53,7 +53,7 @@ VIEWS.update({
 
 def _reactions(df):
     return df.select(
-        "fixture_id", F.floor(F.col("ingest_seq") / 1_000_000).alias("position"),
+        "fixture_id", F.col("ingest_seq.payload_order").alias("position"),
         F.unix_micros("created_utc").alias("micros"), message_key(F.col("message")).alias("key"), "source", "author",
     )
 
@@ -157,7 +157,7 @@ def key_events(spark, sf):
 def odds_flat(spark, sf):
     flat = detail.odds(landed.odds(spark, sf))
     return rounded(flat, "price").select(
-        "event_id", F.floor(F.col("feed_order") / 10_000_000_000).alias("position"), "outcome", "price"
+        "event_id", F.col("feed_order.payload_order").alias("position"), "outcome", "price"
     )
 
 

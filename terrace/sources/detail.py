@@ -105,12 +105,12 @@ def odds(landed: DataFrame) -> DataFrame:
     books = landed.select(
         "event_id", "payload_order",
         F.posexplode(F.from_json("payload", schemas.ODDS_EVENT)["bookmakers"]).alias("_pos", "b"),
-    ).withColumn("_b", _position("_pos"))
-    markets = books.select("event_id", "_b", F.posexplode("b.markets").alias("_m", "m")).filter(F.col("m.key") == "h2h")
-    outcomes = markets.select("event_id", "_b", "_m", F.posexplode("m.outcomes").alias("_o", "o"))
-    order = (F.col("_b") * 100 + F.col("_m")) * 100 + F.col("_o")
+    )
+    markets = books.select("event_id", "payload_order", "_pos", F.posexplode("b.markets").alias("_m", "m")).filter(F.col("m.key") == "h2h")
+    outcomes = markets.select("event_id", "payload_order", "_pos", "_m", F.posexplode("m.outcomes").alias("_o", "o"))
+    order = F.struct(F.col("payload_order").cast("bigint").alias("payload_order"), F.col("_pos").alias("book"), F.col("_m").alias("market"), F.col("_o").alias("outcome"))
     return outcomes.filter((_blank(F.col("o.name")) != "") & (F.col("o.price") > 0)).select(
-        "event_id", order.cast("bigint").alias("feed_order"), F.col("o.name").alias("outcome"), F.col("o.price").alias("price")
+        "event_id", order.alias("feed_order"), F.col("o.name").alias("outcome"), F.col("o.price").alias("price")
     )
 
 

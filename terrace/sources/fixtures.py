@@ -33,7 +33,7 @@ def scoreboard(landed: DataFrame) -> DataFrame:
         F.coalesce(leading_digits(text(status["displayClock"])), F.lit(0)).alias("clock_minute"),
         text(home["team"]["displayName"]).alias("home_team"), text(away["team"]["displayName"]).alias("away_team"),
         F.concat(text(home["score"], "0"), F.lit("-"), text(away["score"], "0")).alias("score"),
-        (F.col("payload_order") * 1_000_000 + F.col("_pos")).alias("feed_order"),
+        F.struct(F.col("payload_order").cast("bigint").alias("payload_order"), F.col("_pos").alias("position")).alias("feed_order"),
     )
 
 

@@ -14,12 +14,10 @@ from terrace import schemas
 from terrace.functions.text import parse_utc, strip, strip_tags
 from terrace.operators.cleaning import keep_first, union_sources
 
-PER_PAYLOAD = 1_000_000
-PER_SOURCE = 1_000_000_000_000
-
 
 def _sequence() -> Column:
-    return F.col("payload_order") * F.lit(PER_PAYLOAD) + F.col("_pos")
+    """Place of an item: its payload, then its position in it. A struct, so no size makes two places alike."""
+    return F.struct(F.col("payload_order").cast("bigint").alias("payload_order"), F.col("_pos").alias("position"))
 
 
 def _items(landed: DataFrame, schema: str, path: str | None) -> DataFrame:
@@ -134,6 +132,4 @@ def search_answers(landed: DataFrame, as_of: Column | None = None) -> DataFrame:
 def gather(parts: list[DataFrame]) -> DataFrame:
     """All sources under one ingestion order."""
     merged = union_sources(parts)
-    return merged.withColumn(
-        "ingest_seq", F.col("source_rank") * F.lit(PER_SOURCE) + F.col("ingest_seq")
-    ).drop("source_rank")
+    return merged.withColumn("ingest_seq", F.struct("source_rank", F.col("ingest_seq").alias("place"))).drop("source_rank")

@@ -133,3 +133,12 @@ def test_minute_change_and_flags(rows):
 def test_alert_gap(rows):
     df = rows([("F", m) for m in (3, 5, 17, 18, 33, 40, 48, 48)], "fixture_id STRING, minute BIGINT")
     assert sorted(r.minute for r in alerts.throttle(df).collect()) == [3, 18, 33, 48]
+
+
+def test_bad_minute_stamps_do_not_end_the_job(spark):
+    """No-break spaces count as blanks; impossible stamps are set aside with their line."""
+    from terrace.operators.threat import misread_lines, parse_commentary
+
+    lines = spark.createDataFrame([(1, " 7' Ajax : goal!"), (2, "9" * 20 + "' Ajax: corner"), (3, "99999999' Ajax: corner"), (4, "8' Ajax: corner")], "seq INT, line STRING")
+    assert sorted((r.seq, r.minute, r.team, r.event_type) for r in parse_commentary(lines).collect()) == [(1, 7, "Ajax", "goal"), (4, 8, "Ajax", "corner")]
+    assert sorted(r.seq for r in misread_lines(lines).collect()) == [2, 3]
