@@ -64,46 +64,61 @@ def _first(kind: str, source: str) -> str:
         QUALIFY row_number() OVER (PARTITION BY fixture_id, event_id // 3 ORDER BY event_id) = 1) WHERE micros IS NOT NULL"""
 
 
-@query("post_pages", _first("click", "bluesky"))
+_PLAIN = {
+    "post_pages": _first("click", "bluesky"),
+    "tag_timelines": _first("view", "mastodon").replace("micros, key,", f"""micros,
+    substr(sha256(trim(regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g'), {BLANKS})), 1, 24) AS key,"""),
+    "thread_comments": """SELECT fixture_id, event_id AS position, epoch_us(ts) // 1000000 * 1000000 AS micros, key, 'reddit' AS source, author
+    FROM txt WHERE event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 5 <> 0""",
+    "live_chat": """SELECT fixture_id, event_id AS position, micros, key, 'youtube' AS source, author FROM txt
+    WHERE event_type = 'signup' AND micros IS NOT NULL""",
+    "search_answers": f"""SELECT fixture_id, event_id AS position, coalesce(micros, epoch_us(TIMESTAMP '{AS_OF}')) AS micros, key,
+    'x' AS source, author FROM txt WHERE event_type = 'error' AND event_id % 4 <> 0""",
+}
+
+
+@query("post_pages", _PLAIN["post_pages"])
 def post_pages(spark, sf):
     return _reactions(posts.post_pages(landed.post_pages(spark, sf)))
 
 
-@query("tag_timelines", _first("view", "mastodon").replace("micros, key,", f"""micros,
-    substr(sha256(trim(regexp_replace('<p>' || text || '</p>', '<[^>]+>', ' ', 'g'), {BLANKS})), 1, 24) AS key,"""))
+@query("tag_timelines", _PLAIN["tag_timelines"])
 def tag_timelines(spark, sf):
     return _reactions(posts.tag_timelines(landed.tag_timelines(spark, sf)))
 
 
-@query("thread_comments", """SELECT fixture_id, event_id AS position, epoch_us(ts) // 1000000 * 1000000 AS micros, key, 'reddit' AS source, author
-    FROM txt WHERE event_type = 'purchase' AND event_id % 2 = 0 AND event_id % 5 <> 0""")
+@query("thread_comments", _PLAIN["thread_comments"])
 def thread_comments(spark, sf):
     threads = posts.match_threads(landed.thread_searches(spark, sf))
     return _reactions(posts.thread_comments(landed.thread_comments(spark, sf), threads))
 
 
-@query("live_chat", """SELECT fixture_id, event_id AS position, micros, key, 'youtube' AS source, author FROM txt
-    WHERE event_type = 'signup' AND micros IS NOT NULL""")
+@query("live_chat", _PLAIN["live_chat"])
 def live_chat(spark, sf):
     return _reactions(posts.live_chat(landed.live_chat(spark, sf)))
 
 
-@query("search_answers", f"""SELECT fixture_id, event_id AS position, coalesce(micros, epoch_us(TIMESTAMP '{AS_OF}')) AS micros, key,
-    'x' AS source, author FROM txt WHERE event_type = 'error' AND event_id % 4 <> 0""")
+@query("search_answers", _PLAIN["search_answers"])
 def search_answers(spark, sf):
     return _reactions(posts.search_answers(landed.search_answers(spark, sf), F.lit(AS_OF).cast("timestamp")))
 
 
-@query("gathered_sources", f"""SELECT source, count(*) AS n FROM (
-    {_first('click', 'bluesky')} UNION ALL {_first('view', 'mastodon')}
-    UNION ALL SELECT fixture_id, event_id, micros, key, 'youtube', author FROM txt WHERE event_type = 'signup' AND micros IS NOT NULL
-    ) GROUP BY 1""")
+_GATHERED = [("post_pages", 0), ("tag_timelines", 1), ("thread_comments", 2), ("live_chat", 3), ("search_answers", 4)]
+
+
+@query("gathered_sources", " UNION ALL ".join(f"SELECT fixture_id, {rank} AS source_rank, position, micros, key, source, author FROM ({_PLAIN[name]})" for name, rank in _GATHERED))
 def gathered_sources(spark, sf):
+    threads = posts.match_threads(landed.thread_searches(spark, sf))
     merged = posts.gather([
         posts.post_pages(landed.post_pages(spark, sf)), posts.tag_timelines(landed.tag_timelines(spark, sf)),
-        posts.live_chat(landed.live_chat(spark, sf)),
+        posts.thread_comments(landed.thread_comments(spark, sf), threads), posts.live_chat(landed.live_chat(spark, sf)),
+        posts.search_answers(landed.search_answers(spark, sf), F.lit(AS_OF).cast("timestamp")),
     ])
-    return merged.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    place = F.col("ingest_seq")
+    return merged.select(
+        "fixture_id", place["source_rank"].alias("source_rank"), place["place"]["payload_order"].alias("position"),
+        F.unix_micros("created_utc").alias("micros"), message_key(F.col("message")).alias("key"), "source", "author",
+    )
 
 
 @query("scoreboard", """SELECT CAST(slot AS VARCHAR) AS event_id, away_team || ' at ' || home_team AS name,
