@@ -259,16 +259,17 @@ def _family_links(meeting: DataFrame, percent: int) -> DataFrame:
     return meeting.mapInArrow(run, "u long, v long")
 
 
-def _strays_against_families(members: DataFrame, candidates: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _strays_against_families(crowd: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of large bands that the pivots missed.
 
-    Documents that share large bands form a family. Where its links so far leave
+    ``crowd`` pairs each document with the first one of each of its large bands;
+    documents that share large bands form a family. Where its links so far leave
     documents outside its largest component, these strays are compared with the
     whole family, block by block.
     """
-    families = components(candidates.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("component", "family")
+    families = components(crowd.select(F.col("doc").alias("u"), F.col("p0").alias("v"))).withColumnRenamed("component", "family")
     linked = components(found)
-    placed = members.join(families, members.doc == families.node).select("doc", "family").join(linked, F.col("doc") == linked.node, "left")
+    placed = families.withColumnRenamed("node", "doc").join(linked, F.col("doc") == linked.node, "left")
     placed = stored(placed.select("doc", "family", F.coalesce("component", "doc").alias("component")), "families")
     sizes = placed.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
@@ -298,11 +299,11 @@ def links(docs: DataFrame, feats: DataFrame, words: int, percent: int) -> DataFr
     met = large.select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot")).filter("doc <> pivot").distinct()
     met = stored(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct(), "pivots")
     hopeful = stored(_hopeful(pairs.union(met).distinct(), slim, percent), "hopeful")
-    crowd = large.select("doc").distinct()
+    crowd = stored(large.select("doc", "p0").distinct(), "crowd")
     wanted = hopeful.select(F.col("a").alias("doc_id")).union(hopeful.select(F.col("b").alias("doc_id"))).union(crowd.select(F.col("doc").alias("doc_id"))).distinct()
     sets = stored(full_sets(docs.join(wanted, "doc_id").select("doc_id", "text"), words).dropDuplicates(["doc_id"]), "sets")
     found = stored(_confirmed(hopeful, sets, percent), "links")
-    return found.union(_strays_against_families(crowd, met, found, sets, percent))
+    return found.union(_strays_against_families(crowd, found, sets, percent))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
