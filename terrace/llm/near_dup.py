@@ -37,8 +37,12 @@ SLACK = 0.2
 CHUNK_BYTES = 4 << 20
 EMPTY = np.uint64(2**64 - 1)
 
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))])
-FEATURES_DDL = "doc_id long, n long, digest binary, registers binary, bands array<long>"
+# up to so many ids (16 bytes each in a broadcast table) the wanted texts are picked where they lie
+LISTED_IDS = 4_000_000
+
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("registers", pa.binary())])
+FEATURES_DDL = "doc_id long, n long, digest binary, registers binary"
+BANDS = pa.schema([("key", pa.int64()), ("doc", pa.int64())])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
 
 
@@ -142,7 +146,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, digest, registers, bands) of (doc_id, text); bands only where an unequal set can be near."""
+    """(doc_id, n, digest, registers) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,17 +154,27 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(texts, words)
                 n = np.array([len(s) for s in sets])
                 rows = registers(sets)
-                keys = bands(rows)
                 yield table_of({
                     "doc_id": doc, "n": n,
                     "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
                     "registers": [r.tobytes() if k else None for r, k in zip(rows, n, strict=True)],
-                    "bands": [list(keys[i]) if k > 1 else None for i, k in enumerate(n)],
                 }, FEATURES)
 
     return docs.mapInArrow(run, FEATURES_DDL)
 
 
+def band_rows(feats: DataFrame) -> DataFrame:
+    """(key, doc) for each band of the sets that an unequal set can be near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+                yield table_of({"key": keys.ravel(), "doc": np.repeat(batch.column(0).to_numpy(), keys.shape[1])}, BANDS)
+
+    return feats.filter("n > 1").select("doc_id", "registers").mapInArrow(run, "key long, doc long")
+
+
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,19 +303,25 @@ def _strays_against_families(crowd: DataFrame, found: DataFrame, sets: DataFrame
 def links(docs: DataFrame, feats: DataFrame, words: int, percent: int) -> DataFrame:
     """Confirmed links (u, v) that connect every component of the class representatives in ``feats``."""
     slim = feats.select("doc_id", "n", "registers")
-    rows = feats.filter("bands is not null").select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("doc").alias("p0"), F.max("doc").alias("p1"), F.min_by("doc", F.xxhash64("doc")).alias("p2"), F.max_by("doc", F.xxhash64("doc")).alias("p3")).filter("size > 1")
+    rows = band_rows(feats)
+    # counts alone go with all keys; pivots are sought in the large bands only
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = stored(rows.join(sizes, "key"), "members")
     small = members.filter(F.col("size") <= PAIRED).select("key", "doc")
     pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").filter("a < b").select("a", "b")
-    large = members.filter(F.col("size") > PAIRED)
+    large = members.filter(F.col("size") > PAIRED).select("key", "doc")
+    pivots = large.groupBy("key").agg(F.min("doc").alias("p0"), F.max("doc").alias("p1"), F.min_by("doc", F.xxhash64("doc")).alias("p2"), F.max_by("doc", F.xxhash64("doc")).alias("p3"))
     # the pivots are the same documents in most bands of a family
-    met = large.select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot")).filter("doc <> pivot").distinct()
-    met = stored(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct(), "pivots")
+    led = stored(large.join(pivots, "key").select("doc", "p0", "p1", "p2", "p3").distinct(), "led")
+    met = led.select("doc", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot")).filter("doc <> pivot")
+    met = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
     hopeful = stored(_hopeful(pairs.union(met).distinct(), slim, percent), "hopeful")
-    crowd = stored(large.select("doc", "p0").distinct(), "crowd")
+    crowd = stored(led.select("doc", "p0").distinct(), "crowd")
     wanted = hopeful.select(F.col("a").alias("doc_id")).union(hopeful.select(F.col("b").alias("doc_id"))).union(crowd.select(F.col("doc").alias("doc_id"))).distinct()
-    sets = stored(full_sets(docs.join(wanted, "doc_id").select("doc_id", "text"), words).dropDuplicates(["doc_id"]), "sets")
+    wanted = stored(wanted, "wanted")
+    if wanted.count() <= LISTED_IDS:
+        wanted = F.broadcast(wanted)
+    sets = stored(full_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), words).dropDuplicates(["doc_id"]), "sets")
     found = stored(_confirmed(hopeful, sets, percent), "links")
     return found.union(_strays_against_families(crowd, found, sets, percent))
 
