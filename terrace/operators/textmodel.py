@@ -160,16 +160,17 @@ def parity_gap(left: DataFrame, right: DataFrame, key: str, columns: Sequence[st
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42, salt: int = 256) -> DataFrame:
-    """Add ``fold``: each class spread evenly, without one window per class.
+    """Add ``fold``: the folds of a class differ by one row at the most.
 
-    A class may hold most of the rows, so each is cut into ``salt`` hash
-    buckets and numbered inside them; the bucket number rotates the start.
+    A class may hold most of the rows, so its rows are numbered inside ``salt``
+    hash buckets, after the rows of the buckets before (``salt`` counts a class).
     """
     mixed = F.xxhash64(F.lit(seed), F.col(key))
-    bucket = F.pmod(mixed, F.lit(salt))
+    placed = df.withColumn("_mixed", mixed).withColumn("_bucket", F.pmod("_mixed", F.lit(salt)))
+    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col(label).alias("_label"), F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     order = Window.partitionBy(label, "_bucket").orderBy("_mixed", key)
-    return (
-        df.withColumn("_mixed", mixed).withColumn("_bucket", bucket)
-        .withColumn("fold", F.pmod(F.row_number().over(order) + F.col("_bucket"), F.lit(folds)).cast("int"))
-        .drop("_mixed", "_bucket")
-    )
+    numbered = placed.withColumn("_at", F.row_number().over(order))
+    joined = numbered.join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_of")))
+    return joined.select(*df.columns, F.pmod(F.col("_start") + F.col("_at") - 1, F.lit(folds)).cast("int").alias("fold"))

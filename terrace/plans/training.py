@@ -109,16 +109,16 @@ def model_table(model: TextModel) -> tuple[list[tuple[str, float, list[float]]],
 def cross_validate(rows: DataFrame, analyzer: str, vocabulary: int, key: str, folds: int = 5, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Stratified k-fold accuracy (mean, deviation) and macro F1 on fixed features.
 
-    One fit per fold; all held-out predictions are measured in one aggregate.
+    One fit per fold, with the penalty and class weights of its own rows; all held-out predictions are measured in one aggregate.
     """
     prepared = stratified_folds(_prepared(rows, analyzer), "y", key, folds)
     features = _features(prepared, vocabulary)
     indexer = StringIndexer(inputCol="y", outputCol="label", stringOrderType="alphabetAsc").fit(prepared)
-    weighted, n = _balanced(indexer.transform(features.transform(prepared)))
-    data = cut_lineage(weighted.select("features", "label", "weight", "fold"))
+    data = cut_lineage(indexer.transform(features.transform(prepared)).select("features", "label", "fold"))
     guesses = None
     for fold in range(folds):
-        model = _classifier(n, iterations).fit(data.filter(F.col("fold") != fold))
+        weighted, n = _balanced(data.filter(F.col("fold") != fold))
+        model = _classifier(n, iterations).fit(weighted)
         part = model.transform(data.filter(F.col("fold") == fold)).select("fold", "label", "prediction")
         guesses = part if guesses is None else guesses.unionByName(part)
     labels = [float(i) for i in range(len(indexer.labels))]

@@ -202,7 +202,8 @@ def scorer_parity(spark, sf):
     return gap.select((F.col("max_gap") < 1e-5).alias("agree"))
 
 
-@query("stratified_folds", """SELECT quality, count(*) AS n FROM labels GROUP BY 1""")
+@query("stratified_folds", """SELECT quality, count(*) AS n, CAST(least(count(*) % 5, 1) AS BIGINT) AS spread FROM labels GROUP BY 1""")
 def stratified_folds(spark, sf):
     folds = textmodel.stratified_folds(w.table(spark, sf, "labels"), "quality", "doc_id")
-    return folds.filter(F.col("fold").between(0, 4)).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    sizes = [F.count_if(F.col("fold") == i) for i in range(5)]
+    return folds.groupBy("quality").agg(sum(sizes[1:], sizes[0]).alias("n"), (F.greatest(*sizes) - F.least(*sizes)).alias("spread"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrace.functions import lexicon, numbers, text
+from terrace.operators.textmodel import stratified_folds
 
 
 def one(spark, data, expr, ddl="x STRING"):
@@ -119,3 +120,12 @@ def test_panic_score_signs_and_bounds(spark):
     df = spark.createDataFrame([(i, m) for i, m in enumerate(data)], "i INT, message STRING")
     got = [r.panic for r in lexicon.panic_score(df).orderBy("i").collect()]
     assert got[0] > 0.5 and got[1] < -0.5 and got[2] <= 1.0 and got[3:] == [0.0, 0.0]
+
+
+def test_folds_of_every_class_differ_by_one_row_at_the_most(spark):
+    rows = [(i, y, "x") for i, y in enumerate(["a"] * 1003 + ["b"] * 58 + ["c"] * 3 + [None] * 11)]
+    got = stratified_folds(spark.createDataFrame(rows, "id LONG, y STRING, _n STRING"), "y", "id").toPandas()
+    assert len(got) == len(rows) and got["id"].is_unique and set(got["fold"]) == set(range(5))
+    for _, part in got.groupby("y", dropna=False):
+        sizes = part["fold"].value_counts().reindex(range(5), fill_value=0)
+        assert sizes.max() - sizes.min() <= 1
