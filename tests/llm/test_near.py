@@ -139,3 +139,10 @@ def test_search_recall_and_order(table):
         shares.append(len(set(best) & {i for i, _ in found}) / 20)
         assert found == sorted(found, key=lambda f: (-f[1], f[0])) and len(found) == 20
     assert np.mean(shares) >= 0.9
+
+
+def test_more_wanted_texts_than_the_list_holds_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k l"), (3, "x y z")], "doc_id LONG, text STRING")
+    monkeypatch.setattr(near_dup, "LISTED_IDS", 0)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 2, 80).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
