@@ -97,3 +97,31 @@ def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of vectors of one label with cosine 0.93 or more."""
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+# Check SQL by brute force over the whole tables, where SQL can express the result.
+SQL["op4_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
+    d AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(hex, CAST(g * 5 + 1 AS INTEGER), 5) AS BIGINT)) AS groups FROM h)
+    SELECT page_id, n AS payload_bytes,
+    array_to_string(list_transform(groups, lambda v: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> s) & 31 AS INTEGER) + 1, 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d"""
+
+SQL["op9_embedding_dedup"] = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+        AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+    reach(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+    c AS (SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u), n AS (SELECT u AS vec_id, count(DISTINCT v) AS n FROM links GROUP BY u)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+SQL["op6_near_dup"] = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) = 1 THEN words
+        ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM w),
+    x AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+    links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach(u, v) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+    c AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
