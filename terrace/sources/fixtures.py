@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace import schemas
-from terrace.functions.text import BLANK, leading_digits, parse_utc, strip
+from terrace.functions.text import leading_digits, parse_utc, strip
 
-MINUTE_LINE = rf"^[{BLANK}]*\p{{Nd}}+(?:\+\p{{Nd}}+)?'"
+STAMP = re.compile(r"\d+(?:\+\d+)?'")
+# Elements without content, and those whose text is not shown.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset(["script", "style", "template"])
 
 
 def scoreboard(landed: DataFrame) -> DataFrame:
@@ -50,27 +57,78 @@ def commentary_lines(landed: DataFrame) -> DataFrame:
     )
 
 
-def page_lines(pages: DataFrame, html: str = "html", key: str = "url") -> DataFrame:
-    """Minute-stamped lines out of the ``p`` and ``li`` elements of raw pages.
+class _Stamped(HTMLParser):
+    """Text of the ``p`` and ``li`` elements that starts with a minute stamp.
 
-    Comments, scripts and styles are dropped, an element ends where the next
-    block starts, inner tags become a blank.
+    An element ends at its own end tag or at that of one around it, so a ``p``
+    in an ``li`` gives two lines. Texts are kept once and elements as ranges of
+    them, so deep nesting costs nothing where no line is stamped.
     """
-    bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    bodies = F.regexp_extract_all(bare, F.lit(r"(?is)<(?:p|li)\b[^>]*>(.*?)(?=</?(?:p|li|ul|ol|div)\b|$)"), 1)
-    line = strip(F.regexp_replace(unescaped(F.regexp_replace(F.col("_body"), "<[^>]*>", " ")), f"[{BLANK}]+", " "))
-    return (
-        pages.select(key, F.posexplode(bodies).alias("seq", "_body"))
-        .select(key, "seq", line.alias("line"))
-        .filter(F.col("line").rlike(MINUTE_LINE))
-    )
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int | None]] = []
+        self.texts: list[str] = []
+        self.ranges: list[list[int | None]] = []
+        self.silent = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in VOID:
+            return
+        mark = None
+        if tag in ("p", "li"):
+            mark = len(self.ranges)
+            self.ranges.append([len(self.texts), None])
+        self.silent += tag in SILENT
+        self.open.append((tag, mark))
+
+    def handle_endtag(self, tag: str) -> None:
+        if not any(name == tag for name, _ in reversed(self.open)):
+            return
+        name = None
+        while name != tag:
+            name, mark = self.open.pop()
+            self.silent -= name in SILENT
+            if mark is not None:
+                self.ranges[mark][1] = len(self.texts)
+
+    def handle_data(self, data: str) -> None:
+        text = data.strip()
+        if text and not self.silent:
+            self.texts.append(text)
+
+    def lines(self) -> list[dict]:
+        bounds = [(i, start, len(self.texts) if end is None else end) for i, (start, end) in enumerate(self.ranges)]
+        return [
+            {"seq": i, "line": " ".join(self.texts[start:end])}
+            for i, start, end in bounds if start < end and STAMP.match(self.texts[start])
+        ]
+
+
+def _stamped(html: str | None) -> list[dict]:
+    parser = _Stamped()
+    parser.feed(html or "")
+    parser.close()
+    return parser.lines()
+
+
+def stamped_lines(html: Column) -> Column:
+    """Array of (seq, line), one page after another in Arrow batches."""
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(_stamped)
+
+    return F.pandas_udf(read, "array<struct<seq: int, line: string>>")(html)
 
 
-def unescaped(text: Column) -> Column:
-    """The five predefined character references and the blank one."""
-    for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+def page_lines(pages: DataFrame, html: str = "html", key: str = "url") -> DataFrame:
+    """Minute-stamped lines out of the ``p`` and ``li`` elements of raw pages.
+
+    Comments, scripts, styles and templates are dropped, character references
+    decoded; the stripped texts inside an element are joined by a blank. ``seq``
+    is the element's place among all ``p`` and ``li`` of its page. Null or empty
+    pages have no line.
+    """
+    return pages.select(key, F.inline(stamped_lines(F.col(html))))
 
 
 def momentum(raw: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 Tables that are merged by fixture are partitioned by a hash bucket of the key,
 not by the key itself: a partition per fixture would leave millions of tiny
-files. A merge rewrites the touched buckets only.
+files. A merge writes the touched buckets anew into a part of its own and then
+publishes them with one small file, so a merge that stops half way changes
+nothing. Nothing is overwritten in place; ``compact`` copies the current rows
+into a fresh table, apart from the write path.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +22,10 @@ from pyspark.sql import types as T
 
 from terrace.operators.archive import merge_by_key
 from terrace.schemas import column_names
-from terrace.session import cut_lineage
 
+# Buckets of a table created without a count of its own; the count is stored with the table.
 BUCKETS = 64
+MANIFEST = "version BIGINT, token STRING, buckets INT, parts ARRAY<STRUCT<bucket: INT, part: STRING>>"
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -35,48 +42,111 @@ def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
-def bucket(key: Column, buckets: int = BUCKETS) -> Column:
+def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+@dataclass(frozen=True)
+class Published:
+    """The newest published state: its number, bucket count and the part that holds each bucket."""
+
+    version: int
+    buckets: int
+    parts: dict[int, str]
+
+
+def published(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Published:
+    """Current state of a bucketed table; version 0 without rows where nothing was published yet."""
+    try:
+        states = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return Published(0, buckets, {})
+    newest = states.filter(F.col("version").isNotNull()).orderBy(F.desc("version"), "token").first()
+    if newest is None:
+        return Published(0, buckets, {})
+    return Published(newest["version"], newest["buckets"], {held["bucket"]: held["part"] for held in newest["parts"]})
+
+
+def _rows_of(spark: SparkSession, path: str, schema: str, parts: dict[int, str], wanted: Column | None = None) -> DataFrame:
+    """Wanted rows of the given buckets, ``bucket`` included; pruned to their folders."""
+    held: dict[str, list[int]] = {}
+    for number, part in parts.items():
+        held.setdefault(part, []).append(number)
+    stored = f"{schema}, part STRING, bucket INT"
+    if not held:
+        return empty(spark, stored).drop("part")
+    current = F.lit(False)
+    for part, numbers in held.items():
+        current = current | ((F.col("part") == part) & F.col("bucket").isin(numbers))
+    folders = [f"{path}/data/part={part}" for part in held]
+    rows = spark.read.schema(stored).option("basePath", f"{path}/data").parquet(*folders)
+    return (rows if wanted is None else rows.filter(wanted)).filter(current).drop("part")
+
+
 def load(spark: SparkSession, path: str, schema: str, key: str = "match_id", only: str | None = None) -> DataFrame:
     """Bucketed table, optionally one fixture: prunes to its bucket, pushes the filter."""
-    df = scan(spark, path, schema + ", bucket INT")
+    state = published(spark, path)
+    wanted = None
     if only is not None:
-        df = df.filter((F.col("bucket") == bucket(F.lit(only))) & (F.col(key) == only))
-    return df.drop("bucket")
+        wanted = (F.col("bucket") == bucket(F.lit(only), state.buckets)) & (F.col(key) == only)
+    return _rows_of(spark, path, schema, state.parts, wanted).drop("bucket")
 
 
-def write_bucketed(df: DataFrame, path: str, key: str, order: Sequence[str]) -> None:
-    """Overwrite the buckets present in ``df``; rows sorted inside the files.
+def write_part(df: DataFrame, path: str, buckets: int, keys: Sequence[str]) -> str:
+    """Rows as a new part, sorted inside the files; no reader sees it before it is published.
 
     Rebalancing makes one file of a small bucket and several of a large one.
     """
-    keyed = df.withColumn("bucket", bucket(F.col(key)))
+    part = f"v{uuid.uuid4().hex}"
+    keyed = df.withColumn("bucket", bucket(F.col(keys[0]), buckets))
     (
         keyed.hint("rebalance", F.col("bucket"))
-        .sortWithinPartitions("bucket", *order)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        .partitionBy("bucket").parquet(path)
+        .sortWithinPartitions("bucket", *keys)
+        .write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/data/part={part}")
     )
+    return part
+
 
+def publish(spark: SparkSession, path: str, state: Published) -> None:
+    """Make a state current by adding one file; two writers of one version are told to run again."""
+    row = (state.version, uuid.uuid4().hex, state.buckets, list(state.parts.items()))
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+    same = spark.read.schema(MANIFEST).json(f"{path}/manifest").filter(F.col("version") == state.version)
+    if same.count() > 1:
+        raise RuntimeError(f"two writers published version {state.version} of {path}: run both merges again")
 
-def upsert(new: DataFrame, path: str, schema: str, keys: Sequence[str], replace_by: Sequence[str] | None = None) -> None:
+
+def upsert(
+    new: DataFrame, path: str, schema: str, keys: Sequence[str], replace_by: Sequence[str] | None = None,
+    buckets: int = BUCKETS,
+) -> None:
     """Keyed merge into a bucketed table; running it twice changes nothing.
 
     ``replace_by`` names the key prefix whose old rows all go (a whole fixture);
-    by default rows are replaced one by one. ``new`` is materialised first: it
-    is read three times here, and it may itself come from the table.
+    by default rows are replaced one by one. ``buckets`` counts for a new table
+    only. ``new`` may itself come from the table: published parts never change.
+    No rows: nothing is written.
     """
     spark = new.sparkSession
-    key = keys[0]
     names = column_names(schema)
-    rows = cut_lineage(new.select(*names))
-    touched = [r[0] for r in rows.select(bucket(F.col(key))).distinct().collect()]  # at most BUCKETS numbers
-    if not touched:
-        return
-    old = scan(spark, path, schema + ", bucket INT").filter(F.col("bucket").isin(touched)).select(*names)
-    write_bucketed(merge_by_key(old, rows, list(replace_by or keys)), path, key, keys)
+    state = published(spark, path, buckets)
+    rows = new.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        touched = [r[0] for r in rows.select(bucket(F.col(keys[0]), state.buckets)).distinct().collect()]  # at most one number a bucket
+        if not touched:
+            return
+        old = _rows_of(spark, path, schema, {b: p for b, p in state.parts.items() if b in set(touched)}).select(*names)
+        part = write_part(merge_by_key(old, rows, list(replace_by or keys)), path, state.buckets, keys)
+        publish(spark, path, Published(state.version + 1, state.buckets, state.parts | dict.fromkeys(touched, part)))
+    finally:
+        rows.unpersist()
+
+
+def compact(spark: SparkSession, path: str, target: str, schema: str, keys: Sequence[str], buckets: int) -> None:
+    """The current rows as one part of a new table, with a bucket count of its own."""
+    upsert(load(spark, path, schema), target, schema, keys, buckets=buckets)
 
 
 def export_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
