@@ -34,15 +34,15 @@ ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 
 BLOCKS = pa.schema([
-    ("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("left", pa.int32()), ("right", pa.int32()),
+    ("key", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("left", pa.int32()), ("right", pa.int32()),
 ])
-BLOCKS_DDL = "key long, content long, doc long, start int, end int, left int, right int"
+BLOCKS_DDL = "key long, content long, doc long, version long, start int, end int, left int, right int"
 FIRSTS = pa.schema([f for f in BLOCKS if f.name != "content"])
-FIRSTS_DDL = "key long, doc long, start int, end int, left int, right int"
-TEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()), ("whole", pa.bool_())])
-TEXTS_DDL = "key long, doc long, start int, bytes binary, whole boolean"
-SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-SPANS_DDL = "doc long, start int, end int"
+FIRSTS_DDL = "key long, doc long, version long, start int, end int, left int, right int"
+TEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary()), ("whole", pa.bool_())])
+TEXTS_DDL = "key long, doc long, version long, start int, bytes binary, whole boolean"
+SPANS = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS_DDL = "doc long, version long, start int, end int"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -122,15 +122,17 @@ def _short(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(33)).astype(np.int32) | np.int32(1)
 
 
-def _laid_out(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, bytes, ends) of bounded runs of rows, by rising doc_id."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
+def _laid_out(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, versions, bytes, ends) of bounded runs of rows, by rising place; of repeated rows one."""
+    ids, versions = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
     texts = batch.column(1).to_pylist()
-    order = np.argsort(ids, kind="stable")
+    order = np.lexsort((versions, ids))
+    if len(order):
+        order = order[np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(versions[order]) != 0)])]
     for i, j in slices([len(texts[k]) for k in order], CHUNK_BYTES):
         part = order[i:j]
         chosen = [texts[k] for k in part]
-        yield ids[part], np.frombuffer(b"".join(chosen), np.uint8), np.cumsum([len(t) for t in chosen])
+        yield ids[part], versions[part], np.frombuffer(b"".join(chosen), np.uint8), np.cumsum([len(t) for t in chosen])
 
 
 def block_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -138,20 +140,19 @@ def block_rows(docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, data, ends in _laid_out(batch):
+            for ids, versions, data, ends in _laid_out(batch):
                 key, content, doc, start, end, left, right = blocks_of(data, ends, length)
                 if not len(key):
                     continue
                 keep = np.zeros(len(key), bool)
                 keep[np.unique(mixed(key.view(np.uint64)) ^ content.view(np.uint64), return_index=True)[1]] = True
                 later = np.flatnonzero(~keep)
-                # a repeated row lies at the place of its first copy: not an earlier place, but the same removals
-                gone = _merged(ids[doc[later]], start[later], end[later])
+                gone = _merged(ids[doc[later]], versions[doc[later]], start[later], end[later])
                 columns = {
                     "key": np.concatenate([key[keep], mixed(gone[0].view(np.uint64)).view(np.int64)]),
                     "content": pa.array(np.concatenate([content[keep], np.zeros(len(gone[0]), np.int64)]), mask=np.arange(keep.sum() + len(gone[0])) >= keep.sum()),
-                    "doc": np.concatenate([ids[doc[keep]], gone[0]]),
-                    "start": np.concatenate([start[keep], gone[1]]), "end": np.concatenate([end[keep], gone[2]]),
+                    "doc": np.concatenate([ids[doc[keep]], gone[0]]), "version": np.concatenate([versions[doc[keep]], gone[1]]),
+                    "start": np.concatenate([start[keep], gone[2]]), "end": np.concatenate([end[keep], gone[3]]),
                     "left": np.concatenate([left[keep], np.zeros(len(gone[0]), np.int32)]),
                     "right": np.concatenate([right[keep], np.zeros(len(gone[0]), np.int32)]),
                 }
@@ -160,40 +161,47 @@ def block_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS_DDL)
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _merged(doc: np.ndarray, version: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
     """Overlapping or touching spans of a document as one."""
     if not len(doc):
-        return doc.astype(np.int64), start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
-    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+        return doc.astype(np.int64), version.astype(np.int64), start, end
+    order = np.lexsort((start, version, doc))
+    doc, version, start, end = (x[order].astype(np.int64) for x in (doc, version, start, end))
+    other = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])
+    number = np.cumsum(np.concatenate([[0], other]))
     far = np.maximum.accumulate(end + number * (1 << 40)) - number * (1 << 40)
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > far[:-1])])
+    new = np.concatenate([[True], other | (start[1:] > far[:-1])])
     first = np.flatnonzero(new)
-    return doc[first], start[first], far[np.concatenate([first[1:], [len(doc)]]) - 1]
+    return doc[first], version[first], start[first], far[np.concatenate([first[1:], [len(doc)]]) - 1]
 
 
 def resolved(blocks: DataFrame) -> DataFrame:
-    """Sorted blocks to first blocks of keys with different blocks, and removed spans (key null)."""
+    """Sorted blocks to first blocks of keys with different blocks, and removed spans (key null).
+
+    A repeated row's blocks lie at the places of the blocks before them and are dropped.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # key and content of the last row
+        before = None  # key, content and place of the last row
         waiting = None  # the only block so far of the last key
         for batch in batches:
             if not batch.num_rows:
                 continue
             local = np.asarray(batch.column(1).is_null())
-            key, doc, start, end, left, right = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5, 6))
-            whole = (key, doc, start, end, left, right)
+            key, doc, version, start, end, left, right = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5, 6, 7))
+            whole = (key, doc, version, start, end, left, right)
             content = batch.column(1).fill_null(0).to_numpy()
             real = np.flatnonzero(~local)
-            out = [(None, doc[local], start[local], end[local], None, None)]
+            out = [(None, doc[local], version[local], start[local], end[local], None, None)]
             if len(real):
                 k, c = key[real], content[real]
                 same_key = np.concatenate([[before is not None and before[0] == k[0]], k[1:] == k[:-1]])
                 same = same_key & np.concatenate([[before is not None and before[1] == c[0]], c[1:] == c[:-1]])
-                later = real[same]
-                out.append((None, doc[later], start[later], end[later], None, None))
+                again = same.copy()
+                for i, x in enumerate((doc[real], version[real], start[real])):
+                    again &= np.concatenate([[before is not None and before[2 + i] == x[0]], x[1:] == x[:-1]])
+                later = real[same & ~again]
+                out.append((None, doc[later], version[later], start[later], end[later], None, None))
                 firsts = real[~same]
                 if len(firsts):
                     continued = same_key[~same]
@@ -210,14 +218,14 @@ def resolved(blocks: DataFrame) -> DataFrame:
                         waiting = None
                     chosen = firsts[more]
                     out.append(tuple(c[chosen] for c in whole))
-                before = k[-1], c[-1]
-            for key_of, d, first, last, before_, behind in out:
+                before = k[-1], c[-1], doc[real[-1]], version[real[-1]], start[real[-1]]
+            for key_of, d, v, first, last, before_, behind in out:
                 if not len(d):
                     continue
                 if key_of is None:
-                    d, first, last = _merged(d, first, last)
+                    d, v, first, last = _merged(d, v, first, last)
                     key_of = before_ = behind = [None] * len(d)
-                yield table_of(dict(zip(FIRSTS.names, (key_of, d, first, last, before_, behind), strict=True)), FIRSTS)
+                yield table_of(dict(zip(FIRSTS.names, (key_of, d, v, first, last, before_, behind), strict=True)), FIRSTS)
 
     return blocks.mapInArrow(run, FIRSTS_DDL)
 
@@ -282,29 +290,33 @@ def factor_spans(texts: DataFrame, length: int) -> DataFrame:
     """Spans of ``texts`` (by key, then place) whose strings start earlier under the same key."""
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: r[1:3])
-        sizes = np.array([len(r[3]) for r in rows])
+        rows = sorted(rows, key=lambda r: r[1:4])
+        sizes = np.array([len(r[4]) for r in rows])
         ends = np.cumsum(sizes)
-        at, best = previous_factors(np.frombuffer(b"".join([r[3] for r in rows]), np.uint8), ends, length)
+        at, best = previous_factors(np.frombuffer(b"".join([r[4] for r in rows]), np.uint8), ends, length)
         at = np.sort(at[best >= length])
         piece = np.searchsorted(ends, at, side="right")
-        doc = np.array([r[1] for r in rows], np.int64)[piece]
-        start = np.array([r[2] for r in rows], np.int64)[piece] + at - (ends - sizes)[piece]
-        return table_of(dict(zip(SPANS.names, _merged(doc, start, start + length), strict=True)), SPANS)
+        doc, version, first = (np.array([r[i] for r in rows], np.int64)[piece] for i in (1, 2, 3))
+        start = first + at - (ends - sizes)[piece]
+        return table_of(dict(zip(SPANS.names, _merged(doc, version, start, start + length), strict=True)), SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        last = None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:4] == last:
+                    continue  # of a repeated row
+                last = row[:4]
                 new_key = not held or held[-1][0] != row[0]
-                if size >= SORT_BYTES and (new_key or row[4]):
+                if size >= SORT_BYTES and (new_key or row[5]):
                     yield spans(held)
                     # whole strings of one key are equal: the first stands for all
                     held = [] if new_key else [next(r for r in held if r[0] == row[0])]
-                    size = sum(len(r[3]) for r in held)
+                    size = sum(len(r[4]) for r in held)
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield spans(held)
 
@@ -318,15 +330,15 @@ def _wanted_texts(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, version, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for w in wanted or []:
                     piece = text[w["start"]:w["end"]]
                     if w["wide"]:
                         hashes = RollingHash(np.frombuffer(piece, np.uint8)).windows(length).view(np.int64).tolist()
-                        rows += [(h, doc, w["start"] + i, piece[i:i + length], True) for i, h in enumerate(hashes)]
+                        rows += [(h, doc, version, w["start"] + i, piece[i:i + length], True) for i, h in enumerate(hashes)]
                         size += length * len(hashes)
                     else:
-                        rows.append((w["key"], doc, w["start"], piece, False))
+                        rows.append((w["key"], doc, version, w["start"], piece, False))
                         size += len(piece)
                 if size >= 8 << 20:
                     yield table_of(dict(zip(TEXTS.names, zip(*rows, strict=True), strict=True)), TEXTS)
@@ -338,18 +350,17 @@ def _wanted_texts(docs: DataFrame, length: int) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame, length: int = 100) -> DataFrame:
-    """(doc, start, end) byte spans of ``docs`` (doc_id, raw) that are later copies; spans of a document may overlap."""
-    blocks = block_rows(docs, length).repartition("key").sortWithinPartitions("key", "content", "doc", "start")
+    """(doc, version, start, end) byte spans of ``docs`` (doc_id, raw, version) that are later copies; spans of a document may overlap."""
+    blocks = block_rows(docs, length).repartition("key").sortWithinPartitions("key", "content", "doc", "version", "start")
     first = stored(resolved(blocks), "blocks")
     wanted = first.filter("key is not null").repartition("key")
     twins = [(F.col(side) != 0) & (F.count(F.lit(1)).over(Window.partitionBy("key", side)) > 1) for side in ("left", "right")]
     wanted = wanted.withColumn("twin", twins[0] | twins[1]).filter("twin")
     wanted = wanted.withColumn("wide", F.count(F.lit(1)).over(Window.partitionBy("key")) > WIDE_KEY)
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "end", "wide")).alias("wanted"))
-    # a repeated row would only repeat its blocks at the same places
-    texts = docs.join(by_doc, docs.doc_id == by_doc.doc).select("doc_id", "raw", "wanted")
-    pieces = _wanted_texts(texts, length).repartition("key").sortWithinPartitions("key", "doc", "start")
-    return first.filter("key is null").select("doc", "start", "end").union(factor_spans(pieces, length))
+    by_doc = wanted.groupBy("doc", "version").agg(F.collect_list(F.struct("key", "start", "end", "wide")).alias("wanted"))
+    texts = docs.join(by_doc, (docs.doc_id == by_doc.doc) & (docs.version == by_doc.version)).select("doc_id", "raw", docs.version, "wanted")
+    pieces = _wanted_texts(texts, length).repartition("key").sortWithinPartitions("key", "doc", "version", "start")
+    return first.filter("key is null").select("doc", "version", "start", "end").union(factor_spans(pieces, length))
 
 
 def _finish(docs: DataFrame, text_out: bool) -> DataFrame:
@@ -383,9 +394,11 @@ def dedup(docs: DataFrame, length: int = 100, text_out: bool = False, carry: lis
     A byte goes if a ``length``-byte string over it also starts earlier: in a
     document with a smaller doc_id, or before it in its own document. Null texts
     count as empty; texts below ``length`` bytes lose nothing. A row that repeats
-    another one's doc_id lies at the same place, so neither is the other's
-    earlier copy and both get the same result; a null doc_id has no place, so its
-    row stays whole and is no source. An empty table gives no rows. ``kept_text``
+    another one's doc_id and text lies at the same place, so neither is the
+    other's earlier copy and both get the same result; different texts of one
+    doc_id are documents of their own, in the order of their hashes (xxhash64). A
+    null doc_id has no place, so its row stays whole and is no source. An empty
+    table gives no rows. ``kept_text``
     (on request) drops characters cut in half; ``carried`` is a struct of the
     columns named in ``carry``, other columns are ignored.
     """
@@ -394,8 +407,8 @@ def dedup(docs: DataFrame, length: int = 100, text_out: bool = False, carry: lis
         F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"),
         F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("boolean").alias("carried"),
     )
-    placed = raw.filter("doc_id is not null")
-    spans = removed_spans(placed.select("doc_id", "raw"), length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = placed.join(spans, placed.doc_id == spans.doc, "left").select("doc_id", "raw", "spans", "carried")
+    placed = raw.filter("doc_id is not null").withColumn("version", F.xxhash64("raw"))
+    spans = removed_spans(placed.select("doc_id", "raw", "version"), length).groupBy("doc", "version").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = placed.join(spans, (placed.doc_id == spans.doc) & (placed.version == spans.version), "left").select("doc_id", "raw", "spans", "carried")
     lost = raw.filter("doc_id is null").select("doc_id", "raw", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), "carried")
     return _finish(joined.union(lost), text_out)

@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terrace.llm import byte_bpe, packing, suffix_dedup
@@ -57,6 +58,24 @@ def test_dedup_text_and_empty_table(spark, table):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_dedup_keeps_repeated_rows(spark, table, monkeypatch):
+    passage = " ".join(f"word{i * i}" for i in range(60))
+    one, other = f"{passage} one " + "a" * 120, f"other {passage} and {passage[:130]}"
+    long = [(d, t) for d, t in random_documents(30, 7) if len(t.encode()) >= 100]
+    rows = long * 2 + [(50, passage)] * 3 + [(51, "x " + passage)] * 2 + [(60, one), (60, other), (60, one)]
+    # different texts of one doc_id are documents of their own, by hash
+    ordered = [r.t for r in spark.createDataFrame([(one,), (other,)], "t string").orderBy(F.xxhash64(F.encode("t", "UTF-8"))).collect()]
+    expected = removed(long + [(50, passage), (51, "x " + passage), (60, ordered[0]), (61, ordered[1])], 100)
+    for wide, parts in ((2000, 1), (2000, 5), (3, 1), (3, 5)):
+        monkeypatch.setattr(suffix_dedup, "WIDE_KEY", wide)
+        out = suffix_dedup.dedup(table(rows, "doc_id long, text string", parts), 100, True, ["text"]).collect()
+        assert len(out) == len(rows)
+        for r in out:
+            place = 61 if r.carried.text == ordered[1] else r.doc_id
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[place]
+        assert [r.kept_text for r in out if r.doc_id == 50] == [passage] * 3
+
+
 def test_previous_factors_are_longest():
     rng = random.Random(2)
     pieces = ["".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(20)]
