@@ -66,9 +66,9 @@ def _labelled(spark, sf):
     return docs.join(w.table(spark, sf, "labels").select("doc_id", y.alias("y")), "doc_id")
 
 
-def trained_model(spark, sf, iterations: int = 30):
+def trained_model(spark, sf, task: str = "emotion"):
     rows = _labelled(spark, sf).filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
-    return training.train(rows, "word", 2000, iterations)
+    return training.train(rows, *training.TASKS[task])
 
 
 @query("trained_scores")
@@ -78,6 +78,12 @@ def trained_scores(spark, sf):
     return training.score(model, w.documents(spark, sf)).drop("text")
 
 
+@query("trained_char_scores")
+def trained_char_scores(spark, sf):
+    """The character model in the same way."""
+    return training.score(trained_model(spark, sf, "sentiment"), w.documents(spark, sf)).drop("text")
+
+
 @query("trained_parity", "SELECT true AS agree")
 def trained_parity(spark, sf):
     """The fitted model's own scoring against the join form on its exported coefficients."""
@@ -85,7 +91,7 @@ def trained_parity(spark, sf):
     rows, intercepts = training.model_table(model)
     table = spark.createDataFrame(rows, "term STRING, idf DOUBLE, weights ARRAY<DOUBLE>")
     docs = w.documents(spark, sf)
-    counts = textmodel.gram_counts(docs, "doc_id", training.grams("word", F.col("text")), table)
+    counts = textmodel.gram_counts(docs, "doc_id", training.grams(model.analyzer, F.col("text")), table)
     joined = textmodel.with_probabilities(
         textmodel.linear_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes
     )
@@ -96,17 +102,32 @@ def trained_parity(spark, sf):
 
 @query("cross_validation")
 def cross_validation(spark, sf):
-    return training.cross_validate(_labelled(spark, sf), "word", 2000, "doc_id", iterations=20)
+    return training.cross_validate(_labelled(spark, sf), *training.TASKS["emotion"], "doc_id")
 
 
-@query("evaluation_record")
-def evaluation_record(spark, sf):
-    """Lexicon against trained model on the held-out fifth."""
+@query("char_cross_validation")
+def char_cross_validation(spark, sf):
+    return training.cross_validate(_labelled(spark, sf), *training.TASKS["sentiment"], "doc_id")
+
+
+def _record(spark, sf, task: str):
     from terrace.functions.lexicon import panic_score
 
     held = _labelled(spark, sf).filter(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0)
     tone = textmodel.lexicon_sentiment_label(F.col("panic"))
     names = F.create_map(*[F.lit(x) for x in ("negative", "toxic", "positive", "good", "neutral", "poor")])
     lexicon = panic_score(held, "text", w.PANIC).select("y", F.element_at(names, tone).alias("prediction"))
-    trained = training.score(trained_model(spark, sf), held).select("y", "prediction")
+    trained = training.score(trained_model(spark, sf, task), held).select("y", "prediction")
     return training.evaluation_record(lexicon, trained, ["good", "poor", "toxic"])
+
+
+@query("evaluation_record")
+def evaluation_record(spark, sf):
+    """Lexicon against trained model on the held-out fifth."""
+    return _record(spark, sf, "emotion")
+
+
+@query("char_evaluation_record")
+def char_evaluation_record(spark, sf):
+    """Lexicon against the character model on the held-out fifth."""
+    return _record(spark, sf, "sentiment")

@@ -212,5 +212,5 @@ def labelled_text(spark, sf):
     rows = joined.select("doc_id", "lang", F.col("quality").alias("label"))
     langs = ["de", "en", "es", "fr"]
     parts = [(rows.filter(F.col("lang") == lang).drop("lang"), lang) for lang in langs]
-    other = rows.filter(~F.col("lang").isin(langs)).select("doc_id", "label", "lang")
+    other = rows.filter(~F.coalesce(F.col("lang").isin(langs), F.lit(False))).select("doc_id", "label", "lang")
     return tables.labelled_text([*parts, (other, None)], {0: "low", 1: "good"}).select("doc_id", "lang", "y")

@@ -9,13 +9,14 @@ from terrace.functions.lexicon import panic_score
 from terrace.functions.text import char_grams, word_grams
 from terrace.operators import mood, textmodel
 from terrace.operators.minutes import posts_to_chat
+from terrace.plans.training import TASKS
 from terrace.registry.base import (
     EMO_SUM, PER_FIXTURE, VIEWS, WORDS, dominant_sql, q6, query, rounded, s6, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
 from terrace.session import cut_lineage
 
-FEATURES = 500
+FEATURES = TASKS["emotion"][1]
 CLASSES = ["anger", "despair", "joy", "panic", "surprise"]
 INTERCEPT = [0.1, -0.2, 0.05, 0.0, -0.1]
 TONES = ["negative", "neutral", "positive"]

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from terrace import schemas
 from terrace import workload as w
-from terrace.operators import archive, fitting, mood
+from terrace.operators import archive, fitting, mood, textmodel
 from terrace.operators.minutes import posts_to_chat
 from terrace.plans import ingest, nightly, training
+from terrace.registry import job_queries, text_queries
 from terrace.registry.reaction_queries import _with_terms
 from terrace.operators import cleaning
 from terrace.sources import tables
@@ -189,6 +190,36 @@ def test_training_learns_separable_text(spark, rows, tmp_path):
     assert training.cross_validate(df, "word", 200, "id", folds=3, iterations=10).first().cv_accuracy_mean > 0.9
 
 
+def test_trained_queries_use_the_declared_terms_and_iterations(spark):
+    for task, least in (("emotion", 2000), ("sentiment", 12000)):
+        model = job_queries.trained_model(spark, SF, task)
+        assert len(model.features.stages[0].vocabulary) > least
+        assert model.classifier.getMaxIter() == training.MAX_ITERATIONS
+    assert text_queries.FEATURES == training.TASKS["emotion"][1]
+    assert contract.queries()["vocabulary"](spark, SF).count() > 2000
+
+
+def test_char_model_agrees_with_its_join_form(spark, rows):
+    data = [(i, ("great lovely win " if i % 2 else "awful terrible loss ") + f"word{i % 7}", "joy" if i % 2 else "anger") for i in range(40)]
+    docs = rows(data, "doc_id INT, text STRING, y STRING")
+    model = training.train(docs, *training.TASKS["sentiment"])
+    terms, intercepts = training.model_table(model)
+    table = spark.createDataFrame(terms, "term STRING, idf DOUBLE, weights ARRAY<DOUBLE>")
+    counts = textmodel.gram_counts(docs, "doc_id", training.grams("char", F.col("text")), table)
+    joined = textmodel.with_probabilities(textmodel.linear_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes)
+    scored = training.score(model, docs)
+    assert scored.filter("prediction <> y").count() == 0
+    assert textmodel.parity_gap(scored, joined, "doc_id", ["prob_anger", "prob_joy"]).first().max_gap < 1e-5
+    assert {"trained_char_scores", "char_cross_validation", "char_evaluation_record"} <= set(contract.queries())
+
+
+def test_labelled_text_keeps_documents_without_language(spark, rows, tmp_path):
+    rows([(1, "a", "en"), (2, "b", None), (3, "c", "it")], "doc_id LONG, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    rows([(1, 0, 0), (2, 1, 0), (3, 1, 1)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")
+    got = contract.queries()["labelled_text"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.lang, r.y) for r in got) == [(1, "en", "low"), (2, None, "good"), (3, "it", "good")]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().toString()
 
