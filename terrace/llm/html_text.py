@@ -24,7 +24,7 @@ from terrace.llm.common import settings, table_of
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes".split())
 UNESCAPED = set("textarea title".split())
-HIDDEN = set("head script style template noscript iframe noembed noframes title datalist audio video canvas object svg math select rp param".split())
+HIDDEN = set("head script style template noscript iframe noembed noframes title datalist audio video canvas object select rp param desc defs symbol metadata clippath mask marker pattern filter lineargradient radialgradient annotation annotation-xml".split())
 APART = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table hr fieldset figure menu".split())
 BLOCK = APART | set("address article aside body center details dialog dd div dt figcaption footer form header hgroup html legend li main nav optgroup option search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = (BLOCK - set("body html li dd dt tr caption thead tbody tfoot option optgroup legend".split())) | {"li", "dd", "dt"}
@@ -36,11 +36,16 @@ IMPLIED_END = {
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}),
 }
 HEAD_ONLY = set("base link meta title style script template noscript".split())
 CELLS = {"td", "th"}
+# Elements that hold only parts of a table; what else comes there goes before the table.
+INNER = {"thead", "tbody", "tfoot", "tr", "colgroup"}
+PARTS = INNER | CELLS | {"caption", "col"}
+KEPT = PARTS | {"script", "style", "template"}
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(\s*+=\s*+)?+")
@@ -64,6 +69,7 @@ class TreeBuilder:
         self.root = Element("#root", {})
         self.stack = [self.root]
         self.unclosed: set[str] = set()
+        self.drawing: tuple[int, Element | None] = (0, None)  # place in the stack of the last outer svg or math
 
     def build(self) -> Element:
         source, at, n = self.source, 0, len(self.source)
@@ -104,7 +110,12 @@ class TreeBuilder:
         if closing:
             self.close(tag)
             return end
+        empty = source[end - 2] == "/" and self.drawn()
+        depth = len(self.stack)
         self.open(tag, attributes)
+        if empty:
+            del self.stack[depth:]
+            return end
         return self.raw(tag, end) if tag in RAW or tag in UNESCAPED else end
 
     def attributes(self, at: int) -> tuple[int, dict[str, str]]:
@@ -144,12 +155,48 @@ class TreeBuilder:
             return
         if top in ("#root", "html", "head") and content.strip(" \t\n\r\f"):
             self.body()
-        self.stack[-1].children.append(html.unescape(content) if "&" in content else content)
+        if top in ("svg", "g"):
+            return  # only text elements show
+        self.place(html.unescape(content) if "&" in content else content)
+
+    def drawn(self) -> bool:
+        """Whether an svg or math is open."""
+        at, element = self.drawing
+        return element is not None and at < len(self.stack) and self.stack[at] is element
+
+    def table_at(self) -> int:
+        """Place of the table whose rows, but no cell, are open at the top; 0 if none."""
+        i = len(self.stack) - 1
+        while self.stack[i].tag in INNER:
+            i -= 1
+        return i if self.stack[i].tag == "table" else 0
+
+    def place(self, child: Element | str) -> None:
+        """Append to the open element, or before the table where a table holds no such child."""
+        table = self.table_at()
+        if table and (isinstance(child, str) or child.tag not in KEPT):
+            self.stack[table - 1].children.insert(-1, child)  # an open table is the last child
+        else:
+            self.stack[-1].children.append(child)
+
+    def back_to_table(self) -> None:
+        """Close what was moved before the table and is still open."""
+        for i in range(len(self.stack) - 1, 0, -1):
+            tag = self.stack[i].tag
+            if tag in CELLS or tag in ("caption", "template"):
+                return
+            if tag == "table" or tag in INNER:
+                top, self.stack = self.stack[i + 1:], self.stack[:i + 1]
+                if not self.table_at():
+                    self.stack += top
+                return
 
     def push(self, tag: str, attributes: dict[str, str] | None = None) -> None:
         element = Element(tag, attributes or {})
-        self.stack[-1].children.append(element)
+        self.place(element)
         if tag not in VOID:
+            if tag in ("svg", "math") and not self.drawn():
+                self.drawing = len(self.stack), element
             self.stack.append(element)
 
     def body(self) -> None:
@@ -179,6 +226,12 @@ class TreeBuilder:
                     self.push("html")
             elif tag not in HEAD_ONLY and tag not in ("html", "head", "frameset"):
                 self.body()
+        if tag in PARTS or tag == "table":
+            self.back_to_table()
+        if tag == "form" and self.table_at():
+            return  # no container there
+        if tag == "table" and self.table_at():
+            self.close("table")
         if tag in CLOSES_P:
             self.end_of({"p"}, {"table", "td", "th", "caption", "button"})
         if tag in IMPLIED_END:
@@ -195,7 +248,7 @@ class TreeBuilder:
         """Close the outermost open element of ``tags`` inside the nearest barrier."""
         found = 0
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in barrier:
+            if self.stack[i].tag in barrier or self.stack[i].tag == "template":
                 break
             if self.stack[i].tag in tags:
                 found = i

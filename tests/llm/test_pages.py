@@ -54,6 +54,18 @@ CASES = {
     "": "",
     "<details><summary>s</summary>no</details><details open>yes</details>": "s\nyes",
     "<td>stray</td> text</p>more": "stray text\n\nmore",
+    "<table><form><tr><td>a<td>b</tr></form></table>c": "a  b\n\nc",
+    "<form>x<table><tr><form><td>a</td></form></tr></table>y</form>": "x\n\na\n\ny",
+    "<table>text<tr><td>a</table>": "text\n\na",
+    "<table><div>text</div><tr><td>a</td></tr></table>": "text\n\na",
+    "<table><tr><p>one<p>two<td>a</td></tr><b>bold</b></table>": "one\n\ntwo\n\nbold\n\na",
+    "<table><div><tr><td>a</table>b": "a\n\nb",
+    "<table><tr><td>a<tr><caption>c<table><tr><td>in</table></table>": "c\nin\na",
+    "<table><tr><td>a<table>x<tr><td>b</table>c</table>d": "ax b c\n\nd",
+    "<table><table><tr><td>a</table>": "a",
+    "<table><tr><td><template><tr>no</tr></template>a</table>": "a",
+    "<svg><title/><defs/><path d='M0'/>no<g><text>yes</text></g></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "yes x=1",
+    "<b/>one<i/>two": "onetwo",
 }
 
 
