@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import components, settings, stored, table_of
 from terrace.llm.vectors import matrix, packed, rotation
 
-TABLES = 48
+TABLES = 62
 BITS = 16
 BLOCK = 512
 CONFIDENCE = 4.0

@@ -111,6 +111,20 @@ def test_near_vectors_equal_brute_force(table, monkeypatch):
             assert r.n_links == 0 and r.component_id == r.vec_id and r.kept
 
 
+def test_vectors_at_the_limit_share_a_table():
+    from terrace.llm import embed_dedup
+
+    # sign bits of two vectors at cosine c differ with probability acos(c) / pi
+    assert (1 - (1 - np.arccos(0.93) / np.pi) ** embed_dedup.BITS) ** embed_dedup.TABLES <= 2e-4
+    rng = np.random.default_rng(4)
+    a, b = rng.standard_normal((2, 30_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93 ** 2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    missed = int((embed_dedup.table_codes(a) != embed_dedup.table_codes(b)).all(axis=1).sum())
+    assert missed <= 15  # 2e-4 of 30,000 are 6
+
+
 def test_radius_search_finds_every_code():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (400, ann.CODE_BITS // 8), dtype=np.uint8)
