@@ -76,8 +76,8 @@ def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     keepers = source.filter(F.col("n") >= least_bytes).groupBy("digest", "n").agg(F.max("page_id").alias("keeper"))
     slim = source.select("page_id", "digest", "n").filter(F.col("n") >= least_bytes)
-    revisits = slim.join(keepers, ["digest", "n"]).filter(F.col("page_id") != F.col("keeper")).select("page_id", "keeper").distinct()
-    return source.select("page_id", "url", "payload").join(revisits, "page_id", "left")
+    revisits = slim.join(keepers, ["digest", "n"]).filter(F.col("page_id") != F.col("keeper")).select("page_id", "digest", "n", "keeper").distinct()
+    return source.join(revisits, ["page_id", "digest", "n"], "left").select("page_id", "url", "payload", "keeper")
 
 
 def write(planned: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:

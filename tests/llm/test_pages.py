@@ -31,6 +31,16 @@ def test_warc_round_trip(spark, table):
     assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_keeps_both_texts_of_one_page_id(spark, table):
+    pages = [(1, "http://a", "own"), (1, "http://a", "shared"), (5, "http://b", "shared"), (2, "http://c", "x"), (2, "http://c", "y"), (7, "http://d", "x"), (8, "http://e", "y")]
+    out = warc.round_trip(spark, table(pages, "page_id long, url string, html string")).collect()
+    found = sorted((r.page_id, r.record_type, r.refers_to or 0, bytes(r.payload or b"").decode()) for r in out)
+    assert found == [
+        (1, "response", 0, "own"), (1, "revisit", 5, ""), (2, "revisit", 7, ""), (2, "revisit", 8, ""),
+        (5, "response", 0, "shared"), (7, "response", 0, "x"), (8, "response", 0, "y"),
+    ]
+
+
 def test_reader_rejects_broken_archives():
     whole = warc.record(3, "http://x", b"payload", warc.sha1(b"payload"), None, True)
     assert [r[0] for r in warc.read_stream(io.BytesIO(warc.member(whole) * 2))] == [3, 3]
