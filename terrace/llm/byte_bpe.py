@@ -137,9 +137,17 @@ class BytePairs:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        """Bytes of the ids, joined up the tree of their runs."""
+        """Bytes of the ids, joined in pairs up a tree."""
         table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return joined_up([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+def joined_up(parts: list[bytes]) -> bytes:
+    """All parts in order, neighbours joined level by level."""
+    while len(parts) > 1:
+        odd = parts[-1:] if len(parts) % 2 else []
+        parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=False)] + odd
+    return parts[0] if parts else b""
 
 
 def _over_texts(docs: DataFrame, ranks_path: str, pattern: str, schema: pa.Schema, ddl: str, row) -> DataFrame:

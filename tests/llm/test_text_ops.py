@@ -139,6 +139,21 @@ def test_byte_bpe_equals_its_library(spark, table):
     assert byte_bpe.encoded(spark.createDataFrame([], "doc_id long, text string"), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_decoding_joins_pairs_up_the_tree():
+    class Part(bytes):
+        depth = 0
+
+        def __add__(self, other):
+            out = Part(bytes(self) + bytes(other))
+            out.depth = 1 + max(self.depth, other.depth)
+            return out
+
+    for n in (0, 1, 2, 3, 7, 64, 1000):
+        parts = [Part(f"<{i}>".encode()) for i in range(n)]
+        whole = byte_bpe.joined_up(parts)
+        assert whole == b"".join(parts) and (n < 2 or whole.depth == (n - 1).bit_length())
+
+
 def test_joined_halves_equal_the_whole():
     coder = byte_bpe.BytePairs.of(tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rng = random.Random(8)
