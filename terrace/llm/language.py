@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.llm.common import filtered, settings, slices, table_of
@@ -250,16 +250,15 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     spark = docs.sparkSession
     settings(spark)
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r.lang for r in known.select("lang").distinct().limit(1000).collect())
+    chosen = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
+    for keys in (("lang", "part"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        chosen = chosen.withColumn("place", place).filter(F.col("place") <= fit_docs + calibration_docs)
+    # bounded by the parameters times the number of languages
+    picked = [(r.doc_id, r.lang, r.h) for r in chosen.select("doc_id", "lang", "h").collect()]
+    langs = sorted({lang for _, lang, _ in picked})
     if not langs:
         return Model([])
-    chosen = None
-    for lang in langs:
-        own = known.filter(F.col("lang") == lang).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-        own = own.orderBy("h", "doc_id").limit(fit_docs + calibration_docs)
-        chosen = own if chosen is None else chosen.union(own)
-    # bounded by the parameters times the number of languages
-    picked = [(r.doc_id, r.lang, r.h) for r in chosen.collect()]
     by_lang: dict[str, list] = {}
     for doc_id, lang, h in sorted(picked, key=lambda r: (r[1], r[2], r[0] if r[0] is not None else -1)):
         by_lang.setdefault(lang, []).append(doc_id)

@@ -52,6 +52,13 @@ def test_language_probabilities_sum_to_one(table):
     assert np.allclose(np.exp(logs).sum(axis=0) + 0, 1, atol=0.05)
 
 
+def test_every_language_is_learned(table):
+    rows = [(i, f"l{i % 1100:04d}", f"text {i % 1100} of this") for i in range(5500)]
+    docs = table(rows, "doc_id long, lang string, text string")
+    expected = {r.lang for r in docs.filter(~language.held_out()).select("lang").collect()}
+    assert len(expected) > 1000 and language.fit(docs, 2, 1).langs == sorted(expected)
+
+
 def test_language_of_nothing(spark, table):
     empty = spark.createDataFrame([], SCHEMA)
     assert language.identify(empty, language.fit(empty)).count() == 0
