@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, near_dup, packing, quality, suffix_dedup, warc
+from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, merkle, near_dup, packing, quality, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,13 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document in the tree of its language and the tree of languages."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), 2, tampered)
+
+
 # Check SQL by brute force over the whole tables, where SQL can express the result.
 SQL["op4_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
     h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
@@ -125,3 +132,37 @@ SQL["op6_near_dup"] = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_
     reach(u, v) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
     c AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
     SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(n_chars: str) -> str:
+    texts = [f"CAST({n_chars if c == 'n_chars' else c} AS VARCHAR)" for c in _FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+# CRC-32 bit by bit, as DuckDB has no function for it
+_CRC = """xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+SQL["op11_merkle"] = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql('n_chars')} AS leaf,
+        CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql('(n_chars + 1)')} ELSE {_leaf_sql('n_chars')} END AS shown FROM documents),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS n FROM d),
+    low(tree, level, place, digest, n) AS (SELECT tree, 0, place, leaf, n FROM r
+        UNION ALL SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM low WHERE n > 1 GROUP BY tree, level, place // 2, n),
+    t AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS top_place, count(*) OVER () AS top_n FROM low WHERE n = 1),
+    high(level, place, digest, n) AS (SELECT 0, top_place, subroot, top_n FROM t
+        UNION ALL SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (n + 1) // 2 FROM high WHERE n > 1 GROUP BY level, place // 2, n),
+    sib AS MATERIALIZED (SELECT r.tree, r.place, l.level, l.digest, l.place > (r.place >> l.level) AS behind FROM r JOIN low l ON l.tree = r.tree AND l.place = xor(r.place >> l.level, 1) AND l.n > 1
+        UNION ALL SELECT r.tree, r.place, 100 + h.level, h.digest, h.place > (t.top_place >> h.level) FROM r JOIN t USING (tree) JOIN high h ON h.place = xor(t.top_place >> h.level, 1) AND h.n > 1),
+    deep AS (SELECT tree, max(level) AS depth FROM low GROUP BY tree), tall AS (SELECT max(level) AS depth FROM high),
+    fold(tree, place, level, digest) AS (SELECT tree, place, CASE WHEN depth = 0 THEN 100 ELSE 0 END, shown FROM r JOIN deep USING (tree)
+        UNION ALL SELECT f.tree, f.place, CASE WHEN f.level < 100 AND f.level + 1 >= deep.depth THEN 100 ELSE f.level + 1 END,
+            sha256(CASE WHEN s.digest IS NULL THEN f.digest WHEN s.behind THEN f.digest || s.digest ELSE s.digest || f.digest END)
+        FROM fold f JOIN deep USING (tree) CROSS JOIN tall LEFT JOIN sib s ON s.tree = f.tree AND s.place = f.place AND s.level = f.level
+        WHERE f.level < 100 + tall.depth),
+    p AS (SELECT tree, place, string_agg(digest, '' ORDER BY level) AS proof FROM sib GROUP BY tree, place),
+    x AS (SELECT tree, place, arg_max(digest, level) AS folded_root FROM fold GROUP BY tree, place)
+    SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+        folded_root = (SELECT digest FROM high WHERE n = 1) AS verified, place, n AS tree_leaves, CAST(length(coalesce(proof, '')) // 64 AS BIGINT) AS proof_digests
+    FROM r JOIN t USING (tree) JOIN x USING (tree, place) LEFT JOIN p USING (tree, place)"""
