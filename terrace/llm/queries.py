@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, merkle, near_dup, packing, quality, suffix_dedup, warc
+from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, merkle, near_dup, packing, part_codes, quality, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), 2, tampered)
 
 
+@query
+def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors: 8 parts, 16 entries each, 6 rounds."""
+    return part_codes.compress(table(spark, sf_dir, "embeddings"), 8, 16, 6)
+
+
 # Check SQL by brute force over the whole tables, where SQL can express the result.
 SQL["op4_warc"] = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
     h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p),
@@ -166,3 +172,28 @@ SQL["op11_merkle"] = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lan
     SELECT doc_id, leaf, subroot, (SELECT digest FROM high WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
         folded_root = (SELECT digest FROM high WHERE n = 1) AS verified, place, n AS tree_leaves, CAST(length(coalesce(proof, '')) // 64 AS BIGINT) AS proof_digests
     FROM r JOIN t USING (tree) JOIN x USING (tree, place) LEFT JOIN p USING (tree, place)"""
+
+
+def _codes_sql(positions: int, entries: int, rounds: int) -> str:
+    book = f"""b0 AS MATERIALIZED (SELECT p, e, list_slice(v, p * len(v) // {positions} + 1, (p + 1) * len(v) // {positions}) AS c
+        FROM (SELECT v, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM k QUALIFY e < {entries}), parts)"""
+    steps = [book]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT i, q.p, min((d, e)) AS best, any_value(x) AS x FROM (
+            SELECT i, q.p, e, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM q JOIN b{r} ON q.p = b{r}.p) q GROUP BY i, q.p)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN (
+                SELECT p, e, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS HUGEINT) ORDER BY j) AS c FROM (
+                    SELECT p, best[2] AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM q))) AS j) GROUP BY p, best[2], j) GROUP BY p, e) m
+                ON b.p = m.p AND b.e = m.e)""")
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT unnest(range(0, {positions})) AS p),
+        q AS MATERIALIZED (SELECT i, p, list_slice(v, p * len(v) // {positions} + 1, (p + 1) * len(v) // {positions}) AS x FROM k, parts),
+        {", ".join(steps)},
+        o AS (SELECT i, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{rounds} GROUP BY i)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+        (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM k JOIN o USING (i)"""
+
+
+SQL["op13_part_codes"] = _codes_sql(8, 16, 6)
