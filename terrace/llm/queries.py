@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, merkle, near_dup, packing, part_codes, quality, suffix_dedup, warc
+from terrace.llm import ann, byte_bpe, embed_dedup, html_text, language, merkle, near_dup, packing, part_codes, quality, substring_dedup, suffix_dedup, warc
 from terrace.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,12 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), 2, tampered)
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document left when 13-word windows of smaller documents are removed."""
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"), 13).drop("kept_text")
+
+
 @query
 def op13_part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors: 8 parts, 16 entries each, 6 rounds."""
@@ -197,3 +203,14 @@ def _codes_sql(positions: int, entries: int, rounds: int) -> str:
 
 
 SQL["op13_part_codes"] = _codes_sql(8, 16, 6)
+
+
+SQL["op12_substring_dedup"] = """WITH w AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+    s AS (SELECT i, doc_id, words, unnest(range(1, len(words) - 11)) AS j FROM w WHERE len(words) >= 13),
+    h AS MATERIALIZED (SELECT i, doc_id, j, md5(array_to_string(words[j:j + 12], ' ')) AS h FROM s),
+    g AS (SELECT i, j FROM h JOIN (SELECT h, min(doc_id) AS least FROM h GROUP BY h) USING (h) WHERE doc_id > least),
+    c AS (SELECT i, list(DISTINCT k) AS gone FROM (SELECT i, unnest(range(j, j + 13)) AS k FROM g) GROUP BY i),
+    o AS (SELECT doc_id, words, len(words) AS n, coalesce(gone, []) AS gone, list_transform(range(1, len(words) + 1), lambda k: list_contains(coalesce(gone, []), k)) AS cut FROM w LEFT JOIN c USING (i))
+    SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+    sha256(coalesce(array_to_string(list_filter(list_transform(range(1, n + 1), lambda k: CASE WHEN NOT cut[k] THEN words[k] END), lambda x: x IS NOT NULL), ' '), '')) AS kept_sha256,
+    CAST(len(list_filter(range(1, n + 1), lambda k: cut[k] AND (k = 1 OR NOT cut[k - 1]))) AS BIGINT) AS n_spans FROM o"""
