@@ -2,17 +2,22 @@
 
 Both views start from the labelled sample. In each round a view labels the pool
 rows it is surest of, in the proportion of the classes, and hands them to the
-other one. Afterwards both are calibrated on labelled rows that neither saw, and
-a small model over both calibrated views gives the score of every document.
+other one. It teaches only while its sure calls are right on labelled rows that
+neither view learns from, and the other one keeps a lesson only if its loss there
+does not rise. The same rows calibrate both views and a small model over them,
+which scores every document; the least accepted score is cut on yet other rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +28,12 @@ POOL_DOCS = 4000
 ROUNDS = 4
 PER_ROUND = 200
 SURE = 0.95
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BUCKETS = 64
+WORD_BUCKETS = 256
 CLASSES = 16
 N_STATS = 8
-N_TEXT = 129 + CLASSES * CLASSES + N_STATS
+N_TEXT = 129 + CLASSES * CLASSES + 2 * WORD_BUCKETS + N_STATS
 
 FEATURES = pa.schema([("doc_id", pa.int64()), ("text_view", pa.list_(pa.float32())), ("meta_view", pa.list_(pa.float32()))])
 OUT = pa.schema([("doc_id", pa.int64()), ("quality_score", pa.float64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("accepted", pa.bool_())])
@@ -47,7 +53,7 @@ _KIND = byte_classes()
 
 
 def text_view(texts: list[bytes]) -> np.ndarray:
-    """One row per text: shares of bytes, shares of neighbouring byte classes, and word statistics."""
+    """One row per text: shares of bytes, of neighbouring byte classes, of hashed words and word pairs, and word statistics."""
     n = len(texts)
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
@@ -62,6 +68,11 @@ def text_view(texts: list[bytes]) -> np.ndarray:
     out[:, 129:129 + CLASSES * CLASSES] = np.sqrt(counts.reshape(n, -1) / scale)
     for i, text in enumerate(texts):
         words = text.split()
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        pair = (hashed[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ hashed[1:]
+        for k, h in enumerate((hashed, pair)):
+            at = 129 + CLASSES * CLASSES + k * WORD_BUCKETS
+            out[i, at:at + WORD_BUCKETS] = np.sqrt(np.bincount((h >> np.uint64(40)).astype(np.int64) % WORD_BUCKETS, minlength=WORD_BUCKETS) / max(len(h), 1))
         distinct = len(set(words))
         twins = sum(map(bytes.__eq__, words, words[1:])) if distinct < 0.9 * len(words) else 0
         lines = text.split(b"\n")
@@ -72,22 +83,21 @@ def text_view(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def meta_view(columns: list[list]) -> np.ndarray:
-    """One row per document: strings one-hot by hash, numbers as logarithms; null has a place of its own."""
+def meta_view(columns: list[pa.Array]) -> np.ndarray:
+    """One row per document, by the type of each column: numbers as logarithms, all else one-hot by hash of its whole text; null has a place of its own."""
     parts = []
-    for values in columns:
-        if any(isinstance(v, str) for v in values):
-            part = np.zeros((len(values), BUCKETS), np.float32)
-            for i, v in enumerate(values):
-                part[i, 0 if v is None else 1 + sum(v.encode()[:64]) % (BUCKETS - 1)] = 1
-        else:
-            number = np.array([np.nan if v is None else float(v) for v in values])
+    for column in columns:
+        kind, part = column.type, np.zeros((len(column), BUCKETS), np.float32)
+        if pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_decimal(kind) or pa.types.is_boolean(kind):
+            number = np.array([np.nan if v is None else float(v) for v in column.to_pylist()])
             size = np.log1p(np.abs(np.nan_to_num(number, posinf=1e300, neginf=1e300)))
-            part = np.zeros((len(values), BUCKETS), np.float32)
             part[:, 0], part[:, 1], part[:, 2] = np.isnan(number), size / 10, (size / 10) ** 2
-            part[np.arange(len(values)), np.minimum(3 + size.astype(int), BUCKETS - 1)] = 1
+            part[np.arange(len(number)), np.minimum(3 + size.astype(int), BUCKETS - 1)] = 1
+        else:
+            for i, v in enumerate(column.to_pylist()):
+                part[i, 0 if v is None else 1 + zlib.crc32(str(v).encode()) % (BUCKETS - 1)] = 1
         parts.append(part)
-    return np.hstack(parts)
+    return np.hstack(parts) if parts else np.zeros((0, 0), np.float32)
 
 
 @dataclass
@@ -146,44 +156,77 @@ class Model:
 
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(doc_ids, text view, metadata view) of bounded runs of rows; columns are doc_id, text, metadata."""
-    texts = [t.encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-    for i, j in slices([len(t) for t in texts], CHUNK_BYTES):
-        yield batch.column(0).slice(i, j - i), text_view(texts[i:j]), meta_view([c.slice(i, j - i).to_pylist() for c in batch.columns[2:]])
+    raw = batch.column(1).cast(pa.binary())
+    for i, j in slices(pc.fill_null(pc.binary_length(raw), 0).to_pylist(), CHUNK_BYTES):
+        texts = [t or b"" for t in raw.slice(i, j - i).to_pylist()]
+        yield batch.column(0).slice(i, j - i), text_view(texts), meta_view([c.slice(i, j - i) for c in batch.columns[2:]])
 
 
 def _source(docs: DataFrame, metadata: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *metadata)
 
 
+def log_loss(y: np.ndarray, p: np.ndarray) -> float:
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()) if len(y) else 0.0
+
+
+def trustworthy(y: np.ndarray, p: np.ndarray) -> bool:
+    """Are the sure calls for both classes right often enough?"""
+    good, bad = y[p >= SURE], y[p <= 1 - SURE]
+    return bool(len(good) and len(bad) and good.mean() >= SURE and 1 - bad.mean() >= SURE)
+
+
+def lesson(p: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, labels) of the surest pool rows, both classes in proportion."""
+    good = np.argsort(-p, kind="stable")[:round(PER_ROUND * prior)]
+    bad = np.argsort(p, kind="stable")[:round(PER_ROUND * (1 - prior))]
+    good, bad = good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]
+    share = min(len(good) / max(prior, 1e-9), len(bad) / max(1 - prior, 1e-9))
+    good, bad = good[:int(share * prior)], bad[:int(share * (1 - prior))]
+    if not len(good) or not len(bad):
+        return np.zeros(0, int), np.zeros(0)
+    return np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+
+
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, metadata: list[str], rounds: int = ROUNDS) -> Model:
-    """The model from labelled rows (every fifth kept for calibration) and pool rows."""
-    kept = np.arange(len(y)) % 5 == 4
+    """The model from labelled rows and pool rows; of five labelled rows three teach, one calibrates and guards, one cuts."""
+    turn = np.arange(len(y)) % 5
+    taught, guard, cut = turn < 3, turn == 3, turn == 4
+    if len(set(y[taught])) < 2 or len(set(y[guard])) < 2 or not (y[cut] == 1).any():
+        taught = guard = cut = np.ones(len(y), bool)  # a handful of rows: nothing to hold out
     views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
     extra = {name: (np.zeros(0, int), np.zeros(0)) for name in views}
-    prior = y[~kept].mean()
-    fitted: dict[str, Linear] = {}
-    for step in range(rounds + 1):
-        for name, (own, pool) in views.items():
-            rows, labels = extra[name]
-            fitted[name] = Linear.fit(np.vstack([own[~kept], pool[rows]]), np.concatenate([y[~kept], labels]))
-        if step == rounds or not len(pool_text):
-            break
+    prior = float(y[taught].mean())
+
+    def learned(name: str, rows: np.ndarray, labels: np.ndarray) -> Linear:
+        own, pool = views[name]
+        return Linear.fit(np.vstack([own[taught], pool[rows]]), np.concatenate([y[taught], labels]))
+
+    fitted = {name: learned(name, *extra[name]) for name in views}
+    for _ in range(rounds if len(pool_text) else 0):
+        gained = False
         for name, other in (("text", "meta"), ("meta", "text")):
+            if not trustworthy(y[guard], sigmoid(fitted[name].logit(views[name][0][guard]))):
+                continue
             free = np.setdiff1d(np.arange(len(pool_text)), extra[other][0])
-            p = sigmoid(fitted[name].logit(views[name][1][free]))
-            good = free[np.argsort(-p, kind="stable")][:round(PER_ROUND * prior)]
-            bad = free[np.argsort(p, kind="stable")][:round(PER_ROUND * (1 - prior))]
-            sure = {"good": good[sigmoid(fitted[name].logit(views[name][1][good])) >= SURE], "bad": bad[sigmoid(fitted[name].logit(views[name][1][bad])) <= 1 - SURE]}
-            rows = np.concatenate([sure["good"], sure["bad"]]).astype(int)
-            labels = np.concatenate([np.ones(len(sure["good"])), np.zeros(len(sure["bad"]))])
-            extra[other] = np.concatenate([extra[other][0], rows]), np.concatenate([extra[other][1], labels])
+            rows, labels = lesson(sigmoid(fitted[name].logit(views[name][1][free])), prior)
+            if not len(rows):
+                continue
+            tried = np.concatenate([extra[other][0], free[rows]]), np.concatenate([extra[other][1], labels])
+            pupil = learned(other, *tried)
+            held = views[other][0][guard]
+            if log_loss(y[guard], sigmoid(pupil.logit(held))) <= log_loss(y[guard], sigmoid(fitted[other].logit(held))):
+                fitted[other], extra[other], gained = pupil, tried, True
+        if not gained:
+            break
     model = Model(metadata, fitted["text"], fitted["meta"])
-    a, b = model.text.logit(text[kept])[:, None], model.meta.logit(meta[kept])[:, None]
-    model.text_scale, model.meta_scale = Linear.fit(a, y[kept]), Linear.fit(b, y[kept])
-    model.both = Linear.fit(np.column_stack([model.text_scale.logit(a), model.meta_scale.logit(b)]), y[kept])
-    # rejection is for what is surely poor: at most one good calibration row in a thousand is lost
-    good = np.sort(model.score(text[kept], meta[kept])[0][y[kept] == 1])
-    model.threshold = float(min(0.5, good[int(len(good) * 0.001)])) if len(good) else 0.5
+    a, b = model.text.logit(text[guard])[:, None], model.meta.logit(meta[guard])[:, None]
+    model.text_scale, model.meta_scale = Linear.fit(a, y[guard]), Linear.fit(b, y[guard])
+    model.both = Linear.fit(np.column_stack([model.text_scale.logit(a), model.meta_scale.logit(b)]), y[guard])
+    # rejection is for what is surely poor: of the good rows held out for it, one in five hundred is lost
+    good = np.sort(model.score(text[cut], meta[cut])[0][y[cut] == 1])
+    model.threshold = float(min(0.5, good[int(len(good) * 0.002)]))
     return model
 
 
@@ -244,8 +287,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` that the model does not reject, all columns; all rows of an unfitted model."""
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        texts = pa.array([t or "" for t in batch.column("text").to_pylist()], pa.string())
-        views = pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, *(batch.column(c) for c in model.metadata)], names=["doc_id", "text", *model.metadata])
+        views = pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text", *model.metadata)], names=["doc_id", "text", *model.metadata])
         return np.concatenate([np.zeros(0, bool), *(model.score(text, meta)[0] >= model.threshold for _, text, meta in _views(views))])
 
     settings(docs.sparkSession)
