@@ -18,6 +18,7 @@ _ROOTS: dict[str, str] = {}
 def settings(spark: SparkSession) -> SparkSession:
     """Small Arrow batches, so that a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

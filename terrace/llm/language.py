@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from terrace.llm.common import filtered, settings, slices, table_of
 ORDER = 5
 FIT_DOCS = 1200
 CALIBRATION_DOCS = 300
-CHUNK_CHARS = 1 << 20
+# symbols x languages held at once
+CHUNK_CELLS = 1 << 20
+CHUNK_CHARS = CHUNK_CELLS // 4
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LETTERS: list[np.ndarray] = []
@@ -132,18 +135,18 @@ class Model:
         np.add.at(inside, start, 1)
         np.add.at(inside, end, -1)
         where = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
-        ladder = [spread(h) for h in hashes(code)]
+        ladder = hashes(code)
         logs = np.zeros((len(where), len(self.langs)))
         open_ = np.arange(len(where))
         for n in range(ORDER, 0, -1):
-            at = self.grams[n - 1].find(ladder[n - 1][where[open_]])
+            at = self.grams[n - 1].find(spread(ladder[n - 1][where[open_]]))
             hit = at >= 0
             logs[open_[hit]] += self.logs[n - 1][at[hit]]
             open_ = open_[~hit]
             if not len(open_):
                 break
             if n > 1:
-                context = self.contexts[n - 1].find(ladder[n - 2][where[open_] - 1])
+                context = self.contexts[n - 1].find(spread(ladder[n - 2][where[open_] - 1]))
                 known = context >= 0
                 logs[open_[known]] += self.backoff[n - 1][context[known]]
         logs[open_] += self.floor
@@ -153,6 +156,12 @@ class Model:
         letter = np.concatenate([[0], np.cumsum(code != 32)])
         return -(sums[index[end]] - sums[index[start]]) / np.maximum(n, 1)[:, None], letter[end] > letter[start]
 
+    def runs(self, texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+        """(place of the first, texts) of runs of a column whose symbols for all languages are held at once; null counts as empty."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        for i, j in slices(sizes, min(CHUNK_CHARS, CHUNK_CELLS // max(1, len(self.langs)))):
+            yield i, [t or "" for t in texts.slice(i, j - i).to_pylist()]
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """(language, score, cross-entropy, accepted) of each text."""
         if not self.langs:
@@ -280,10 +289,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("entropy", pa.list_(pa.float64()))])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices([len(t) for t in texts], CHUNK_CHARS):
-                entropy, lettered = model.entropies(texts[i:j])
-                yield table_of({"lang": [x if ok else None for x, ok in zip(batch.column(0).slice(i, j - i).to_pylist(), lettered, strict=True)], "entropy": entropy.tolist()}, schema)
+            for i, texts in model.runs(batch.column(1)):
+                entropy, lettered = model.entropies(texts)
+                yield table_of({"lang": [x if ok else None for x, ok in zip(batch.column(0).slice(i, len(texts)).to_pylist(), lettered, strict=True)], "entropy": entropy.tolist()}, schema)
 
     seen = sample.filter("calibrate").select("lang", "text").mapInArrow(measured, "lang string, entropy array<double>").filter("lang is not null").collect()
     if seen:
@@ -312,10 +320,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for i, j in slices([len(t) for t in texts], CHUNK_CHARS):
-                lang, score, entropy, accepted = model.judge(texts[i:j])
-                yield table_of({"doc_id": batch.column(0).slice(i, j - i), "lang_pred": lang, "score": score, "cross_entropy": entropy, "accepted": accepted}, OUT)
+            for i, texts in model.runs(batch.column(1)):
+                lang, score, entropy, accepted = model.judge(texts)
+                yield table_of({"doc_id": batch.column(0).slice(i, len(texts)), "lang_pred": lang, "score": score, "cross_entropy": entropy, "accepted": accepted}, OUT)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, OUT_DDL)
 
@@ -324,8 +331,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """Rows of ``docs`` whose text is in a learned language, all columns; all rows where none was learned."""
 
     def mask(batch: pa.RecordBatch) -> np.ndarray:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        return np.concatenate([np.zeros(0, bool), *(model.judge(texts[i:j])[3] for i, j in slices([len(t) for t in texts], CHUNK_CHARS))])
+        return np.concatenate([np.zeros(0, bool), *(model.judge(texts)[3] for _, texts in model.runs(batch.column("text")))])
 
     settings(docs.sparkSession)
     return filtered(docs, mask) if model.langs else docs

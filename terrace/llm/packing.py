@@ -34,7 +34,8 @@ class WordTokenizer:
 
     Valid for tokenizers that lower-case, split words from punctuation and drop
     blanks, so that no token crosses a blank. A word, its capitalised form and
-    the word with one mark behind it share a call where that is safe. The memo is emptied when it
+    the word with one mark behind it share a call where that is safe. A text that
+    holds an added token goes to the tokenizer whole. The memo is emptied when it
     holds ``MEMO_WORDS``.
     """
 
@@ -43,7 +44,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        # lower-cased words may look like an added token; whole texts go to a tokenizer that knows those
         self.model.encode_special_tokens = True
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo: dict[str, bytes] = {}
         self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True))
@@ -78,6 +82,20 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_runs(texts)
+        flat, counts = self._by_runs(pc.if_else(pa.array(whole), "", texts))
+        at = np.flatnonzero(whole)
+        coded = [np.array(self.library.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, self.kind) for i in at]
+        sizes = [len(x) for x in coded]
+        flat = np.insert(flat, np.repeat(np.cumsum(counts)[at], sizes), np.concatenate(coded))
+        counts[at] = sizes
+        return flat, counts
+
+    def _by_runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         runs = pc.ascii_split_whitespace(texts)
         coded = runs.flatten().filter(pc.not_equal(runs.flatten(), "")).dictionary_encode()
         n_runs = np.zeros(len(texts), np.int64)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -82,6 +83,40 @@ def test_quality_views_learn(spark, table):
     assert quality.judge(empty, model).count() == 0
 
 
+def test_metadata_features_do_not_depend_on_the_batch():
+    long = "s" * 64
+    columns = [pa.array(["ab", "ba", None, long + "x", long + "y"]), pa.array([3, None, 2**40, 0, 1]), pa.array([True, None, False, True, True]), pa.array([None] * 5, pa.string())]
+    whole = quality.meta_view(columns)
+    rows = np.vstack([quality.meta_view([c.slice(i, 1) for c in columns]) for i in range(5)])
+    assert (whole == rows).all()
+    words = whole[:, :quality.BUCKETS].argmax(axis=1)
+    assert words[0] != words[1] and words[3] != words[4] and words[2] == 0
+
+
+def test_a_view_that_teaches_wrongly_is_not_heard():
+    rng = np.random.default_rng(4)
+    y = (rng.random(600) < 0.8).astype(float)
+    text = np.column_stack([y + rng.normal(0, 0.4, 600), rng.normal(0, 1, 600)])
+    pool_y = (rng.random(400) < 0.8).astype(float)
+    pool = np.column_stack([pool_y + rng.normal(0, 0.4, 400), rng.normal(0, 1, 400)])
+    for meta, pool_meta in ((rng.normal(0, 1, (600, 2)), rng.normal(0, 1, (400, 2))), (text + rng.normal(0, 0.1, text.shape), 1 - pool)):
+        models = [quality.cotrain(text, meta, y, pool, pool_meta, [], rounds) for rounds in (0, 4)]
+        guard = np.arange(600) % 5 == 3
+        losses = [[quality.log_loss(y[guard], quality.sigmoid(view.logit(x[guard]))) for view, x in ((m.text, text), (m.meta, meta))] for m in models]
+        assert all(after <= before for before, after in zip(*losses))
+    assert quality.lesson(np.array([0.99, 0.98, 0.5]), 0.5)[0].size == 0
+    rows, labels = quality.lesson(np.array([0.99, 0.98, 0.97, 0.01, 0.5]), 0.5)
+    assert rows.tolist() == [0, 3] and labels.tolist() == [1, 0]
+
+
+def test_scores_do_not_depend_on_chunks(table, monkeypatch):
+    model = language.fit(table(corpus(60), SCHEMA))
+    texts = pa.array([r[1] for r in corpus(20, 3)] + [None, "", "123"])
+    whole = [x for _, run in model.runs(texts) for x in model.judge(run)[2].tolist()]
+    monkeypatch.setattr(language, "CHUNK_CHARS", 300)
+    assert np.allclose(whole, [x for _, run in model.runs(texts) for x in model.judge(run)[2].tolist()])
+
+
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     """Inputs and outputs of the pipeline's stages over a small corpus."""

@@ -96,8 +96,8 @@ def test_previous_factors_are_longest():
 
 def test_packing_is_whole_and_gapless(spark, table):
     tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = ROWS + [(200 + d, t) for d, t in random_documents(30, 1)]
+    marked = ["x <|endoftext|> y", "<|startoftext|>", "<|endoftext|><|endoftext|> Word", "é <|endoftext|", "a<|EndOfText|>b"]
+    rows = ROWS + [(200 + d, t) for d, t in random_documents(30, 1)] + [(900 + i, t) for i, t in enumerate(marked)]
     out = packing.pack(table(rows, "doc_id long, text string"), tokenizer_file("word_bpe_49k.json"), 64, 1).collect()
     places, pieces = {}, {}
     for r in out:
