@@ -16,9 +16,11 @@ _ROOTS: dict[str, str] = {}
 
 
 def settings(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches, so that a batch of very long texts stays small."""
+    """Small Arrow batches, so that a batch of very long texts stays small; shuffle files go with the query that made them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    # written tables cut every lineage here, so no later query needs the shuffles behind them
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -60,6 +62,7 @@ def filtered(docs: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray]) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(mask(batch), pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

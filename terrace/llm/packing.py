@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terrace.llm.common import settings, slices, stored, table_of
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 MEMO_WORDS = 1_000_000
 MARKS = ".,;:!?"
 _TOKENIZERS: dict[str, WordTokenizer] = {}

@@ -30,7 +30,7 @@ PER_ROUND = 200
 SURE = 0.95
 CHUNK_BYTES = 1 << 18
 BUCKETS = 64
-WORD_BUCKETS = 256
+WORD_BUCKETS = 64
 CLASSES = 16
 N_STATS = 8
 N_TEXT = 129 + CLASSES * CLASSES + 2 * WORD_BUCKETS + N_STATS
