@@ -26,16 +26,20 @@ def source_counts(chat: DataFrame) -> DataFrame:
 
 
 def run_health(chat: DataFrame, commentary: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
-    """One heartbeat row per fixture of ``runs`` (fixture_id).
+    """One heartbeat row per fixture of ``runs`` (fixture_id)."""
+    lines = commentary.groupBy("fixture_id").agg(F.count(F.lit(1)).alias("n_commentary"))
+    return status_rows(source_counts(chat), lines, runs, as_of)
+
 
-    The per-source map is built from counts already reduced to one row per
-    (fixture, source), largest source first.
+def status_rows(source_counts: DataFrame, lines: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Heartbeat rows from counts by (fixture_id, source) and of lines by fixture_id.
+
+    The per-source map lists the largest source first.
     """
-    counts = source_counts(chat).groupBy("fixture_id").agg(
+    counts = source_counts.groupBy("fixture_id").agg(
         F.sum("n").alias("n_reactions"),
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "source", "n"))).alias("_c"),
     )
-    lines = commentary.groupBy("fixture_id").agg(F.count(F.lit(1)).alias("n_commentary"))
     joined = runs.select("fixture_id").join(counts, "fixture_id", "left").join(lines, "fixture_id", "left")
     entries = F.transform(F.coalesce("_c", F.array()), lambda c: F.struct(c["source"].alias("key"), c["n"].alias("value")))
     zero = F.lit(0).cast("bigint")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrace import schemas
 from terrace.operators import archive, attribution, cleaning
 from terrace.operators.backfill import match_to_fixtures
 from terrace.operators.minutes import posts_to_chat
@@ -22,10 +21,8 @@ def backfill(posts: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 def run_backfill(posts: DataFrame, base: str) -> None:
     """Back-fill every fixture of the results table."""
-    results = tables.load(posts.sparkSession, f"{base}/match_results", schemas.RESULTS)
+    results = tables.load(posts.sparkSession, f"{base}/match_results", tables.MATCH_RESULTS)
     fixtures = results.withColumnRenamed("match_id", "fixture_id").select(
         "fixture_id", "home_team", "away_team", F.col("kickoff_utc")
     )
-    tables.upsert(
-        backfill(posts, fixtures), f"{base}/reactions", schemas.STORED_REACTIONS, ["match_id", "message_hash"]
-    )
+    tables.upsert(backfill(posts, fixtures), f"{base}/reactions", tables.REACTIONS)

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace import schemas
 from terrace.functions.lexicon import EMOTION_TERMS, Lexicon
 from terrace.operators import archive, attribution, cleaning, health, mood, selector, situation, threat
 from terrace.operators.minutes import posts_to_chat
@@ -56,19 +55,13 @@ def capture(
 def store(captured: Captured, fixtures: DataFrame, base: str, as_of: Column | None = None) -> None:
     """Write the run tables, the archive, the results, the reactions and the heartbeats."""
     stamp = F.current_timestamp() if as_of is None else as_of
-    for name, frame in (
-        ("raw_chat", captured.chat), ("raw_commentary", captured.lines), ("match_events", captured.events),
-    ):
-        frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}")
+    tables.replace_tables({"raw_chat": captured.chat, "raw_commentary": captured.lines, "match_events": captured.events}, base)
     tables.export_sorted(captured.state, f"{base}/state", ["fixture_id", "minute"])
     rows = archive.validate_state(captured.state.withColumn("ingest_seq", F.col("minute")), stamp)
-    tables.upsert(rows, f"{base}/match_archive", schemas.ARCHIVE, ["match_id", "minute"], replace_by=["match_id"])
+    tables.upsert(rows, f"{base}/match_archive", tables.MATCH_ARCHIVE)
     known = captured.state.select("fixture_id").distinct()
     results = archive.result_rows(fixtures.join(known, "fixture_id", "left_semi"), stamp)
-    tables.upsert(results, f"{base}/match_results", schemas.RESULTS, ["match_id"])
-    tables.upsert(
-        archive.stored_reactions(captured.chat), f"{base}/reactions", schemas.STORED_REACTIONS,
-        ["match_id", "message_hash"],
-    )
+    tables.upsert(results, f"{base}/match_results", tables.MATCH_RESULTS)
+    tables.upsert(archive.stored_reactions(captured.chat), f"{base}/reactions", tables.REACTIONS)
     beats = health.run_health(captured.chat, captured.lines, known, stamp)
-    tables.upsert(beats, f"{base}/run_status", schemas.RUN_STATUS, ["match_id"])
+    tables.upsert(beats, f"{base}/run_status", tables.RUN_STATUS)

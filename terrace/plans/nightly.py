@@ -15,7 +15,7 @@ def refit(
     min_minutes: int = fitting.MIN_MINUTES, as_of: Column | None = None,
 ) -> dict[str, object]:
     """Fit, append a history record when fitted, return the single result row."""
-    corpus = tables.load(spark, f"{base}/match_archive", schemas.ARCHIVE)
+    corpus = tables.load(spark, f"{base}/match_archive", tables.MATCH_ARCHIVE)
     result = fitting.fit_threshold(corpus, current, min_minutes).first().asDict()
     if result["status"] == "fitted":
         stamp = F.current_timestamp() if as_of is None else as_of

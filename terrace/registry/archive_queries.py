@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terrace import schemas
 from terrace import workload as w
 from terrace.operators import archive, fitting, threat
 from terrace.operators.threat import parse_commentary
@@ -123,16 +122,26 @@ def archive_upsert(spark, sf):
     """Archive everything, then merge changed rows of every third fixture twice."""
     path = _table_dir(spark, "archive")
     rows = _archive_rows(spark, sf)
-    tables.upsert(rows, path, schemas.ARCHIVE, ["match_id", "minute"], replace_by=["match_id"])
+    tables.upsert(rows, path, tables.MATCH_ARCHIVE)
     slot = F.split("match_id", "-")[1].cast("bigint")
     changed = rows.filter(F.pmod(slot, F.lit(3)) == 0).withColumn("crowd_panic_score", F.lit(1.0))
     for _ in range(2):
-        tables.upsert(changed, path, schemas.ARCHIVE, ["match_id", "minute"], replace_by=["match_id"])
-    return rounded(tables.load(spark, path, schemas.ARCHIVE), "crowd_panic_score").select(
+        tables.upsert(changed, path, tables.MATCH_ARCHIVE)
+    return rounded(tables.load(spark, path, tables.MATCH_ARCHIVE), "crowd_panic_score").select(
         "match_id", "minute", "crowd_panic_score", "situation"
     )
 
 
+@query("archive_merge", """SELECT fixture_id AS match_id, CAST(minute AS INTEGER) AS minute, CASE WHEN slot % 3 = 0 THEN minute % 3 = 0 ELSE flagged END AS flagged
+    FROM cls JOIN fx USING (fixture_id) WHERE slot % 3 <> 0 OR minute % 2 = 0""")
+def archive_merge(spark, sf):
+    """Rows of the fixtures at hand replace all their archived ones (a left anti join on the fixture)."""
+    rows = _archive_rows(spark, sf).select("match_id", "minute", "flagged")
+    slot = F.split("match_id", "-")[1].cast("bigint")
+    new = rows.filter((F.pmod(slot, F.lit(3)) == 0) & (F.col("minute") % 2 == 0)).withColumn("flagged", F.col("minute") % 3 == 0)
+    return archive.merge_by_key(rows, new, ["match_id"])
+
+
 @query("reaction_upsert", """SELECT fixture_id AS match_id, count(*) AS n FROM (SELECT DISTINCT fixture_id, event_type FROM ev) GROUP BY 1""")
 def reaction_upsert(spark, sf):
     """Two overlapping ticks merged on (fixture, message key); messages are the event types."""
@@ -143,8 +152,8 @@ def reaction_upsert(spark, sf):
         F.col("user_id").cast("string").alias("author"),
     )
     for tick in (rows.filter(F.col("message") != "view"), rows.filter(F.col("message") != "click")):
-        tables.upsert(archive.stored_reactions(tick), path, schemas.STORED_REACTIONS, ["match_id", "message_hash"])
-    return tables.load(spark, path, schemas.STORED_REACTIONS).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+        tables.upsert(archive.stored_reactions(tick), path, tables.REACTIONS)
+    return tables.load(spark, path, tables.REACTIONS).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sorted_export", "SELECT fixture_id, minute, team, event_type, count(*) AS n FROM mev GROUP BY ALL")

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terrace import schemas
 from terrace import workload as w
 from terrace.operators import textmodel
 from terrace.plans import backfill, ingest, nightly, training
@@ -28,10 +27,10 @@ def ingest_job(spark, sf):
     fixtures = w.fixtures(spark, sf)
     captured = ingest.capture(w.reactions(spark, sf), w.commentary(spark, sf), fixtures, THRESHOLD, w.LEXICON)
     ingest.store(captured, fixtures, base, F.lit(AS_OF).cast("timestamp"))
-    archived = tables.load(spark, f"{base}/match_archive", schemas.ARCHIVE).groupBy("match_id").agg(
+    archived = tables.load(spark, f"{base}/match_archive", tables.MATCH_ARCHIVE).groupBy("match_id").agg(
         F.max("minute").cast("bigint").alias("last_minute")
     )
-    beats = tables.load(spark, f"{base}/run_status", schemas.RUN_STATUS).select("match_id", F.col("n_reactions").alias("reactions"))
+    beats = tables.load(spark, f"{base}/run_status", tables.RUN_STATUS).select("match_id", F.col("n_reactions").alias("reactions"))
     return archived.join(beats, "match_id")
 
 
@@ -44,7 +43,7 @@ def nightly_job(spark, sf):
     base = _base(spark, "nightly")
     stamp = F.lit(AS_OF).cast("timestamp")
     rows = archive.validate_state(classified(spark, sf).withColumn("ingest_seq", F.col("minute")), stamp)
-    tables.upsert(rows, f"{base}/match_archive", schemas.ARCHIVE, ["match_id", "minute"], replace_by=["match_id"])
+    tables.upsert(rows, f"{base}/match_archive", tables.MATCH_ARCHIVE)
     result = nightly.refit(spark, base, as_of=stamp)
     return nightly.history(spark, base).groupBy("matches", "threshold").agg(F.count(F.lit(1)).alias("records")).select(
         F.lit(result["status"]).alias("status"), "matches", "threshold", "records"

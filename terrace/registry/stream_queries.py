@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace import workload as w
-from terrace.operators import alerts
-from terrace.registry.base import q6, query, rounded, state
+from terrace.operators import alerts, mood
+from terrace.registry.base import AS_OF, BALANCE, q6, query, rounded, s6, state
 from terrace.schemas import EMOTION_COLUMNS
 from terrace.session import shared_dir
 from terrace.sources import tables
 from terrace.streaming import live
+from terrace.streaming import state as keyed
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
+POSTS = "fixture_id STRING, created_utc TIMESTAMP, source STRING, author STRING, ingest_seq BIGINT, doc_id BIGINT"
+TICKS = 4
+TICK_FILES = 2
+STATE_PARTITIONS = "16"
 
 
 def _base(spark, name: str) -> str:
@@ -29,6 +36,38 @@ def _events(spark, sf):
     return stamped.withColumn("fixture_id", F.concat(F.lit("ESPN-"), slot.cast("string")))
 
 
+def _landed(rows: DataFrame, base: str, order: str = "created_utc") -> DataFrame:
+    """The rows as a stream of ``TICKS`` ticks of several files, by rising ``order``."""
+    spark = rows.sparkSession
+    place = F.unix_micros(order) if order == "created_utc" else F.col(order)
+    low, high = rows.agg(F.min(place), F.max(place)).first()
+    step = max(1, -(-((high or 0) - (low or 0) + 1) // TICKS))
+    for tick in range(TICKS):
+        part = rows.filter(F.floor((place - F.lit(low or 0)) / F.lit(step)) == tick)
+        part.repartition(TICK_FILES).write.mode("append").parquet(f"{base}/landed")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return live.landed_stream(spark, f"{base}/landed", schema, files_per_tick=TICK_FILES)
+
+
+def _drained(stream: DataFrame, step: Callable, base: str, mode: str = "append") -> list[dict]:
+    """The stream run to its end, with a number of state partitions that fits the benchmark."""
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", STATE_PARTITIONS)
+    try:
+        return live.run_to_end(stream, step, f"{base}/checkpoint", mode)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
+
+
+def _written(base: str) -> Callable:
+    """Batch function: the tick as a folder of its own."""
+    def step(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/table/tick={batch_id}")
+
+    return step
+
+
 def _posts(spark, sf):
     return _events(spark, sf).filter(F.col("event_type").isin("click", "view", "signup"))
 
@@ -36,9 +75,9 @@ def _posts(spark, sf):
 @query("stream_minutes", """SELECT fixture_id, epoch_us(date_trunc('minute', created_utc)) AS minute_micros, count(*) AS n FROM posts GROUP BY ALL""")
 def stream_minutes(spark, sf):
     base = _base(spark, "minutes")
-    sink = live.upsert_sink(f"{base}/table", live.MINUTE_COUNTS, ["fixture_id", "minute_start"])
-    live.run_to_end(live.minute_counts(_posts(spark, sf)), sink, f"{base}/checkpoint", "update")
-    counts = tables.load(spark, f"{base}/table", live.MINUTE_COUNTS, "fixture_id")
+    sink = live.upsert_sink(f"{base}/table", live.MINUTE_COUNTS)
+    _drained(live.minute_counts(_landed(w.posts(spark, sf), base)), sink, base, "update")
+    counts = tables.load(spark, f"{base}/table", live.MINUTE_COUNTS)
     return counts.select("fixture_id", F.unix_micros("minute_start").alias("minute_micros"), "n")
 
 
@@ -46,38 +85,74 @@ def stream_minutes(spark, sf):
     sum(value / 100.0) AS xg FROM ev, (SELECT unnest(range(0, 10)) AS back) WHERE event_type = 'purchase' GROUP BY ALL)""")
 def stream_threat(spark, sf):
     base = _base(spark, "threat")
-    shots = _events(spark, sf).filter(F.col("event_type") == "purchase").withColumn("xg_value", F.col("value") / 100.0)
-    sink = live.upsert_sink(f"{base}/table", live.THREAT_WINDOWS, ["fixture_id", "window_start"])
-    live.run_to_end(live.threat_windows(shots), sink, f"{base}/checkpoint", "update")
-    windows = tables.load(spark, f"{base}/table", live.THREAT_WINDOWS, "fixture_id")
+    sink = live.upsert_sink(f"{base}/table", live.THREAT_WINDOWS)
+    _drained(live.threat_windows(_landed(_shots(spark, sf), base)), sink, base, "update")
+    windows = tables.load(spark, f"{base}/table", live.THREAT_WINDOWS)
     return rounded(windows, "xg").select("fixture_id", F.unix_micros("window_start").alias("start_micros"), "xg")
 
 
-@query("stream_dedup", "SELECT fixture_id, count(DISTINCT user_id) AS authors FROM posts JOIN ev USING (fixture_id) WHERE ev.event_id = posts.ingest_seq GROUP BY 1")
-def stream_dedup(spark, sf):
+def _shots(spark, sf):
+    shots = w.events(spark, sf).filter(F.col("event_type") == "purchase")
+    return shots.select("fixture_id", "created_utc", (F.col("value") / 100.0).alias("xg_value"))
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# the last window that the watermark has closed ends at or before this
+_CLOSED = """(SELECT least((SELECT max(epoch_ms(created_utc)) FROM posts), (SELECT max(epoch_ms(ts)) FROM ev WHERE event_type = 'purchase')) - 900000) * 1000"""
+
+
+@query("stream_mood", f"""SELECT m.fixture_id, m.end_micros, {s6('m.mood')} AS mood, {s6('x.xg')} AS xg FROM (
+      SELECT fixture_id, (minute - back + 5) * 60000000 AS end_micros, avg(p) AS mood FROM (
+        SELECT fixture_id, epoch_us(created_utc) // 60000000 AS minute, avg(tanh(2 * ({BALANCE}))) AS p FROM posts JOIN shares USING (doc_id) GROUP BY ALL),
+        (SELECT unnest(range(0, 5)) AS back) GROUP BY ALL) m
+    JOIN (SELECT fixture_id, (epoch_us(ts) // 60000000 - back + 10) * 60000000 AS end_micros, sum(value / 100.0) AS xg
+      FROM ev, (SELECT unnest(range(0, 10)) AS back) WHERE event_type = 'purchase' GROUP BY ALL) x USING (fixture_id, end_micros)
+    WHERE m.end_micros <= {_CLOSED}""")
+def stream_mood(spark, sf):
+    """Five-minute mood beside the ten-minute threat of the same moment, for all windows the watermark has closed."""
+    base = _base(spark, "mood")
+    shares = _stored(mood.emotion_shares(w.scored_documents(spark, sf)), f"{base}/shares")
+    scored = _landed(w.posts(spark, sf), f"{base}/posts").join(shares, "doc_id").withColumn("panic", mood.panic_from_shares())
+    shots = _landed(_shots(spark, sf), f"{base}/shots")
+    _drained(live.mood_with_threat(scored.select("fixture_id", "created_utc", "panic"), shots), _written(base), base)
+    found = tables.scan(spark, f"{base}/table", "fixture_id STRING, window_time TIMESTAMP, mood DOUBLE, xg DOUBLE")
+    return rounded(found, "mood", "xg").select("fixture_id", (F.unix_micros("window_time") + 1).alias("end_micros"), "mood", "xg")
+
+
+@query("stream_author_dedup", "SELECT fixture_id, count(DISTINCT user_id) AS authors FROM posts JOIN ev USING (fixture_id) WHERE ev.event_id = posts.ingest_seq GROUP BY 1")
+def stream_author_dedup(spark, sf):
     """One post per fixture and author survives the watermark de-dup."""
-    base = _base(spark, "dedup")
+    base = _base(spark, "authors")
     kept = live.without_repeats(_posts(spark, sf), ("fixture_id", "user_id")).select("fixture_id", "event_id")
+    _drained(kept, _written(base), base)
+    return spark.read.parquet(f"{base}/table").groupBy("fixture_id").agg(F.count(F.lit(1)).alias("authors"))
 
-    def step(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/table/tick={batch_id}")
 
-    live.run_to_end(kept, step, f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/table").groupBy("fixture_id").agg(F.count(F.lit(1)).alias("authors"))
+@query("stream_dedup", """SELECT fixture_id, ingest_seq FROM posts JOIN doc_flags USING (doc_id)
+    QUALIFY row_number() OVER (PARTITION BY fixture_id, norm ORDER BY ingest_seq) = 1""")
+def stream_dedup(spark, sf):
+    """Over several ticks, the first of all messages of a fixture that read alike: whole texts, exact key state."""
+    base = _base(spark, "dedup")
+    texts = w.documents(spark, sf).select("doc_id", F.col("text").alias("message"))
+    posts = _landed(w.posts(spark, sf), base).join(texts, "doc_id").join(w.fixtures(spark, sf).select("fixture_id", "kickoff_utc"), "fixture_id")
+    _drained(live.state.first_messages(posts), _written(base), base)
+    return tables.scan(spark, f"{base}/table", keyed.FIRSTS).select("fixture_id", "ingest_seq")
 
 
 @query("stream_series", f"""SELECT fixture_id, minute, {q6(*EMOTION_COLUMNS, 'crowd_panic_score', 'emotional_volatility')},
     CAST(comment_volume AS BIGINT) AS comment_volume FROM series""")
 def stream_series(spark, sf):
-    """The mood series kept up to date tick by tick equals the batch series."""
+    """The mood series, kept as state over several ticks that emit the changed minutes alone, equals the batch series."""
     base = _base(spark, "series")
-    documents = w.table(spark, sf, "documents")
-    n = documents.agg(F.count(F.lit(1))).first()[0]
-    posts = _posts(spark, sf).withColumn("doc_id", F.pmod("event_id", F.lit(n)))
-    texted = posts.join(documents.select("doc_id", F.col("text").alias("message")), "doc_id")
-    step = live.update_series(base, lambda s: w.fixtures(s, sf), w.LEXICON)
-    live.run_to_end(texted, step, f"{base}/checkpoint")
-    series = tables.load(spark, f"{base}/series", live.SERIES, "fixture_id")
+    fixtures = w.fixtures(spark, sf)
+    shares = _stored(mood.emotion_shares(w.scored_documents(spark, sf)), f"{base}/shares")
+    chat = live.posts_to_chat(_landed(w.posts(spark, sf), base), fixtures).join(fixtures.select("fixture_id", "kickoff_utc"), "fixture_id")
+    _drained(keyed.mood_changes(chat.join(shares, "doc_id")), live.upsert_sink(f"{base}/series", live.MOOD_SERIES), base, "update")
+    series = tables.load(spark, f"{base}/series", live.MOOD_SERIES)
     numbers = [*EMOTION_COLUMNS, "crowd_panic_score", "emotional_volatility"]
     return rounded(series, *numbers).select("fixture_id", "minute", *numbers, "comment_volume")
 
@@ -94,10 +169,61 @@ def stream_buffer(spark, sf):
         F.col("event_type").alias("source"), F.lit("").alias("author"), F.col("event_id").alias("ingest_seq"),
     )
     live.run_to_end(rows, live.keep_buffer(f"{base}/table", 8), f"{base}/checkpoint")
-    return tables.load(spark, f"{base}/table", live.BUFFER, "fixture_id").select("fixture_id", "ingest_seq")
+    return tables.load(spark, f"{base}/table", live.BUFFERED).select("fixture_id", "ingest_seq")
+
+
+def _board(spark, sf):
+    """Fixtures as of a moment at which some are over: the first half hour after kickoff saw those that ended."""
+    seen = F.when(F.col("state") == "post", F.col("kickoff_utc") + F.expr("INTERVAL 100 MINUTES"))
+    return w.fixtures(spark, sf).withColumn("post_first_seen", seen)
+
+
+LATE_AS_OF = "2024-01-15 00:30:00"
+
 
+@query("late_rows", f"""SELECT p.fixture_id, ingest_seq, CASE WHEN state NOT IN ('pre', 'in') AND (TIMESTAMP '{LATE_AS_OF}' >= kickoff_utc + INTERVAL 115 MINUTE
+    OR TIMESTAMP '{LATE_AS_OF}' >= kickoff_utc + INTERVAL 180 MINUTE) THEN 'late' ELSE 'live' END AS route FROM posts p JOIN fx USING (fixture_id)""")
+def late_rows(spark, sf):
+    """Every post in one of two sinks: rows of frozen fixtures in the late one, all others in the live one."""
+    base = _base(spark, "late")
+    step = live.late_and_live(base, lambda s: _board(s, sf), F.lit(LATE_AS_OF).cast("timestamp"))
+    _drained(_landed(w.posts(spark, sf), base), step, base)
+    return live.routed(spark, base, POSTS).select("fixture_id", "ingest_seq", "route")
 
-@query("alert_throttle", """SELECT fixture_id, m AS minute FROM alert_steps WHERE m IS NOT NULL""")
+
+@query("stream_heartbeat", """SELECT fixture_id AS match_id, coalesce(sum(n) FILTER (kind = 'post'), 0)::BIGINT AS n_reactions, coalesce(sum(n) FILTER (kind = 'line'), 0)::BIGINT AS n_commentary,
+    coalesce(string_agg(event_type || ' ' || n, ', ' ORDER BY n DESC, event_type) FILTER (kind = 'post'), '') AS sources, coalesce(sum(n) FILTER (kind = 'line'), 0) > 0 AS fetch_ok FROM (
+      SELECT fixture_id, event_type, CASE WHEN event_type IN ('click', 'view', 'signup') THEN 'post' ELSE 'line' END AS kind, count(*) AS n
+      FROM ev WHERE event_type IN ('click', 'view', 'signup', 'purchase', 'error') GROUP BY ALL) GROUP BY 1""")
+def stream_heartbeat(spark, sf):
+    """Heartbeats from counts kept tick by tick, posts and lines in one scan."""
+    base = _base(spark, "heartbeat")
+    kind = F.when(F.col("event_type").isin("click", "view", "signup"), "post").when(F.col("event_type").isin("purchase", "error"), "line")
+    rows = w.events(spark, sf).select("fixture_id", "created_utc", kind.alias("kind"), F.col("event_type").alias("source")).filter("kind is not null")
+    _drained(live.tick_counts(_landed(rows, base)), live.upsert_sink(f"{base}/table", live.TICK_COUNTS), base, "update")
+    beats = live.heartbeats(spark, f"{base}/table", F.lit(AS_OF).cast("timestamp"))
+    entries = F.transform(F.map_entries("reactions_by_source"), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string")))
+    return beats.select("match_id", "n_reactions", "n_commentary", F.coalesce(F.array_join(entries, ", "), F.lit("")).alias("sources"), "fetch_ok")
+
+
+_ALERTS = """SELECT fixture_id, m AS minute FROM alert_steps WHERE m IS NOT NULL"""
+
+
+@query("stream_alerts", _ALERTS)
+def stream_alerts(spark, sf):
+    """Alerts from a stream of flagged minutes, by the state of the last one; a second run over the same checkpoint adds none."""
+    base = _base(spark, "alerts")
+    kickoffs = w.fixtures(spark, sf).select("fixture_id", "kickoff_utc")
+    flagged = state(spark, sf).filter("flagged").select("fixture_id", "minute").join(kickoffs, "fixture_id")
+    moments = flagged.select("fixture_id", F.timestamp_micros(F.unix_micros("kickoff_utc") + F.col("minute") * 60_000_000).alias("created_utc"))
+    stream = keyed.alerts(_landed(moments, base).withColumnRenamed("created_utc", "flagged_utc"))
+    for _ in range(2):
+        _drained(stream, _written(base), base)
+    found = tables.scan(spark, f"{base}/table", keyed.ALERTS).join(kickoffs, "fixture_id")
+    minute = F.floor((F.unix_micros("alert_utc") - F.unix_micros("kickoff_utc")) / F.lit(60_000_000)).cast("bigint")
+    return found.select("fixture_id", minute.alias("minute"))
+
+
+@query("alert_throttle", _ALERTS)
 def alert_throttle(spark, sf):
     return alerts.throttle(state(spark, sf).filter("flagged"))
-

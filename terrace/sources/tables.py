@@ -1,31 +1,44 @@
 """Stored tables: scans with fixed schemas, sorted exports, keyed merges, JSON rows.
 
-Tables that are merged by fixture are partitioned by a hash bucket of the key,
-not by the key itself: a partition per fixture would leave millions of tiny
-files. A merge writes the touched buckets anew into a part of its own and then
-publishes them with one small file, so a merge that stops half way changes
-nothing. Nothing is overwritten in place; ``compact`` copies the current rows
-into a fresh table, apart from the write path.
+A keyed table is a folder of appended rows; the newest write of a key speaks for
+it when the table is read. A merge therefore reads nothing and changes nothing
+that is there: writers of different keys never meet, of two writers of one key
+the later one counts, and a writer that is killed before its commit leaves no
+row. Rows lie in hash buckets of their first key, not in a folder for each
+fixture, which would leave millions of tiny files. ``compact`` writes the
+current rows as a fresh table, apart from the write path.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrace.operators.archive import merge_by_key
+from terrace import schemas
 from terrace.schemas import column_names
 
-# Buckets of a table created without a count of its own; the count is stored with the table.
-BUCKETS = 64
-MANIFEST = "version BIGINT, token STRING, buckets INT, parts ARRAY<STRUCT<bucket: INT, part: STRING>>"
+
+@dataclass(frozen=True)
+class Keyed:
+    """A merged table: rows are replaced by ``keys``, or all rows of a ``replace_by`` prefix at once."""
+
+    schema: str
+    keys: tuple[str, ...]
+    replace_by: tuple[str, ...] = ()
+    buckets: int = 64
+
+
+MATCH_ARCHIVE = Keyed(schemas.ARCHIVE, ("match_id", "minute"), ("match_id",))
+MATCH_RESULTS = Keyed(schemas.RESULTS, ("match_id",))
+RUN_STATUS = Keyed(schemas.RUN_STATUS, ("match_id",))
+REACTIONS = Keyed(schemas.STORED_REACTIONS, ("match_id", "message_hash"))
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -46,107 +59,42 @@ def bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-@dataclass(frozen=True)
-class Published:
-    """The newest published state: its number, bucket count and the part that holds each bucket."""
+def upsert(new: DataFrame, path: str, table: Keyed, at: int | None = None) -> None:
+    """Keyed merge: one append; the same merge run twice reads as once.
 
-    version: int
-    buckets: int
-    parts: dict[int, str]
+    ``at`` orders the writes, the clock by default; a stream passes its batch
+    number, so that a replayed tick takes the place of its first run. ``new`` may
+    itself come from the table. No rows: nothing changes.
+    """
+    stamped = new.select(*column_names(table.schema)).withColumns({
+        "_at": F.lit(time.time_ns() // 1000 if at is None else at).cast("bigint"),
+        "_token": F.lit(uuid.uuid4().hex if at is None else ""),
+        "bucket": bucket(F.col(table.keys[0]), table.buckets),
+    })
+    # one file of a small bucket, several of a large one
+    stamped.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *table.keys).write.mode("append").option(
+        "compression", "zstd"
+    ).partitionBy("bucket").parquet(path)
 
 
-def published(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Published:
-    """Current state of a bucketed table; version 0 without rows where nothing was published yet."""
-    try:
-        states = spark.read.schema(MANIFEST).json(f"{path}/manifest")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return Published(0, buckets, {})
-    newest = states.filter(F.col("version").isNotNull()).orderBy(F.desc("version"), "token").first()
-    if newest is None:
-        return Published(0, buckets, {})
-    return Published(newest["version"], newest["buckets"], {held["bucket"]: held["part"] for held in newest["parts"]})
-
-
-def _rows_of(spark: SparkSession, path: str, schema: str, parts: dict[int, str], wanted: Column | None = None) -> DataFrame:
-    """Wanted rows of the given buckets, ``bucket`` included; pruned to their folders."""
-    held: dict[str, list[int]] = {}
-    for number, part in parts.items():
-        held.setdefault(part, []).append(number)
-    stored = f"{schema}, part STRING, bucket INT"
-    if not held:
-        return empty(spark, stored).drop("part")
-    current = F.lit(False)
-    for part, numbers in held.items():
-        current = current | ((F.col("part") == part) & F.col("bucket").isin(numbers))
-    folders = [f"{path}/data/part={part}" for part in held]
-    rows = spark.read.schema(stored).option("basePath", f"{path}/data").parquet(*folders)
-    return (rows if wanted is None else rows.filter(wanted)).filter(current).drop("part")
-
-
-def load(spark: SparkSession, path: str, schema: str, key: str = "match_id", only: str | None = None) -> DataFrame:
-    """Bucketed table, optionally one fixture: prunes to its bucket, pushes the filter."""
-    state = published(spark, path)
-    wanted = None
+def load(spark: SparkSession, path: str, table: Keyed, only: str | None = None) -> DataFrame:
+    """Current rows of a merged table, optionally of one fixture: prunes to its bucket, pushes the filter."""
+    rows = scan(spark, path, f"{table.schema}, _at BIGINT, _token STRING, bucket INT")
     if only is not None:
-        wanted = (F.col("bucket") == bucket(F.lit(only), state.buckets)) & (F.col(key) == only)
-    return _rows_of(spark, path, schema, state.parts, wanted).drop("bucket")
-
-
-def write_part(df: DataFrame, path: str, buckets: int, keys: Sequence[str]) -> str:
-    """Rows as a new part, sorted inside the files; no reader sees it before it is published.
-
-    Rebalancing makes one file of a small bucket and several of a large one.
-    """
-    part = f"v{uuid.uuid4().hex}"
-    keyed = df.withColumn("bucket", bucket(F.col(keys[0]), buckets))
-    (
-        keyed.hint("rebalance", F.col("bucket"))
-        .sortWithinPartitions("bucket", *keys)
-        .write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/data/part={part}")
-    )
-    return part
-
-
-def publish(spark: SparkSession, path: str, state: Published) -> None:
-    """Make a state current by adding one file; two writers of one version are told to run again."""
-    row = (state.version, uuid.uuid4().hex, state.buckets, list(state.parts.items()))
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
-    same = spark.read.schema(MANIFEST).json(f"{path}/manifest").filter(F.col("version") == state.version)
-    if same.count() > 1:
-        raise RuntimeError(f"two writers published version {state.version} of {path}: run both merges again")
-
-
-def upsert(
-    new: DataFrame, path: str, schema: str, keys: Sequence[str], replace_by: Sequence[str] | None = None,
-    buckets: int = BUCKETS,
-) -> None:
-    """Keyed merge into a bucketed table; running it twice changes nothing.
-
-    ``replace_by`` names the key prefix whose old rows all go (a whole fixture);
-    by default rows are replaced one by one. ``buckets`` counts for a new table
-    only. ``new`` may itself come from the table: published parts never change.
-    No rows: nothing is written.
-    """
-    spark = new.sparkSession
-    names = column_names(schema)
-    state = published(spark, path, buckets)
-    rows = new.select(*names).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        touched = [r[0] for r in rows.select(bucket(F.col(keys[0]), state.buckets)).distinct().collect()]  # at most one number a bucket
-        if not touched:
-            return
-        old = _rows_of(spark, path, schema, {b: p for b, p in state.parts.items() if b in set(touched)}).select(*names)
-        part = write_part(merge_by_key(old, rows, list(replace_by or keys)), path, state.buckets, keys)
-        publish(spark, path, Published(state.version + 1, state.buckets, state.parts | dict.fromkeys(touched, part)))
-    finally:
-        rows.unpersist()
+        rows = rows.filter((F.col("bucket") == bucket(F.lit(only), table.buckets)) & (F.col(table.keys[0]) == only))
+    write = F.struct("_at", "_token")
+    if table.replace_by:
+        newest = rows.groupBy(*table.replace_by).agg(F.max(write).alias("_newest"))
+        rows = rows.join(newest, list(table.replace_by)).filter(write == F.col("_newest")).drop("_newest")
+    names = column_names(table.schema)
+    rest = [c for c in names if c not in table.keys]
+    kept = rows.groupBy(*table.keys).agg(F.max_by(F.struct(*rest), write).alias("_row"))
+    return kept.select(*table.keys, "_row.*").select(*names)
 
 
-def compact(spark: SparkSession, path: str, target: str, schema: str, keys: Sequence[str], buckets: int) -> None:
-    """The current rows as one part of a new table, with a bucket count of its own."""
-    upsert(load(spark, path, schema), target, schema, keys, buckets=buckets)
+def compact(spark: SparkSession, path: str, target: str, table: Keyed) -> None:
+    """The current rows as a new table in ``target``."""
+    upsert(load(spark, path, table), target, table)
 
 
 def export_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -156,10 +104,10 @@ def export_sorted(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     ).parquet(path)
 
 
-def replace_tables(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
-    """Create or replace the run tables."""
+def replace_tables(frames: dict[str, DataFrame], base: str) -> None:
+    """Write the run tables anew, each as a folder of ``base``."""
     for name, frame in frames.items():
-        frame.write.mode("overwrite").format("parquet").saveAsTable(name)
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}")
 
 
 def append_rows(df: DataFrame, path: str) -> None:

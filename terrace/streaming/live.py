@@ -1,42 +1,36 @@
-"""Streaming jobs over landed files: de-dup, minute windows, rolling state, buffers, alerts.
+"""Streaming jobs over landed files: de-dup, minute windows, mood, buffers, late rows, heartbeats, alerts.
 
-Windows by row (forward fill, lag, rolling rows) do not exist on streams. Those
-series are recomputed in ``foreachBatch`` for the fixtures a tick touched, from
-per-minute partial sums that a replayed tick overwrites, so every sink is
-idempotent.
+Row windows (forward fill, lag, rolling rows) do not exist on streams; the keyed
+state they need lives in ``state``. Sinks are keyed tables whose writes carry the
+number of the tick, or folders of one tick, so a replayed tick changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrace import schemas
 from terrace.functions.lexicon import EMOTION_TERMS, Lexicon, emotion_intensities
 from terrace.functions.text import normalised
 from terrace.operators import cleaning, health, mood
-from terrace.operators.alerts import GAP_MINUTES
 from terrace.operators.minutes import posts_to_chat
-from terrace.schemas import EMOTION_COLUMNS
 from terrace.sources import tables
+from terrace.streaming import state
+from terrace.streaming.state import LATENESS
 
-LATENESS = "15 minutes"
 TICK = "60 seconds"
 
-SERIES = (
-    "fixture_id STRING, minute BIGINT, crowd_panic_score DOUBLE, emo_panic DOUBLE, emo_anger DOUBLE, emo_joy DOUBLE, "
-    "emo_confidence DOUBLE, emo_despair DOUBLE, emo_surprise DOUBLE, comment_volume BIGINT, dominant_emotion STRING, "
-    "emotional_volatility DOUBLE"
-)
 BUFFER = (
     "fixture_id STRING, created_utc TIMESTAMP, message STRING, source STRING, author STRING, ingest_seq BIGINT"
 )
-MINUTE_COUNTS = "fixture_id STRING, minute_start TIMESTAMP, n BIGINT"
-THREAT_WINDOWS = "fixture_id STRING, window_start TIMESTAMP, xg DOUBLE"
+MOOD_SERIES = tables.Keyed(state.SERIES, ("fixture_id", "minute"))
+BUFFERED = tables.Keyed(BUFFER, ("fixture_id", "message"), ("fixture_id",))
+MINUTE_COUNTS = tables.Keyed("fixture_id STRING, minute_start TIMESTAMP, n BIGINT", ("fixture_id", "minute_start"))
+THREAT_WINDOWS = tables.Keyed("fixture_id STRING, window_start TIMESTAMP, xg DOUBLE", ("fixture_id", "window_start"))
+TICK_COUNTS = tables.Keyed("fixture_id STRING, kind STRING, source STRING, n BIGINT", ("fixture_id", "kind", "source"))
 
 
 def landed_stream(
@@ -82,98 +76,113 @@ def threat_windows(events: DataFrame) -> DataFrame:
     )
 
 
+def mood_windows(scored: DataFrame, column: str = "panic", minutes: int = mood.MOOD_WINDOW) -> DataFrame:
+    """Mean of the minute means of the ``minutes`` behind every minute: two chained window aggregates, append mode."""
+    means = (
+        scored.withWatermark("created_utc", LATENESS)
+        .groupBy("fixture_id", F.window("created_utc", "1 minute").alias("m")).agg(F.avg(column).alias("_mean"))
+        .select("fixture_id", F.window_time("m").alias("_at"), "_mean")
+    )
+    wide = F.window("_at", f"{minutes} minutes", "1 minute").alias("w")
+    return means.groupBy("fixture_id", wide).agg(F.avg("_mean").alias("mood")).select("fixture_id", "w", "mood")
+
+
+def mood_with_threat(scored: DataFrame, events: DataFrame) -> DataFrame:
+    """Mood and threat of the windows that end together: a stream-stream join on fixture and window time."""
+    threat = (
+        events.withWatermark("created_utc", LATENESS)
+        .groupBy("fixture_id", F.window("created_utc", "10 minutes", "1 minute").alias("w")).agg(F.sum("xg_value").alias("xg"))
+        .select("fixture_id", F.window_time("w").alias("window_time"), "xg")
+    )
+    windows = mood_windows(scored).select("fixture_id", F.window_time("w").alias("window_time"), "mood")
+    return windows.join(threat, ["fixture_id", "window_time"])
+
+
 def split_frozen(batch: DataFrame, fixtures: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """Rows of fixtures still being captured, and the late rows of frozen ones.
 
     ``fixtures`` is (fixture_id, state, kickoff_utc, post_first_seen).
     """
-    phase = health.capture_phase(F.col("state"), F.col("kickoff_utc"), as_of, F.col("post_first_seen"))
-    phased = batch.join(fixtures.select("fixture_id", phase.alias("_phase")), "fixture_id", "left")
+    phased = with_phase(batch, fixtures, as_of)
     frozen = F.coalesce(F.col("_phase") == "frozen", F.lit(False))
     return phased.filter(~frozen).drop("_phase"), phased.filter(frozen).drop("_phase")
 
 
-def update_series(
-    base: str, fixtures: Callable[[SparkSession], DataFrame], lexicon: Lexicon = EMOTION_TERMS, text: str = "message"
-) -> Callable[[DataFrame, int], None]:
-    """Batch function: add a tick to the per-minute sums and rewrite the touched series."""
+def with_phase(batch: DataFrame, fixtures: DataFrame, as_of: Column) -> DataFrame:
+    phase = health.capture_phase(F.col("state"), F.col("kickoff_utc"), as_of, F.col("post_first_seen"))
+    return batch.join(fixtures.select("fixture_id", phase.alias("_phase")), "fixture_id", "left")
+
+
+def late_and_live(base: str, fixtures: Callable[[SparkSession], DataFrame], as_of: Column) -> Callable[[DataFrame, int], None]:
+    """Batch function with two sinks: rows of frozen fixtures go to ``late``, all others to ``live``.
+
+    The fixture table is read at each tick, so a fixture that freezes is routed
+    anew from then on. One write of a tick makes both folders, and a replay
+    overwrites them.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        chat = posts_to_chat(batch, fixtures(spark))
-        shared = mood.emotion_shares(emotion_intensities(chat, text, lexicon))
-        sums = shared.groupBy("fixture_id", "minute").agg(
-            *[F.sum(c).alias(c) for c in EMOTION_COLUMNS], F.count(F.lit(1)).alias("comment_volume")
-        )
-        tick = f"{base}/partials/tick={batch_id}"
-        sums.write.mode("overwrite").parquet(tick)
-        touched = spark.read.parquet(tick).select("fixture_id").distinct()
-        so_far = spark.read.parquet(f"{base}/partials").join(touched, "fixture_id", "left_semi")
-        means = so_far.groupBy("fixture_id", "minute").agg(
-            *[(F.sum(c) / F.sum("comment_volume")).alias(c) for c in EMOTION_COLUMNS],
-            F.sum("comment_volume").alias("comment_volume"),
-        )
-        series = mood.series_from_profile(mood.dense_profile(means))
-        tables.upsert(series, f"{base}/series", SERIES, ["fixture_id", "minute"], replace_by=["fixture_id"])
+        frozen = F.coalesce(F.col("_phase") == "frozen", F.lit(False))
+        routed = with_phase(batch, fixtures(batch.sparkSession), as_of)
+        route = F.when(frozen, "late").otherwise("live")
+        routed.withColumn("route", route).drop("_phase").write.mode("overwrite").partitionBy("route").parquet(f"{base}/routed/tick={batch_id}")
 
     return run
 
 
+def routed(spark: SparkSession, base: str, schema: str, route: str | None = None) -> DataFrame:
+    """What ``late_and_live`` wrote, all rows (with ``route``) or one route."""
+    rows = tables.scan(spark, f"{base}/routed", f"{schema}, tick BIGINT, route STRING").drop("tick")
+    return rows if route is None else rows.filter(F.col("route") == route).drop("route")
+
+
+def shared_chat(posts: DataFrame, fixtures: DataFrame, lexicon: Lexicon = EMOTION_TERMS, text: str = "message") -> DataFrame:
+    """Stream of posts to chat rows with emotion shares and the kickoff of their fixture."""
+    chat = posts_to_chat(posts, fixtures).join(fixtures.select("fixture_id", "kickoff_utc"), "fixture_id")
+    return mood.emotion_shares(emotion_intensities(chat, text, lexicon))
+
+
 def keep_buffer(path: str, limit: int = cleaning.NEWEST) -> Callable[[DataFrame, int], None]:
     """Batch function: the newest rows per fixture, copies removed across ticks."""
-    def run(batch: DataFrame, _: int) -> None:
-        prior = tables.load(batch.sparkSession, path, BUFFER, "fixture_id")
+    def run(batch: DataFrame, batch_id: int) -> None:
+        prior = tables.load(batch.sparkSession, path, BUFFERED)
         touched = batch.select("fixture_id").distinct()
         merged = cleaning.merge_buffer(prior.join(touched, "fixture_id", "left_semi"), batch, limit)
-        tables.upsert(merged, path, BUFFER, ["fixture_id"])
+        tables.upsert(merged, path, BUFFERED, at=batch_id)
 
     return run
 
 
-def upsert_sink(path: str, schema: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, table: tables.Keyed) -> Callable[[DataFrame, int], None]:
     """Batch function: keyed merge of the rows a tick changed."""
-    def run(batch: DataFrame, _: int) -> None:
-        tables.upsert(batch, path, schema, keys)
-
-    return run
-
-
-def heartbeat(path: str, runs: Callable[[SparkSession], DataFrame], lines: Callable[[SparkSession], DataFrame], as_of) -> Callable[[DataFrame, int], None]:
-    """Batch function: one heartbeat row per fixture of the tick."""
-    def run(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        seen = runs(spark).join(batch.select("fixture_id").distinct(), "fixture_id", "left_semi")
-        tables.upsert(health.run_health(batch, lines(spark), seen, as_of), path, schemas.RUN_STATUS, ["match_id"])
+    def run(batch: DataFrame, batch_id: int) -> None:
+        tables.upsert(batch, path, table, at=batch_id)
 
     return run
 
 
-def throttled(moments: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
-    """Stateful rate limit on a stream of (fixture_id, flagged_utc) moments."""
-    gap = pd.Timedelta(minutes=gap_minutes)
+def tick_counts(landed: DataFrame) -> DataFrame:
+    """Rows so far by fixture, kind (``post`` or ``line``) and source, one scan a tick; the tick itself is observed as ``tick``."""
+    seen = landed.observe("tick", F.count(F.lit(1)).alias("rows"), F.max("created_utc").alias("newest"))
+    return seen.groupBy("fixture_id", "kind", "source").agg(F.count(F.lit(1)).alias("n"))
 
-    def limit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for at in sorted({t for batch in batches for t in batch["flagged_utc"]}):
-            if last is None or at - last >= gap:
-                kept.append(at)
-                last = at
-        if last is not None:
-            state.update((last.value // 1000 if last.unit == "ns" else last.as_unit("us").value,))
-        yield pd.DataFrame({"fixture_id": [key[0]] * len(kept), "alert_utc": pd.Series(kept, dtype="datetime64[ns]")})
 
-    return moments.groupBy("fixture_id").applyInPandasWithState(
-        limit, "fixture_id STRING, alert_utc TIMESTAMP", "last_us LONG", "append", "NoTimeout"
-    )
+def heartbeats(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Heartbeat rows from the counts that ``tick_counts`` keeps in ``path``."""
+    counts = tables.load(spark, path, TICK_COUNTS)
+    posts = counts.filter("kind = 'post'").select("fixture_id", "source", "n")
+    lines = counts.filter("kind = 'line'").groupBy("fixture_id").agg(F.sum("n").alias("n_commentary"))
+    return health.status_rows(posts, lines, counts.select("fixture_id").distinct(), as_of)
 
 
-def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Drain what has landed, tick by tick, then stop."""
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> list[dict]:
+    """Drain what has landed, tick by tick, then stop; gives what was observed at each tick with rows."""
     query = (
         stream.writeStream.foreachBatch(step).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    observed = [(p.batchId, p.observedMetrics) for p in query.recentProgress if p.numInputRows]
+    return [{"tick": tick, **row.asDict()} for tick, metrics in observed for row in metrics.values()]
 
 
 def run_live(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:

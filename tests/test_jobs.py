@@ -4,12 +4,12 @@ import math
 from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from terrace import schemas
 from terrace import workload as w
 from terrace.operators import archive, fitting, mood, textmodel
 from terrace.operators.minutes import posts_to_chat
@@ -18,7 +18,7 @@ from terrace.registry import job_queries, text_queries
 from terrace.registry.reaction_queries import _with_terms
 from terrace.operators import cleaning
 from terrace.sources import tables
-from terrace.streaming import live
+from terrace.streaming import live, state
 
 SF = "/root/testdata/sf0.001"
 RAW = "fixture_id STRING, ingest_seq BIGINT, minute DOUBLE, crowd_panic_score DOUBLE, dominant_emotion STRING, comment_volume DOUBLE, flagged BOOLEAN"
@@ -46,8 +46,8 @@ def test_assert_archive_fails_the_job(rows):
 def test_upsert_is_idempotent_and_keeps_other_fixtures(spark, rows, tmp_path):
     path = str(tmp_path / "archive")
     for fixture in ("M1", "M2", "M1"):
-        tables.upsert(archive.validate_state(raw(rows, fixture)), path, schemas.ARCHIVE, ["match_id", "minute"], replace_by=["match_id"])
-    assert tables.load(spark, path, schemas.ARCHIVE).groupBy("match_id").count().orderBy("match_id").collect() == [("M1", 3), ("M2", 3)]
+        tables.upsert(archive.validate_state(raw(rows, fixture)), path, tables.MATCH_ARCHIVE)
+    assert tables.load(spark, path, tables.MATCH_ARCHIVE).groupBy("match_id").count().orderBy("match_id").collect() == [("M1", 3), ("M2", 3)]
     old = archive.validate_state(raw(rows)).drop("situation", "situation_confidence")
     assert {(r.situation, r.situation_confidence) for r in archive.backfill_columns(old).collect()} == {("unknown", 0.0)}
 
@@ -106,26 +106,86 @@ def write_ticks(rows, path, ticks):
         rows(data, live.BUFFER).coalesce(1).write.mode("append").parquet(path)
 
 
+KICKOFFS = "fixture_id STRING, kickoff_utc TIMESTAMP"
+
+
+def run_series(spark, rows, path, out):
+    fixtures = rows([("F", START)], KICKOFFS)
+    stream = live.landed_stream(spark, path, live.BUFFER, files_per_tick=1)
+    changes = state.mood_changes(live.shared_chat(stream, fixtures))
+    sizes = {}
+
+    def step(batch, batch_id):
+        sizes[batch_id] = batch.count()
+        live.upsert_sink(f"{out}/series", live.MOOD_SERIES)(batch, batch_id)
+
+    live.run_to_end(changes, step, f"{out}/cp", "update")
+    return tables.load(spark, f"{out}/series", live.MOOD_SERIES).orderBy("minute").collect(), sizes
+
+
 def test_stream_over_ticks_equals_batch(spark, rows, tmp_path):
     path = str(tmp_path / "in")
     write_ticks(rows, path, [["total panic", "golazo"], ["we're done", "cruising"], ["hopeless", "calm"]])
-    stream = live.landed_stream(spark, path, live.BUFFER, files_per_tick=1)
-    step = live.update_series(str(tmp_path / "out"), lambda s: s.createDataFrame([("F", START)], "fixture_id STRING, kickoff_utc TIMESTAMP"))
-    live.run_to_end(stream, step, str(tmp_path / "cp"))
-    got = tables.load(spark, str(tmp_path / "out/series"), live.SERIES, "fixture_id").orderBy("minute").collect()
-    chat = posts_to_chat(spark.read.parquet(path), rows([("F", START)], "fixture_id STRING, kickoff_utc TIMESTAMP"))
+    # a late row of an earlier minute in a tick of its own
+    rows([("F", START + timedelta(minutes=3), "hopeless", "s", "", 900)], live.BUFFER).coalesce(1).write.mode("append").parquet(path)
+    got, sizes = run_series(spark, rows, path, str(tmp_path / "out"))
+    chat = posts_to_chat(spark.read.parquet(path), rows([("F", START)], KICKOFFS))
     expected = mood.emotion_series(chat).orderBy("minute").collect()
     assert [r.minute for r in got] == [r.minute for r in expected] == list(range(11))
     for a, b in zip(got, expected):
         assert a.crowd_panic_score == pytest.approx(b.crowd_panic_score) and a.dominant_emotion == b.dominant_emotion
+        assert a.comment_volume == b.comment_volume and a.emotional_volatility == pytest.approx(b.emotional_volatility)
+    # a tick sends the minutes it changes: one, five more, five more; the late row's minute, the one it fills and the windows over both
+    assert [sizes[i] for i in range(4)] == [1, 5, 5, 7]
 
 
 def test_stream_replay_does_not_double(spark, rows, tmp_path):
-    batch = rows([("F", START, "total panic", "s", "", 1)], live.BUFFER)
-    step = live.update_series(str(tmp_path), lambda s: s.createDataFrame([("F", START)], "fixture_id STRING, kickoff_utc TIMESTAMP"))
-    step(batch, 0)
-    step(batch, 0)
-    assert [r.comment_volume for r in tables.load(spark, str(tmp_path / "series"), live.SERIES, "fixture_id").collect()] == [1]
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write_ticks(rows, path, [["total panic"]])
+    for _ in range(2):
+        got, _ = run_series(spark, rows, path, out)
+        assert [r.comment_volume for r in got] == [1]
+    live.upsert_sink(f"{out}/series", live.MOOD_SERIES)(tables.load(spark, f"{out}/series", live.MOOD_SERIES), 0)
+    assert [r.comment_volume for r in tables.load(spark, f"{out}/series", live.MOOD_SERIES).collect()] == [1]
+
+
+def test_frozen_fixture_frees_its_state():
+    class Map(dict):
+        def getValue(self, k):
+            return self[k]
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def containsKey(self, k):
+            return k in self
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getMapState(self, *_):
+            return Map()
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    for job, frame in (
+        (state.MoodState(), pd.DataFrame([[1, *[0.5] * 6, 5000]], columns=["minute", *state.EMOTION_COLUMNS, "freeze_ms"])),
+        (state.FirstMessages(), pd.DataFrame([["F", 1, pd.Timestamp(0), "m", "s", "a", "k", 5000]], columns=[*state.FIRSTS_NAMES, "message_key", "freeze_ms"])),
+    ):
+        handle = Handle()
+        job.init(handle)
+        held = job.minutes if isinstance(job, state.MoodState) else job.seen
+        assert len(next(job.handleInputRows(("F",), iter([frame]), Clock()))) and len(held) == 1 and handle.timers == [5000]
+        assert next(job.handleExpiredTimer(("F",), Clock(), None)).empty and not held
 
 
 def test_stream_buffer_and_dedup_across_ticks(spark, rows, tmp_path):
@@ -133,11 +193,16 @@ def test_stream_buffer_and_dedup_across_ticks(spark, rows, tmp_path):
     write_ticks(rows, path, [["one goal", "two goals"], ["ONE goal", "three goals"], ["four goals"]])
     stream = live.landed_stream(spark, path, live.BUFFER, files_per_tick=1)
     live.run_to_end(stream, live.keep_buffer(str(tmp_path / "buf"), 3), str(tmp_path / "cp1"))
-    kept = tables.load(spark, str(tmp_path / "buf"), live.BUFFER, "fixture_id")
+    kept = tables.load(spark, str(tmp_path / "buf"), live.BUFFERED)
     assert sorted(r.message for r in kept.collect()) == ["four goals", "three goals", "two goals"]
     out = str(tmp_path / "dedup")
     live.run_to_end(live.without_repeats(stream), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/t={i}"), str(tmp_path / "cp2"))
     assert spark.read.parquet(out).count() == 4
+    exact = str(tmp_path / "exact")
+    firsts = state.first_messages(stream.join(rows([("F", START)], KICKOFFS), "fixture_id"))
+    for _ in range(2):
+        live.run_to_end(firsts, lambda b, i: b.write.mode("overwrite").parquet(f"{exact}/t={i}"), str(tmp_path / "cp3"))
+    assert sorted(r.message for r in spark.read.parquet(exact).collect()) == ["four goals", "one goal", "three goals", "two goals"]
 
 
 def test_stateful_throttle(spark, rows, tmp_path):
@@ -146,10 +211,35 @@ def test_stateful_throttle(spark, rows, tmp_path):
         rows([("F", START + timedelta(minutes=m)) for m in tick], "fixture_id STRING, flagged_utc TIMESTAMP").coalesce(1).write.mode("append").parquet(path)
     stream = live.landed_stream(spark, path, "fixture_id STRING, flagged_utc TIMESTAMP", files_per_tick=1)
     out = str(tmp_path / "out")
-    query = live.throttled(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted((r.alert_utc - START).seconds // 60 for r in spark.read.parquet(out).collect())
-    assert got == [0, 15, 30, 45]
+    for _ in range(2):
+        live.run_to_end(state.alerts(stream), lambda b, i: b.write.mode("overwrite").parquet(f"{out}/t={i}"), str(tmp_path / "cp"))
+        got = sorted((r.alert_utc - START).seconds // 60 for r in spark.read.parquet(out).collect())
+        assert got == [0, 15, 30, 45]
+
+
+def test_ticks_are_observed_and_counted(spark, rows, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "fixture_id STRING, created_utc TIMESTAMP, kind STRING, source STRING"
+    for tick in ([("F", START, "post", "a"), ("F", START, "line", "x")], [("F", START, "post", "b"), ("F", START, "post", "b"), ("G", START, "line", "x")]):
+        rows(tick, schema).coalesce(1).write.mode("append").parquet(path)
+    counts = live.tick_counts(live.landed_stream(spark, path, schema, files_per_tick=1))
+    seen = live.run_to_end(counts, live.upsert_sink(out, live.TICK_COUNTS), str(tmp_path / "cp"), "update")
+    assert [s["rows"] for s in seen] == [2, 3] and seen[0]["newest"] == str(START)
+    beats = {r.match_id: r for r in live.heartbeats(spark, out, F.lit("2026-06-11").cast("timestamp")).collect()}
+    assert beats["F"].reactions_by_source == {"b": 2, "a": 1} and (beats["F"].n_reactions, beats["F"].n_commentary) == (3, 1)
+    assert (beats["G"].n_reactions, beats["G"].n_commentary) == (0, 1)
+
+
+def test_late_rows_go_to_their_own_sink(spark, rows, tmp_path):
+    path, base = str(tmp_path / "in"), str(tmp_path)
+    board = "fixture_id STRING, state STRING, kickoff_utc TIMESTAMP, post_first_seen TIMESTAMP"
+    write_ticks(rows, path, [["one", "two"], ["three"]])
+    # the fixture freezes between the ticks
+    states = iter(["in", "post"])
+    step = live.late_and_live(base, lambda s: rows([("F", next(states), START, START)], board), F.lit(str(START + timedelta(minutes=20))).cast("timestamp"))
+    live.run_to_end(live.landed_stream(spark, path, live.BUFFER, files_per_tick=1), step, f"{base}/cp")
+    assert sorted(r.message for r in live.routed(spark, base, live.BUFFER, "live").collect()) == ["one", "two"]
+    assert [r.message for r in live.routed(spark, base, live.BUFFER, "late").collect()] == ["three"]
 
 
 def test_split_frozen(rows):
@@ -166,11 +256,11 @@ def test_ingest_then_nightly(spark, rows, tmp_path):
     captured = ingest.capture(w.reactions(spark, SF), w.commentary(spark, SF), fixtures, 0.5, w.LEXICON)
     ingest.store(captured, fixtures, base, stamp)
     ingest.store(captured, fixtures, base, stamp)
-    stored = tables.load(spark, f"{base}/match_archive", schemas.ARCHIVE)
+    stored = tables.load(spark, f"{base}/match_archive", tables.MATCH_ARCHIVE)
     assert stored.count() == captured.state.count() == stored.select("match_id", "minute").distinct().count()
     dense = stored.groupBy("match_id").agg(F.min("minute").alias("a"), F.max("minute").alias("b"), F.count("*").alias("n"))
     assert dense.filter("a <> 0 OR n <> b + 1").count() == 0
-    assert tables.load(spark, f"{base}/run_status", schemas.RUN_STATUS).count() == tables.load(spark, f"{base}/match_results", schemas.RESULTS).count()
+    assert tables.load(spark, f"{base}/run_status", tables.RUN_STATUS).count() == tables.load(spark, f"{base}/match_results", tables.MATCH_RESULTS).count()
     assert nightly.active_threshold(spark, base) == 0.65
     result = nightly.refit(spark, base, as_of=stamp)
     assert result["status"] == "fitted" and nightly.history(spark, base).count() == 1
