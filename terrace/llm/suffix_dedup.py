@@ -26,8 +26,8 @@ from pyspark.sql.types import StructType
 from terrace.llm.common import settings, slices, stored, table_of
 
 GRAM = 32
-CHUNK_BYTES = 1 << 20
-SORT_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+SORT_BYTES = 1 << 18
 # More different blocks than this under one key are dealt out by whole strings.
 WIDE_KEY = 2000
 ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -340,7 +340,7 @@ def _wanted_texts(docs: DataFrame, length: int) -> DataFrame:
                     else:
                         rows.append((w["key"], doc, version, w["start"], piece, False))
                         size += len(piece)
-                if size >= 8 << 20:
+                if size >= 1 << 20:
                     yield table_of(dict(zip(TEXTS.names, zip(*rows, strict=True), strict=True)), TEXTS)
                     rows, size = [], 0
             if rows:
