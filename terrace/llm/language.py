@@ -281,9 +281,11 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     if not rows.num_rows:
         return Model([])
     number = {name: i for i, name in enumerate(langs)}
-    gram = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER).astype(np.int64)
-    lang = np.array([number[x] for x in rows["lang"].to_pylist()])
-    model = build(langs, lang, gram, rows["n"].to_numpy())
+    gram = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.uint32)
+    counts = rows["n"].to_numpy()
+    del rows
+    model = build(langs, lang, gram, counts)
     model.limit = np.full(len(langs), np.inf)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,7 @@ ROUNDS = 4
 PER_ROUND = 200
 SURE = 0.95
 CHUNK_BYTES = 1 << 18
+FIT_ROWS = 512
 BUCKETS = 64
 WORD_BUCKETS = 64
 CLASSES = 16
@@ -110,16 +111,21 @@ class Linear:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 15) -> Linear:
-        x = x.astype(np.float64)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
+        """Sums run over slices of rows, so that the driver holds no second copy of ``x``."""
+        parts = [slice(a, a + FIT_ROWS) for a in range(0, len(x), FIT_ROWS)]
+        mean = sum(x[s].sum(axis=0, dtype=np.float64) for s in parts) / len(x)
+        scale = np.sqrt(sum(((x[s] - mean) ** 2).sum(axis=0) for s in parts) / len(x)) + 1e-3
+        w = np.zeros(x.shape[1] + 1)
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-6
         for _ in range(steps):
-            p = sigmoid(z @ w)
-            curve = np.maximum(p * (1 - p), 1e-4)
-            step = np.linalg.solve((z * curve[:, None]).T @ z + np.diag(penalty), z.T @ (p - y) + penalty * w)
+            slope, bend = penalty * w, np.diag(penalty)
+            for s in parts:
+                z = np.hstack([(x[s] - mean) / scale, np.ones((len(x[s]), 1))])
+                p = sigmoid(z @ w)
+                slope += z.T @ (p - y[s])
+                bend += (z * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ z
+            step = np.linalg.solve(bend, slope)
             w -= step
             if np.abs(step).max() < 1e-4:
                 break
@@ -259,6 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: li
     doc = rows["doc_id"].to_numpy()
     text = rows["text_view"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
     meta = rows["meta_view"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+    del rows
     place = np.array([d in picked["labelled"] for d in doc])
     y = np.array([picked["labelled"].get(d, -1) for d in doc], float)
     return cotrain(text[place], meta[place], y[place], text[~place], meta[~place], metadata)
