@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from terrace.functions.text import any_term, letter_runs, normalised, strip
 
 NEWEST = 1000
+# Spark puts no group limit in front of an exchange above this rank.
+GROUP_LIMIT = 1000
 PER_AUTHOR = 5
 MIN_WORDS = 3
 
@@ -100,11 +102,34 @@ def clean_reactions(df: DataFrame, terms: str | None = None) -> DataFrame:
 
 
 def newest(df: DataFrame, limit: int = NEWEST, keys: tuple[str, ...] = ("fixture_id",)) -> DataFrame:
-    """Newest rows per fixture; of equal times the later ingested wins."""
+    """Newest rows per fixture; of equal times the later ingested wins.
+
+    Up to ``GROUP_LIMIT`` rows Spark limits each task ahead of its exchange.
+    Beyond it, rows are counted per second first: seconds that lie wholly below
+    the limit never leave their task, and the others are numbered second by
+    second after the rows of newer seconds, so no task holds a whole fixture.
+    """
+    if limit > GROUP_LIMIT:
+        return _newest_by_second(df, limit, keys)
     group = Window.partitionBy(*keys).orderBy(F.desc("created_utc"), F.desc("ingest_seq"))
     return df.withColumn("_rank", F.row_number().over(group)).filter(F.col("_rank") <= limit).drop("_rank")
 
 
+def _newest_by_second(df: DataFrame, limit: int, keys: tuple[str, ...]) -> DataFrame:
+    timed = df.withColumn("_second", F.unix_seconds("created_utc"))
+    newer = Window.partitionBy(*keys).orderBy(F.desc("_second")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = (
+        timed.groupBy(*keys, "_second").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+        .filter(F.col("_newer") < limit)
+        .select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "_second")], "_newer")
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_second")]
+    order = Window.partitionBy(*keys, "_second").orderBy(F.desc("created_utc"), F.desc("ingest_seq"))
+    placed = timed.join(wanted, same).withColumn("_rank", F.col("_newer") + F.row_number().over(order))
+    return placed.filter(F.col("_rank") <= limit).select(*df.columns)
+
+
 def merge_buffer(prior: DataFrame, new: DataFrame, limit: int = NEWEST) -> DataFrame:
     """Union of buffer and tick: prior rows win copies, then the newest ``limit`` stay.
 

@@ -73,7 +73,7 @@ def keeper_load(players: DataFrame) -> DataFrame:
         F.col("goalsConceded").alias("conceded"),
     )
     best = keepers.groupBy("fixture_id", "team").agg(
-        F.max_by(row, F.struct(F.col("saves"), -F.col("roster_order"))).alias("_k"),
+        F.max_by(row, F.struct("saves", -F.col("roster_order.payload_order"), -F.col("roster_order.position"))).alias("_k"),
         F.min("team_order").alias("team_order"),
     )
     return best.select("fixture_id", "team", "team_order", "_k.*")

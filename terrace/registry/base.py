@@ -55,6 +55,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: r6(F.col(c)) for c in columns})
 
 
+def place_number(column: str) -> Column:
+    """Payload and position of a place as one number, for the check's small payloads."""
+    return F.col(f"{column}.payload_order") * 1_000_000 + F.col(f"{column}.position")
+
+
 def s6(expression: str) -> str:
     """``r6`` in the check dialect."""
     return f"round({expression} + 1e-9, 6) + 0.0"

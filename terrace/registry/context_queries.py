@@ -9,7 +9,7 @@ from terrace import workload as w
 from terrace.functions.numbers import score_goals
 from terrace.operators import consistency, market, narrative, priors, stats
 from terrace.operators.minutes import latest
-from terrace.registry.base import THRESHOLD, VIEWS, classified, exact4, q6, query, rounded, s6
+from terrace.registry.base import THRESHOLD, VIEWS, classified, exact4, place_number, q6, query, rounded, s6
 from terrace.registry.reaction_queries import side_moods
 from terrace.schemas import EMOTION_COLUMNS
 from terrace.sources import detail
@@ -170,7 +170,8 @@ def top_performers(spark, sf):
 @query("goal_lines", """SELECT fixture_id, event_order * 1000000 AS event_order, CAST(minute AS VARCHAR) || ''' ' || team || ' — '
     || CASE WHEN text = '' THEN type ELSE text END AS line FROM kev WHERE type IN ('goal', 'penalty--scored', 'own-goal')""")
 def goal_lines(spark, sf):
-    return stats.goal_lines(detail.key_events(landed.key_events(spark, sf)))
+    goals = stats.goal_lines(detail.key_events(landed.key_events(spark, sf)))
+    return goals.withColumn("event_order", place_number("event_order"))
 
 
 @query("takeaways", """SELECT fixture_id, CAST(position - 1 AS INTEGER) AS position, r.tone, r.headline, r.detail FROM (

@@ -120,6 +120,13 @@ def newest_reactions(spark, sf):
     return cleaning.newest(w.posts(spark, sf), 10).select("fixture_id", "ingest_seq")
 
 
+@query("newest_by_source", """SELECT source, ingest_seq FROM posts
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY created_utc DESC, ingest_seq DESC) <= 1500""")
+def newest_by_source(spark, sf):
+    """Ranks beyond Spark's group limit, over few and large groups."""
+    return cleaning.newest(w.posts(spark, sf), 1500, ("source",)).select("source", "ingest_seq")
+
+
 @query("last_thirty", """SELECT fixture_id, ingest_seq FROM cleaned
     QUALIFY row_number() OVER (PARTITION BY fixture_id ORDER BY created_utc DESC, ingest_seq DESC) <= 30""")
 def last_thirty(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrace import landed
 from terrace import workload as w
 from terrace.functions.text import message_key
-from terrace.registry.base import AS_OF, VIEWS, q6, query, rounded
+from terrace.registry.base import AS_OF, VIEWS, place_number, q6, query, rounded
 from terrace.registry.reaction_queries import BLANKS
 from terrace.sources import detail, fixtures, posts, tables
 
@@ -132,7 +132,8 @@ def scoreboard(spark, sf):
 @query("commentary_lines", """SELECT fixture_id, -seq * 1000000 AS seq,
     regexp_extract(line, '\\d+') || ''' ' || regexp_replace(line, '^[^ ]* ', '') AS line FROM lines WHERE seq % 6 <> 0""")
 def commentary_lines(spark, sf):
-    return fixtures.commentary_lines(landed.commentary(spark, sf))
+    lines = fixtures.commentary_lines(landed.commentary(spark, sf))
+    return lines.withColumn("seq", place_number("seq"))
 
 
 # Pages carry no minute stamps of their own: each element's position stands in for one.
@@ -165,7 +166,8 @@ def leaders(spark, sf):
 
 @query("key_events", "SELECT fixture_id, event_order * 1000000 AS event_order, minute, type, team, text FROM kev")
 def key_events(spark, sf):
-    return detail.key_events(landed.key_events(spark, sf))
+    events = detail.key_events(landed.key_events(spark, sf))
+    return events.withColumn("event_order", place_number("event_order"))
 
 
 @query("odds_flat", f"SELECT event_id, pos AS position, outcome, {q6('price')} FROM prices")

@@ -24,15 +24,13 @@ PLAYER_STATS = [
 ]
 
 
-PER_PAYLOAD = 1_000_000
-
-
 def _blank(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
 def _position(pos: str) -> Column:
-    return F.col("payload_order") * F.lit(PER_PAYLOAD) + F.col(pos)
+    """Place of an entry: its payload, then its position in it. A struct, so no size makes two places alike."""
+    return F.struct(F.col("payload_order").cast("bigint").alias("payload_order"), F.col(pos).alias("position"))
 
 
 def team_stats(landed: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def scoreboard(landed: DataFrame) -> DataFrame:
 
 
 def commentary_lines(landed: DataFrame) -> DataFrame:
-    """``fixture_id, seq, line``, oldest first (the feed is newest first)."""
+    """``fixture_id, seq, line``, oldest first: the feed is newest first, so ``seq`` negates (payload, position)."""
     rows = landed.select(
         "fixture_id", "payload_order",
         F.posexplode(F.from_json("payload", schemas.COMMENTARY)["commentary"]).alias("_pos", "c"),
@@ -53,7 +53,9 @@ def commentary_lines(landed: DataFrame) -> DataFrame:
     minute = F.regexp_extract(F.coalesce("c.time.displayValue", F.lit("")), r"(\p{Nd}+)", 1)
     text = strip(F.coalesce("c.text", F.lit("")))
     return rows.filter((text != "") & (minute != "")).select(
-        "fixture_id", (-(F.col("payload_order") * 1_000_000 + F.col("_pos"))).alias("seq"), F.concat(minute, F.lit("' "), text).alias("line")
+        "fixture_id",
+        F.struct((-F.col("payload_order").cast("bigint")).alias("payload_order"), (-F.col("_pos")).alias("position")).alias("seq"),
+        F.concat(minute, F.lit("' "), text).alias("line"),
     )
 
 

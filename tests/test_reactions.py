@@ -8,9 +8,9 @@ from terrace.operators import attribution, cleaning, containment, market, minute
 from terrace.operators.backfill import match_to_fixtures
 from terrace.plans.backfill import backfill
 
-START = datetime(2026, 6, 11, 19)
+START = datetime(2031, 3, 4, 18)
 RAW = "fixture_id STRING, created_utc TIMESTAMP, message STRING, source STRING, author STRING, ingest_seq BIGINT, terms ARRAY<STRING>"
-TERMS = ["Mexico", "South Africa"]
+TERMS = ["Norhaven", "Velmora"]
 
 
 def posts(rows, messages, author="", start=START, step=10, fixture="F1", first=0):
@@ -23,31 +23,31 @@ def posts(rows, messages, author="", start=START, step=10, fixture="F1", first=0
 
 def test_clean_reactions_filters(rows):
     df = posts(rows, [
-        "Mexico are choking, what a disaster", "⚽⚽⚽", "https://t.co/x", "the weather is nice today and warm",
-        "great goal by South Africa there", "MATCH THREAD: Mexico vs South Africa",
-    ], ["fan1", "fan2", "fan3", "fan4", "fan5", "AutoModerator"])
+        "Norhaven cannot string two passes together", "🎺🎺", "https://example.org/clip", "my train home runs late",
+        "tidy corner routine from Velmora", "Line-ups for Norhaven and Velmora",
+    ], ["ola", "pip", "quin", "rae", "sol", "NightBot"])
     kept = {r.message for r in cleaning.clean_reactions(df, "terms").collect()}
-    assert kept == {"Mexico are choking, what a disaster", "great goal by South Africa there"}
+    assert kept == {"Norhaven cannot string two passes together", "tidy corner routine from Velmora"}
 
 
 def test_author_flood_capped_after_dedup_and_blank_exempt(rows):
-    flood = posts(rows, [f"Mexico goal moment {i // 2}" for i in range(40)], "spammer")
+    flood = posts(rows, [f"Norhaven attack number {i // 2}" for i in range(40)], "loud")
     assert sorted(r.ingest_seq for r in cleaning.clean_reactions(flood, "terms").collect()) == [0, 2, 4, 6, 8]
-    blank = posts(rows, [f"Mexico goal moment {i}" for i in range(20)], "  ")
+    blank = posts(rows, [f"Norhaven attack number {i}" for i in range(20)], "  ")
     assert cleaning.clean_reactions(blank, "terms").count() == 20
 
 
 def test_survivor_of_copies_is_first_ingested_not_earliest(rows):
     df = rows([
-        ("F1", START + timedelta(minutes=5), "what a GOAL now", "s", "a", 1, TERMS),
-        ("F1", START, "what a goal now", "s", "b", 2, TERMS),
-        ("F2", START, "what a goal now", "s", "c", 3, TERMS),
+        ("F1", START + timedelta(minutes=5), "that PENALTY again", "s", "a", 1, TERMS),
+        ("F1", START, "that penalty again", "s", "b", 2, TERMS),
+        ("F2", START, "that penalty again", "s", "c", 3, TERMS),
     ], RAW)
     assert sorted(r.ingest_seq for r in cleaning.drop_copies(df).collect()) == [1, 3]
 
 
 def test_no_gate_and_empty_terms_pass_all(rows):
-    df = posts(rows, ["the weather is nice today"])
+    df = posts(rows, ["my train home runs late"])
     assert cleaning.clean_reactions(df).count() == 1
     assert cleaning.clean_reactions(df.withColumn("terms", F.array().cast("array<string>")), "terms").count() == 1
 
@@ -60,9 +60,21 @@ def test_newest_caps_per_fixture_and_breaks_ties_by_ingest(rows):
     assert sorted(r.message for r in cleaning.newest(same, 2).collect()) == ["b", "c"]
 
 
+def test_newest_beyond_the_group_limit(rows):
+    """More rows than the limit, seconds cut in the middle, equal times, a null time last, a null key."""
+    raw = [("F1" if i % 7 else None, START + timedelta(seconds=i // 400, microseconds=i % 3), i) for i in range(4000)] + [("F2", None, 9000), ("F2", START, 9001)]
+    df = rows(raw, "fixture_id STRING, created_utc TIMESTAMP, ingest_seq BIGINT")
+    got = {(r.fixture_id, r.ingest_seq) for r in cleaning.newest(df, 1500).collect()}
+    want = set()
+    for key in ("F1", "F2", None):
+        mine = sorted((r for r in raw if r[0] == key), key=lambda r: (r[1] is not None, r[1] or START, r[2]), reverse=True)
+        want |= {(r[0], r[2]) for r in mine[:1500]}
+    assert got == want and len(got) == 1500 + 2 + 572
+
+
 def test_merge_buffer_accumulates_caps_and_prior_wins(rows):
-    prior = posts(rows, [f"what a goal, take {i}" for i in range(600)], "old", step=5)
-    new = posts(rows, [f"shot number {i}" for i in range(600)], "new", start=START + timedelta(hours=2), step=5)
+    prior = posts(rows, [f"keeper punts it, take {i}" for i in range(600)], "old", step=5)
+    new = posts(rows, [f"corner count {i}" for i in range(600)], "new", start=START + timedelta(hours=2), step=5)
     merged = cleaning.merge_buffer(prior, new)
     # 111, 222, ... collapse into 11, 22, ...: 595 distinct messages of 600
     assert merged.count() == 1000 and merged.filter("author = 'new'").count() == 595
@@ -79,18 +91,18 @@ def test_posts_to_chat_minutes(rows):
 
 
 def test_team_tokens_words_stop_words_and_aliases(spark):
-    names = ["South Korea", "Korea Republic", "Brazil", "", None, "USA"]
+    names = ["Spain Under Nine", "Korea Republic", "Croatia", "", None, "Ilo"]
     df = spark.createDataFrame([(n,) for n in names], "n STRING")
     got = [set(r[0]) for r in df.select(attribution.team_tokens(F.col("n"))).collect()]
-    assert got[0] == {"south korea", "south", "korea", "korea republic"}
+    assert got[0] == {"spain under nine", "spain", "under", "nine", "espana", "españa", "la roja"}
     assert got[1] == {"korea republic", "korea", "south korea", "taeguk"}
-    assert got[2] == {"brazil", "brasil", "selecao", "seleção"}
-    assert got[3:] == [set(), set(), {"usa"}]
+    assert got[2] == {"croatia", "hrvatska", "vatreni"}
+    assert got[3:] == [set(), set(), {"ilo"}]
 
 
 def test_tags_and_side_mood(rows):
-    fixtures = rows([("F1", "Mexico", "South Africa"), ("F2", "A", "")], "fixture_id STRING, home_team STRING, away_team STRING")
-    df = posts(rows, ["el tri forever", "south africa pressing", "Mexico vs South Africa", "nothing"])
+    fixtures = rows([("F1", "Croatia", "Velmora"), ("F2", "A", "")], "fixture_id STRING, home_team STRING, away_team STRING")
+    df = posts(rows, ["vatreni in red", "velmora sit deep", "Croatia meet Velmora", "quiet street"])
     tagged = attribution.tag_teams(df, fixtures)
     assert {r.ingest_seq: r.team for r in tagged.collect()} == {0: "home", 1: "away", 2: "both", 3: "neither"}
     assert attribution.attribution_coverage(tagged).first().attributed == 0.75
@@ -101,8 +113,8 @@ def test_tags_and_side_mood(rows):
 
 
 def test_containment_join_against_brute_force(rows):
-    texts = ["in control of it", "tranquilo todo 😭😭", "ab", "", "the cat sat on the mat"]
-    terms = ["control", "in control", "tranquilo", "tranquilo todo", "😭", "a", "ab", "the ", "zzz"]
+    texts = ["we roll downhill now", "nieve otra vez 🎺🎺", "ab", "", "under the bridge and over the hill"]
+    terms = ["roll", "we roll", "nieve", "nieve otra", "🎺", "a", "ab", "the ", "zzz"]
     df = rows(list(enumerate(texts)), "id INT, text STRING")
     table = rows([(t,) for t in terms], "term STRING")
     got = {(r.id, r.term) for r in containment.containment_join(df, "id", "text", table, "term").collect()}
@@ -110,18 +122,18 @@ def test_containment_join_against_brute_force(rows):
 
 
 def test_market_event_first_in_feed_order(rows):
-    fixtures = rows([("F1", "Mexico", "South Africa"), ("F2", "Iran", "Wales"), ("F3", "", "Wales")], "fixture_id STRING, home_team STRING, away_team STRING")
+    fixtures = rows([("F1", "Norhaven", "Velmora"), ("F2", "Alda", "Orsk"), ("F3", "", "Orsk")], "fixture_id STRING, home_team STRING, away_team STRING")
     events = rows([
-        (3, 30, "South Africa", "Mexico"), (1, 10, "Mexico U20", "South Africa U20"), (2, 5, "Wales", "Ireland"),
+        (3, 30, "Velmora", "Norhaven"), (1, 10, "Norhaven B", "Velmora B"), (2, 5, "Orsk", "Brenna"),
     ], "event_id INT, feed_order INT, home_team STRING, away_team STRING")
     got = {r.fixture_id: r.event_id for r in market.match_events(fixtures, events).collect()}
     assert got == {"F1": 1, "F3": 2}
 
 
 def test_backfill_matches_window_and_terms(rows):
-    fixtures = rows([("F1", "Mexico", "unknown", START), ("F2", "unknown", "", START)], "fixture_id STRING, home_team STRING, away_team STRING, kickoff_utc TIMESTAMP")
+    fixtures = rows([("F1", "Norhaven", "unknown", START), ("F2", "unknown", "", START)], "fixture_id STRING, home_team STRING, away_team STRING, kickoff_utc TIMESTAMP")
     offsets = [-16, -15, 0, 130, 131]
-    df = rows([(START + timedelta(minutes=m), f"MEXICO goal number {m}", "s", "a", i) for i, m in enumerate(offsets)] + [(START, "nothing here", "s", "b", 9)],
+    df = rows([(START + timedelta(minutes=m), f"NORHAVEN corner number {m}", "s", "a", i) for i, m in enumerate(offsets)] + [(START, "empty stands", "s", "b", 9)],
               "created_utc TIMESTAMP, message STRING, source STRING, author STRING, ingest_seq BIGINT")
     assert sorted(r.ingest_seq for r in match_to_fixtures(df, fixtures).collect()) == [1, 2, 3]
     keyed = backfill(df, fixtures).collect()
