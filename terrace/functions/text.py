@@ -6,6 +6,8 @@ Unicode, because Java's own ``\\w`` and ``\\s`` are ASCII only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,18 +35,35 @@ def literal_count(text: Column, term: Column) -> Column:
     return (F.char_length(text) - gone) / F.char_length(term)
 
 
+def without_links(text: Column) -> Column:
+    """Links and mentions as blanks. Literal tests come first: few texts hold either, and patterns are dear."""
+    def unlinked(t: Column) -> Column:
+        return F.when(F.contains(t, F.lit("://")), F.regexp_replace(t, URL, " ")).otherwise(t)
+
+    def unnamed(t: Column) -> Column:
+        held = F.contains(t, F.lit("@")) | F.contains(t, F.lit("#"))
+        return F.when(held, F.regexp_replace(t, MENTION, " ")).otherwise(t)
+
+    return _bound(_bound(text, unlinked), unnamed)
+
+
+def _bound(text: Column, change: Callable[[Column], Column]) -> Column:
+    """``change`` of a value computed once: a lambda's variable is not inlined."""
+    return F.get(F.transform(F.array(text), change), F.lit(0))
+
+
 def normalised(message: Column) -> Column:
-    """De-duplication key: lower case, no links or mentions, runs and blanks collapsed."""
-    text = F.regexp_replace(F.lower(message), URL, " ")
-    text = F.regexp_replace(text, MENTION, " ")
-    text = F.regexp_replace(text, r"(.)\1{2,}", "$1$1")
-    return strip(F.regexp_replace(text, f"[{BLANK}]+", " "))
+    """De-duplication key: lower case, no links or mentions, runs and blanks collapsed.
+
+    Single spaces stay where they are, only other blanks and longer runs are replaced.
+    """
+    text = F.regexp_replace(without_links(F.lower(message)), r"(.)\1{2,}", "$1$1")
+    return strip(F.regexp_replace(text, f"[{BLANK}]{{2,}}|[{BLANK}&&[^ ]]", " "))
 
 
 def letter_runs(message: Column) -> Column:
     """Number of letter runs of two or more outside links and mentions."""
-    text = F.regexp_replace(F.regexp_replace(message, URL, " "), MENTION, " ")
-    return F.regexp_count(text, F.lit(f"[{LETTER}]{{2,}}"))
+    return F.regexp_count(without_links(message), F.lit(f"[{LETTER}]{{2,}}"))
 
 
 def message_key(message: Column) -> Column:

@@ -11,7 +11,22 @@ from pyspark.sql import functions as F
 
 LEAD_IN_MINUTES = 15
 MAX_MINUTE = 130
-MAX_GAP = 100_000
+# A larger minute is a misread one; it would stretch its fixture's dense minutes.
+LAST_POSSIBLE = 1000
+
+
+def possible(minute: Column) -> Column:
+    return F.coalesce((minute >= 0) & (minute <= LAST_POSSIBLE), F.lit(False))
+
+
+def minute_fault(minute: Column) -> Column:
+    """Why a minute cannot be placed on the axis, NULL where it can."""
+    return F.when(minute.isNull(), "no minute").when(minute < 0, "negative minute").when(~possible(minute), "impossible minute")
+
+
+def set_aside(per_minute: DataFrame) -> DataFrame:
+    """Rows that ``densify`` leaves out, with their ``reason``."""
+    return per_minute.withColumn("reason", minute_fault(F.col("minute"))).filter(F.col("reason").isNotNull())
 
 
 def by_minute() -> WindowSpec:
@@ -50,20 +65,17 @@ def densify(per_minute: DataFrame, carry: dict[str, Column], empty: dict[str, Co
     is also stretched back to 0. ``empty`` gives the value of a column in the
     minutes before the first row, ``carry`` its value in the minutes after a
     row (the row's own value for a forward fill, a constant for a zero fill).
-    No calendar table and no second read of the input. A gap no match can have
-    (a misread minute stamp) fails the job instead of flooding one task.
+    No calendar table and no second read of the input. Minutes no match can have
+    are left out, so a misread stamp neither ends the job nor floods a task;
+    ``set_aside`` gives those rows and why.
     """
     order = by_minute()
-    spans = per_minute.select(
+    spans = per_minute.filter(possible(F.col("minute"))).select(
         "*",
         F.coalesce(F.lead("minute").over(order) - 1, F.col("minute")).alias("_until"),
         F.when(F.lag("minute").over(order).isNull(), F.lit(0)).otherwise(F.col("minute")).alias("_from"),
     )
-    broken = F.raise_error(F.concat(F.lit("gap of too many minutes in fixture "), F.col("fixture_id")))
-    minutes = F.when(F.col("_until") - F.col("_from") > MAX_GAP, broken.cast("array<bigint>")).otherwise(
-        F.sequence(F.col("_from"), F.col("_until"))
-    )
-    rows = spans.withColumn("_m", F.explode(minutes))
+    rows = spans.withColumn("_m", F.explode(F.sequence(F.col("_from"), F.col("_until"))))
     picked = [
         F.when(F.col("_m") < F.col("minute"), empty[name])
         .when(F.col("_m") > F.col("minute"), after)

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.functions.text import BLANK, strip
-from terrace.operators.minutes import last_rows, zero_filled
+from terrace.operators.minutes import last_rows, possible, zero_filled
 
 THREAT_WINDOW = 10
-# A larger stamp is a misread one; it would stretch the fixture's dense minutes.
-LAST_POSSIBLE = 1000
 
 # Ordered patterns, the first that matches names the event.
 EVENT_PATTERNS: list[tuple[str, str, float]] = [
@@ -41,18 +39,14 @@ def _minute(line: Column) -> Column:
     return F.regexp_extract(line, LINE, 1).try_cast("bigint")
 
 
-def _possible(line: Column) -> Column:
-    return F.coalesce(_minute(line) <= LAST_POSSIBLE, F.lit(False))
-
-
 def parse_commentary(lines: DataFrame) -> DataFrame:
     """``line`` to (minute, team, event_type, xg_value); non-lines and lines with an impossible minute are dropped.
 
-    ``misread_lines`` gives the latter.
+    ``quarantined_lines`` gives the latter.
     """
     line = F.coalesce(F.col("line"), F.lit(""))
     team = F.regexp_extract(line, LINE, 2)
-    parts = lines.filter(line.rlike(LINE) & _possible(line)).select(
+    parts = lines.filter(line.rlike(LINE) & possible(_minute(line))).select(
         *[c for c in lines.columns if c != "line"],
         _minute(line).alias("minute"),
         F.when(team == "", F.lit("unknown")).otherwise(strip(team)).alias("team"),
@@ -69,10 +63,14 @@ def parse_commentary(lines: DataFrame) -> DataFrame:
     )
 
 
-def misread_lines(lines: DataFrame) -> DataFrame:
-    """Lines that look like play-by-play but whose minute no match can have."""
+def quarantined_lines(lines: DataFrame) -> DataFrame:
+    """Lines that look like play-by-play but whose minute no match can have, with a ``reason``.
+
+    A stamp too long for a number counts as impossible too. Texts that are no
+    play-by-play line at all belong to neither side.
+    """
     line = F.coalesce(F.col("line"), F.lit(""))
-    return lines.filter(line.rlike(LINE) & ~_possible(line))
+    return lines.filter(line.rlike(LINE) & ~possible(_minute(line))).withColumn("reason", F.lit("impossible minute"))
 
 
 def minute_xg(events: DataFrame) -> DataFrame:

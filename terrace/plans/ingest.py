@@ -55,7 +55,9 @@ def capture(
 def store(captured: Captured, fixtures: DataFrame, base: str, as_of: Column | None = None) -> None:
     """Write the run tables, the archive, the results, the reactions and the heartbeats."""
     stamp = F.current_timestamp() if as_of is None else as_of
-    tables.replace_tables({"raw_chat": captured.chat, "raw_commentary": captured.lines, "match_events": captured.events}, base)
+    tables.replace_tables({
+        "raw_chat": captured.chat, "raw_commentary": captured.lines, "match_events": captured.events,
+        "quarantine": threat.quarantined_lines(captured.lines)}, base)
     tables.export_sorted(captured.state, f"{base}/state", ["fixture_id", "minute"])
     rows = archive.validate_state(captured.state.withColumn("ingest_seq", F.col("minute")), stamp)
     tables.upsert(rows, f"{base}/match_archive", tables.MATCH_ARCHIVE)

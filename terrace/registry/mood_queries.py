@@ -103,6 +103,26 @@ def match_events(spark, sf):
     return threat.parse_commentary(w.commentary(spark, sf))
 
 
+@query("quarantined_lines", """SELECT fixture_id, seq, '7777' || line AS line, 'impossible minute' AS reason FROM lines WHERE seq % 13 = 0""")
+def quarantined_lines(spark, sf):
+    return threat.quarantined_lines(_poisoned(spark, sf))
+
+
+@query("poisoned_threat", f"""SELECT fixture_id, minute, {q6('xg_value')} FROM (
+    SELECT c.fixture_id, c.minute, coalesce(x, 0) AS xg_value
+    FROM (SELECT fixture_id, unnest(range(0, max(minute) + 1)) AS minute FROM mev WHERE seq % 13 <> 0 GROUP BY 1) c
+    LEFT JOIN (SELECT fixture_id, minute, sum(xg_value) AS x FROM mev WHERE seq % 13 <> 0 GROUP BY ALL) m USING (fixture_id, minute))""")
+def poisoned_threat(spark, sf):
+    """Misread stamps cost their own lines and nothing else."""
+    return rounded(threat.minute_xg(threat.parse_commentary(_poisoned(spark, sf))), "xg_value")
+
+
+def _poisoned(spark, sf):
+    """Commentary in which every thirteenth line's stamp is misread."""
+    misread = F.when(F.pmod("seq", F.lit(13)) == 0, F.concat(F.lit("7777"), "line")).otherwise(F.col("line"))
+    return w.commentary(spark, sf).withColumn("line", misread)
+
+
 @query("minute_xg", f"SELECT fixture_id, minute, {q6('xg_value')} FROM mxg")
 def minute_xg(spark, sf):
     return rounded(threat.minute_xg(threat.parse_commentary(w.commentary(spark, sf))), "xg_value")

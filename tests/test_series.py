@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from terrace.operators import alerts, mood, selector, situation, threat
+from terrace.operators import alerts, minutes, mood, selector, situation, threat
 from terrace.schemas import EMOTION_COLUMNS
 
 CHAT = "fixture_id STRING, minute BIGINT, message STRING"
@@ -137,8 +137,19 @@ def test_alert_gap(rows):
 
 def test_bad_minute_stamps_do_not_end_the_job(spark):
     """No-break spaces count as blanks; impossible stamps are set aside with their line."""
-    from terrace.operators.threat import misread_lines, parse_commentary
+    from terrace.operators.threat import parse_commentary, quarantined_lines
 
     lines = spark.createDataFrame([(1, " 7' Ajax : goal!"), (2, "9" * 20 + "' Ajax: corner"), (3, "99999999' Ajax: corner"), (4, "8' Ajax: corner")], "seq INT, line STRING")
     assert sorted((r.seq, r.minute, r.team, r.event_type) for r in parse_commentary(lines).collect()) == [(1, 7, "Ajax", "goal"), (4, 8, "Ajax", "corner")]
-    assert sorted(r.seq for r in misread_lines(lines).collect()) == [2, 3]
+    assert sorted((r.seq, r.reason) for r in quarantined_lines(lines).collect()) == [(2, "impossible minute"), (3, "impossible minute")]
+
+
+def test_bad_minutes_are_set_aside_by_the_dense_axis(rows):
+    """One fixture's bad minutes neither end the job nor stretch it; the others are whole."""
+    df = rows([("F", 1, 0.5), ("F", 10**15, 9.0), ("F", -4, 9.0), ("F", None, 9.0), ("G", 2, 0.25), ("H", 5000, 1.0)], "fixture_id STRING, minute BIGINT, xg_value DOUBLE")
+    got = sorted((r.fixture_id, r.minute, r.xg_value) for r in minutes.zero_filled(df, ["xg_value"]).collect())
+    assert got == [("F", 0, 0.0), ("F", 1, 0.5), ("G", 0, 0.0), ("G", 1, 0.0), ("G", 2, 0.25)]
+    aside = {(r.fixture_id, r.minute): r.reason for r in minutes.set_aside(df).collect()}
+    assert aside == {("F", 10**15): "impossible minute", ("F", -4): "negative minute", ("F", None): "no minute", ("H", 5000): "impossible minute"}
+    poisoned = rows([("F", "3' Orsk: goal"), ("F", "4000' Orsk: goal"), ("G", "2' Alda: corner")], LINES)
+    assert sorted((r.fixture_id, r.minute) for r in threat.threat_series(poisoned).collect()) == [("F", m) for m in range(4)] + [("G", m) for m in range(3)]

@@ -129,3 +129,21 @@ def test_folds_of_every_class_differ_by_one_row_at_the_most(spark):
     for _, part in got.groupby("y", dropna=False):
         sizes = part["fold"].value_counts().reindex(range(5), fill_value=0)
         assert sizes.max() - sizes.min() <= 1
+
+
+def test_normalised_against_the_plain_patterns(spark):
+    """Guards and the blank pattern change nothing: links, mentions, runs, every kind of blank."""
+    import regex
+
+    data = ["a  b\t\tc\u00a0d \u2003 e", " one two ", "see https://x.y/z?q=1 and HTTP://Q now", "hi @ola #Tag_1 @ #", "goooool!!!! aa bbb", "http s://x https:// y", "@a\u2028@b", "", None]
+    df = spark.createDataFrame(list(enumerate(data)), "i INT, t STRING")
+    got = df.select("i", text.normalised(F.col("t")).alias("n"), text.letter_runs(F.col("t")).alias("k")).orderBy("i").collect()
+    blank = r"[\s\x1c-\x1f\x85\p{Z}]"
+    for row, t in zip(got, data):
+        if t is None:
+            assert row.n is None and row.k is None
+            continue
+        plain = regex.sub(r"[@#][\p{L}\p{N}_]+", " ", regex.sub(rf"https?://(?:(?!{blank}).)+", " ", t.lower(), flags=regex.S))
+        plain = regex.sub(rf"{blank}+", " ", regex.sub(r"(.)\1{2,}", r"\1\1", plain)).strip()
+        bare = regex.sub(r"[@#][\p{L}\p{N}_]+", " ", regex.sub(rf"https?://(?:(?!{blank}).)+", " ", t, flags=regex.S))
+        assert (row.n, row.k) == (plain, len(regex.findall(r"[\p{L}\p{Nl}\p{No}]{2,}", bare))), t
