@@ -215,12 +215,15 @@ _EVIDENCE = """list_filter([CASE WHEN shots NOT IN ('', '0', '0.0') THEN shots |
     LEFT JOIN keepers k ON k.fixture_id = u.fixture_id AND k.team = opponent LEFT JOIN latest l ON l.fixture_id = u.fixture_id)
     WHERE evidence <> ''""")
 def underdog_evidence(spark, sf):
-    quoted = _fixture_events(spark, sf).join(_market(spark, sf), "event_id")
     return narrative.underdog_evidence(
-        w.fixtures(spark, sf), _latest(spark, sf), _stats(spark, sf), _keepers(spark, sf), quoted
+        w.fixtures(spark, sf), _latest(spark, sf), _stats(spark, sf), _keepers(spark, sf), fixture_markets(spark, sf)
     )
 
 
+def fixture_markets(spark, sf):
+    return _fixture_events(spark, sf).join(_market(spark, sf), "event_id")
+
+
 def _odds(spark, sf):
     return detail.odds(landed.odds(spark, sf))
 

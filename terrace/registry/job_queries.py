@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace import landed, schemas
 from terrace import workload as w
-from terrace.operators import textmodel
-from terrace.plans import backfill, ingest, nightly, training
-from terrace.registry.base import AS_OF, THRESHOLD, query
+from terrace.operators import attribution, textmodel, threat
+from terrace.operators.minutes import posts_to_chat
+from terrace.plans import backfill, ingest, nightly, panel, training
+from terrace.registry.base import AS_OF, SQL, THRESHOLD, classified, query
+from terrace.registry.context_queries import fixture_markets
+from terrace.registry.reaction_queries import heartbeats, listed_sources
 from terrace.session import shared_dir
 from terrace.sources import tables
 
@@ -130,3 +136,51 @@ def evaluation_record(spark, sf):
 def char_evaluation_record(spark, sf):
     """Lexicon against the character model on the held-out fifth."""
     return _record(spark, sf, "sentiment")
+
+
+@query("status_files", "SELECT match_id, last_run_utc, source, live, n_reactions, n_commentary, listed AS reactions_by_source, fetch_ok FROM hb")
+def status_files(spark, sf):
+    """Heartbeats written as status files and read back with their schema."""
+    path = f"{_base(spark, 'status')}/run_status"
+    tables.write_status(heartbeats(spark, sf), path)
+    return listed_sources(tables.read_status(spark, path, schemas.RUN_STATUS))
+
+
+@query("run_tables", """SELECT 'raw_commentary' AS name, fixture_id, count(*) AS n FROM lines WHERE seq % 2 = 0 GROUP BY ALL
+    UNION ALL SELECT 'match_events', fixture_id, count(*) FROM mev WHERE seq % 2 = 0 GROUP BY ALL""")
+def run_tables(spark, sf):
+    """Two runs into the same place: only the later one's rows are there."""
+    base = _base(spark, "run")
+    for run in (1, 0):
+        lines = w.commentary(spark, sf).filter(F.pmod("seq", F.lit(2)) == run)
+        tables.replace_tables({"raw_commentary": lines, "match_events": threat.parse_commentary(lines)}, base)
+    counts = [
+        spark.read.parquet(f"{base}/{name}").groupBy("fixture_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "fixture_id", "n")
+        for name in ("raw_commentary", "match_events")
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+def _detail(spark, sf):
+    """All detail payloads of a fixture in one landed frame, as a feed delivers them."""
+    kinds = [landed.box_scores, landed.rosters, landed.leaders, landed.key_events]
+    rows = [kind(spark, sf).withColumn("payload_order", F.col("payload_order").cast("bigint")) for kind in kinds]
+    return panel.fixture_detail(reduce(DataFrame.unionByName, rows))
+
+
+def _panel(spark, sf):
+    fixtures = w.fixtures(spark, sf)
+    tagged = attribution.tag_teams(posts_to_chat(w.reactions(spark, sf), fixtures), fixtures)
+    return panel.panel(classified(spark, sf), tagged, fixtures, _detail(spark, sf), THRESHOLD, fixture_markets(spark, sf), w.LEXICON)
+
+
+# The panel's tables are those of the single queries, built as one plan from one landed frame.
+for _name, _table, _same in [
+    ("panel_conflicts", "conflicts", "conflict_moments"), ("panel_takeaways", "takeaways", "takeaways"),
+    ("panel_trigger", "trigger", "overreaction_trigger"), ("panel_underdogs", "underdogs", "underdog_evidence"),
+]:
+    query(_name)(lambda spark, sf, table=_table: _panel(spark, sf)[table])
+    SQL[_name] = SQL[_same]
+for _name, _table, _same in [("detail_keepers", "keepers", "keeper_load"), ("detail_performers", "performers", "top_performers")]:
+    query(_name)(lambda spark, sf, table=_table: _detail(spark, sf)[table].drop("team_order"))
+    SQL[_name] = SQL[_same]

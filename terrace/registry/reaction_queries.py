@@ -225,7 +225,7 @@ VIEWS["hb"] = f"""SELECT fixture_id AS match_id, strftime(TIMESTAMP '{AS_OF}', '
     LEFT JOIN (SELECT fixture_id, count(*) AS n_commentary FROM lines GROUP BY 1) USING (fixture_id)"""
 
 
-def _heartbeats(spark, sf):
+def heartbeats(spark, sf):
     fixtures = w.fixtures(spark, sf)
     chat = posts_to_chat(w.posts(spark, sf), fixtures)
     return health.run_health(chat, w.commentary(spark, sf), fixtures, F.lit(AS_OF).cast("timestamp"))
@@ -233,8 +233,12 @@ def _heartbeats(spark, sf):
 
 @query("run_health", """SELECT match_id, last_run_utc, source, live, n_reactions, n_commentary, listed AS reactions_by_source, fetch_ok FROM hb""")
 def run_health(spark, sf):
+    return listed_sources(heartbeats(spark, sf))
+
+
+def listed_sources(beats):
     parts = F.transform(F.map_entries("reactions_by_source"), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string")))
-    return _heartbeats(spark, sf).withColumn("reactions_by_source", F.array_join(parts, ", "))
+    return beats.withColumn("reactions_by_source", F.array_join(parts, ", "))
 
 
 @query("freshness", """SELECT match_id, CASE WHEN n_reactions = 0 THEN 'no-data' WHEN age > 25 THEN 'stale' ELSE 'live' END AS level,
@@ -246,7 +250,7 @@ def run_health(spark, sf):
 def freshness(spark, sf):
     """Heartbeats aged by four minutes per commentary line, so that every level occurs."""
     as_of = F.lit(AS_OF).cast("timestamp")
-    aged = _heartbeats(spark, sf).withColumn(
+    aged = heartbeats(spark, sf).withColumn(
         "last_run_utc",
         F.date_format(F.timestamp_seconds(F.unix_seconds(as_of) - F.col("n_commentary") * 240), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"),
     )
