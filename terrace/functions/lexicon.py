@@ -116,6 +116,8 @@ def self_overlap(term: str) -> bool:
 
 def term_counter(terms: list[str]) -> Callable[[str], dict[int, int]]:
     """Function from a lower-cased text to its occurring term positions and counts."""
+    if not terms:
+        return lambda low: {}
     try:
         from ahocorasick import Automaton
     except ImportError:

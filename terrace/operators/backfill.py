@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrace.functions.lexicon import term_counter
+
 BEFORE_MINUTES = 15
 AFTER_MINUTES = 130
 BUCKET_SECONDS = 3600
@@ -26,20 +31,34 @@ def with_windows(fixtures: DataFrame) -> DataFrame:
     }).filter(F.size("terms") > 0)
 
 
+def with_named_teams(posts: DataFrame, names: list[str]) -> DataFrame:
+    """Add ``_said``: the lower-cased names that occur in the message, found in one pass inside the row."""
+    def said(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = term_counter(names)
+        for texts in batches:
+            yield texts.map(lambda text: [names[i] for i in sorted(count(text))])
+
+    low = F.lower(F.coalesce("message", F.lit("")))
+    return posts.withColumn("_said", F.pandas_udf(said, "ARRAY<STRING>")(low))
+
+
 def match_to_fixtures(posts: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Posts inside a fixture's window that name one of its teams.
 
-    A range join turned into an equi-join on the hour: a window touches at most
-    four hours, a post exactly one. A crowded hour is split by the skew-join
-    rule; fixtures are broadcast only when their measured size allows it.
+    The names a post holds are found first, so the join is on (hour, team): a post
+    meets fixtures of its own hour and teams only, and a post without a name goes
+    before the shuffle. A post that names both teams of a fixture is kept at the
+    first of them. The distinct team names of all fixtures are read by the driver
+    and held by each task; they grow with the teams, not with posts or fixtures.
     """
-    windows = with_windows(fixtures).select(
-        "fixture_id", "terms", "_from", "_to", F.explode("_bucket").alias("_bucket")
-    )
-    keyed = posts.withColumn("_bucket", F.floor(F.unix_seconds("created_utc") / BUCKET_SECONDS))
-    joined = keyed.join(windows, "_bucket").filter(
-        (F.col("created_utc") >= F.col("_from")) & (F.col("created_utc") <= F.col("_to"))
-    )
-    low = F.lower(F.coalesce("message", F.lit("")))
-    named = F.exists("terms", lambda t: F.contains(F.col("_low"), F.lower(t)))
-    return joined.withColumn("_low", low).filter(named).drop("_bucket", "_from", "_to", "_low")
+    windows = with_windows(fixtures).withColumn("_names", F.array_distinct(F.transform("terms", F.lower))).select(
+        "fixture_id", "terms", "_names", "_from", "_to", F.explode("_bucket").alias("_bucket")
+    ).withColumn("_team", F.explode("_names"))
+    names = sorted(r["_team"] for r in windows.select("_team").distinct().collect())
+    named = with_named_teams(posts, names).filter(F.size("_said") > 0)
+    keyed = named.withColumns({
+        "_bucket": F.floor(F.unix_seconds("created_utc") / BUCKET_SECONDS), "_team": F.explode("_said"),
+    })
+    inside = (F.col("created_utc") >= F.col("_from")) & (F.col("created_utc") <= F.col("_to"))
+    first = F.get(F.array_intersect("_names", "_said"), F.lit(0)) == F.col("_team")
+    return keyed.join(windows, ["_bucket", "_team"]).filter(inside & first).select(*posts.columns, "fixture_id", "terms")

@@ -1,14 +1,17 @@
-"""TF-IDF features and linear scores as joins, and the lexicon/model blend.
+"""TF-IDF features and linear scores from tables, and the lexicon/model blend.
 
-This is the form for coefficients that come as tables. Models fitted by
-``plans.training`` score through their own ML pipeline, row by row, without a
-shuffle; the two agree to rounding.
+This is the form for vocabularies and coefficients that come as tables. They are
+bounded by the feature limit, so the tasks hold them: a document becomes one sparse
+vector inside its row, and nothing is shuffled. ``joined_scores`` is the same score
+by joins, for tables no task can hold.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,22 +56,67 @@ def fit_vocabulary(docs: DataFrame, grams: Column, documents: int | Column, max_
     return top.select("term", "df", (F.ln((n + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
 
 
-def tfidf(counts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """L2-normalised tf x idf per document; unknown terms ignored."""
-    document = Window.partitionBy(key)
-    raw = counts.join(vocabulary.select("term", "idf"), "term").withColumn("_v", F.col("tf") * F.col("idf"))
-    return raw.select(key, "term", (F.col("_v") / F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(document))).alias("value"))
+def _constant(values: list, of: str) -> Column:
+    """A list as one literal array, folded once while planning."""
+    return F.from_json(F.lit(json.dumps(values)), f"ARRAY<{of}>")
+
+
+def sparse_features(docs: DataFrame, key: str, grams: Column, terms: list[str], idf: list[float]) -> DataFrame:
+    """(key, _at, _values, _norm): places in ``terms`` in ascending order, tf x idf, and its length.
+
+    One row per document, also without a known term (empty arrays, length 0) or text.
+    """
+    model = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_counts")
+    no_terms = F.array().cast("array<string>")
+    counted = model.transform(docs.select(key, F.coalesce(grams, no_terms).alias("_grams")))
+    sparse = counted.select(key, F.unwrap_udt("_counts").alias("_c")).select(key, "_c.indices", "_c.values")
+    scale = _constant(idf, "DOUBLE")
+    valued = sparse.select(
+        key, F.col("indices").alias("_at"), F.zip_with("indices", "values", lambda i, tf: tf * F.get(scale, i)).alias("_values")
+    )
+    return valued.withColumn("_norm", F.sqrt(F.aggregate("_values", F.lit(0.0), lambda total, x: total + x * x)))
+
+
+def tfidf(docs: DataFrame, key: str, grams: Column, vocabulary: DataFrame) -> DataFrame:
+    """(key, term, value): L2-normalised tf x idf per document; unknown terms ignored."""
+    known = vocabulary.select("term", "idf").orderBy("term").collect()
+    if not known:
+        return docs.select(key, F.lit("").alias("term"), F.lit(0.0).alias("value")).limit(0)
+    terms = [r["term"] for r in known]
+    names = _constant(terms, "STRING")
+    features = sparse_features(docs, key, grams, terms, [r["idf"] for r in known])
+    pairs = F.zip_with("_at", "_values", lambda i, x: F.struct(F.get(names, i).alias("term"), (x / F.col("_norm")).alias("value")))
+    return features.select(key, F.explode(pairs).alias("_p")).select(key, "_p.term", "_p.value")
+
+
+def _products(weights: Column) -> Column:
+    return F.zip_with("_at", "_values", lambda at, x: x * F.get(weights, at))
 
 
 def linear_scores(
-    docs: DataFrame, counts: DataFrame, key: str, model: DataFrame, classes: Sequence[str], intercept: Sequence[float]
+    docs: DataFrame, key: str, grams: Column, model: DataFrame, classes: Sequence[str], intercept: Sequence[float]
 ) -> DataFrame:
     """Class scores per document: dot product over norm, plus intercept.
 
-    ``model`` is (term, idf, weights array in class order). The norm and every
-    dot product come from one aggregate; documents without a known term keep
-    the intercept alone.
+    ``model`` is (term, idf, weights array in class order). Documents without a
+    known term keep the intercept alone.
     """
+    known = model.select("term", "idf", "weights").orderBy("term").collect()
+    if not known:
+        return docs.select(key, *[F.lit(float(b)).alias(f"score_{c}") for c, b in zip(classes, intercept)])
+    features = sparse_features(docs, key, grams, [r["term"] for r in known], [r["idf"] for r in known])
+    scores = []
+    for i, (c, b) in enumerate(zip(classes, intercept)):
+        weights = _constant([r["weights"][i] for r in known], "DOUBLE")
+        dot = F.aggregate(_products(weights), F.lit(0.0), lambda total, x: total + x)
+        scores.append((F.when(F.col("_norm") > 0, dot / F.col("_norm")).otherwise(0.0) + float(b)).alias(f"score_{c}"))
+    return features.select(key, *scores)
+
+
+def joined_scores(
+    docs: DataFrame, counts: DataFrame, key: str, model: DataFrame, classes: Sequence[str], intercept: Sequence[float]
+) -> DataFrame:
+    """``linear_scores`` of counted (key, term, tf) rows by a join and one aggregate."""
     value = F.col("tf") * F.col("idf")
     sums = (
         counts.join(model, "term")

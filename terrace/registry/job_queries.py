@@ -98,7 +98,7 @@ def trained_parity(spark, sf):
     docs = w.documents(spark, sf)
     counts = textmodel.gram_counts(docs, "doc_id", training.grams(model.analyzer, F.col("text")), table)
     joined = textmodel.with_probabilities(
-        textmodel.linear_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes
+        textmodel.joined_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes
     )
     columns = [f"prob_{c}" for c in model.classes]
     gap = textmodel.parity_gap(training.score(model, docs), joined, "doc_id", columns)

@@ -14,7 +14,6 @@ from terrace.registry.base import (
     EMO_SUM, PER_FIXTURE, VIEWS, WORDS, dominant_sql, q6, query, rounded, s6, term_sum,
 )
 from terrace.schemas import EMOTION_COLUMNS, EMOTIONS
-from terrace.session import cut_lineage
 
 FEATURES = TASKS["emotion"][1]
 CLASSES = ["anger", "despair", "joy", "panic", "surprise"]
@@ -64,8 +63,8 @@ def _docs(spark, sf):
     return w.documents(spark, sf).select("doc_id", "text")
 
 
-def _counts(spark, sf, known=None):
-    return textmodel.gram_counts(_docs(spark, sf), "doc_id", word_grams(F.col("text")), known)
+def _counts(spark, sf):
+    return textmodel.gram_counts(_docs(spark, sf), "doc_id", word_grams(F.col("text")))
 
 
 def _vocabulary(spark, sf):
@@ -74,18 +73,15 @@ def _vocabulary(spark, sf):
 
 
 def _model(spark, sf):
-    """Fitted vocabulary with given weights, materialised: it is used twice per scoring."""
+    """Fitted vocabulary with given weights."""
     weights = F.array(*[
         F.pmod(F.char_length("term") * (i + 3) + F.ascii("term"), F.lit(7 + i)) / 5.0 - 0.5 for i in range(len(CLASSES))
     ])
-    return cut_lineage(_vocabulary(spark, sf).select("term", "idf", weights.alias("weights")))
+    return _vocabulary(spark, sf).select("term", "idf", weights.alias("weights"))
 
 
 def _scores(spark, sf):
-    model = _model(spark, sf)
-    scores = textmodel.linear_scores(
-        w.table(spark, sf, "documents"), _counts(spark, sf, model), "doc_id", model, CLASSES, INTERCEPT
-    )
+    scores = textmodel.linear_scores(_docs(spark, sf), "doc_id", word_grams(F.col("text")), _model(spark, sf), CLASSES, INTERCEPT)
     return textmodel.with_probabilities(scores, CLASSES)
 
 
@@ -117,8 +113,8 @@ def vocabulary(spark, sf):
 
 @query("tfidf", f"SELECT doc_id, term, {q6('value')} FROM feats")
 def tfidf(spark, sf):
-    vocabulary = cut_lineage(_vocabulary(spark, sf))
-    return rounded(textmodel.tfidf(_counts(spark, sf, vocabulary), "doc_id", vocabulary), "value")
+    features = textmodel.tfidf(_docs(spark, sf), "doc_id", word_grams(F.col("text")), _vocabulary(spark, sf))
+    return rounded(features, "value")
 
 
 @query("linear_scores", f"SELECT doc_id, {q6(*[f'prob_{c}' for c in CLASSES])}, prediction FROM soft")

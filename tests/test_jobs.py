@@ -296,13 +296,38 @@ def test_char_model_agrees_with_its_join_form(spark, rows):
     terms, intercepts = training.model_table(model)
     table = spark.createDataFrame(terms, "term STRING, idf DOUBLE, weights ARRAY<DOUBLE>")
     counts = textmodel.gram_counts(docs, "doc_id", training.grams("char", F.col("text")), table)
-    joined = textmodel.with_probabilities(textmodel.linear_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes)
+    joined = textmodel.with_probabilities(textmodel.joined_scores(docs, counts, "doc_id", table, model.classes, intercepts), model.classes)
     scored = training.score(model, docs)
     assert scored.filter("prediction <> y").count() == 0
     assert textmodel.parity_gap(scored, joined, "doc_id", ["prob_anger", "prob_joy"]).first().max_gap < 1e-5
     assert {"trained_char_scores", "char_cross_validation", "char_evaluation_record"} <= set(contract.queries())
 
 
+def test_sparse_features_against_brute_force(rows):
+    texts = ["red red blue", "blue green", "", None, "unknown words only", "green " * 300 + "red"]
+    docs = rows(list(enumerate(texts)), "id INT, text STRING")
+    idf, weights = {"blue": 1.5, "green": 1.1, "red": 2.25}, {"blue": [1.0, -1.0], "green": [0.5, 0.0], "red": [-2.0, 3.0]}
+    model = rows([(t, x, weights[t]) for t, x in idf.items()], "term STRING, idf DOUBLE, weights ARRAY<DOUBLE>")
+    words = F.split("text", " ")
+    values = {}
+    for i, text in enumerate(texts):
+        raw = {t: text.split(" ").count(t) * x for t, x in idf.items() if text and t in text.split(" ")}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        values.update({(i, t): v / norm for t, v in raw.items()})
+    got = {(r.id, r.term): r.value for r in textmodel.tfidf(docs, "id", words, model).collect()}
+    assert got.keys() == values.keys() and all(abs(got[k] - values[k]) < 1e-12 for k in got)
+
+    scored = textmodel.linear_scores(docs, "id", words, model, ["a", "b"], [0.25, -0.5])
+    for r in scored.collect():
+        dots = [sum(v * weights[t][c] for (i, t), v in values.items() if i == r.id) for c in range(2)]
+        assert abs(r.score_a - 0.25 - dots[0]) < 1e-12 and abs(r.score_b + 0.5 - dots[1]) < 1e-12
+    assert "Exchange" not in plan_of(scored) and scored.count() == len(texts)
+    joined = textmodel.joined_scores(docs, textmodel.gram_counts(docs, "id", words, model), "id", model, ["a", "b"], [0.25, -0.5])
+    assert textmodel.parity_gap(scored, joined, "id", ["score_a", "score_b"]).first().max_gap < 1e-12
+    assert textmodel.tfidf(docs, "id", words, model.limit(0)).count() == 0
+    assert {(r.score_a, r.score_b) for r in textmodel.linear_scores(docs, "id", words, model.limit(0), ["a", "b"], [0.25, -0.5]).collect()} == {(0.25, -0.5)}
+
+
 def test_labelled_text_keeps_documents_without_language(spark, rows, tmp_path):
     rows([(1, "a", "en"), (2, "b", None), (3, "c", "it")], "doc_id LONG, text STRING, lang STRING").write.parquet(f"{tmp_path}/documents.parquet")
     rows([(1, 0, 0), (2, 1, 0), (3, 1, 1)], "doc_id LONG, quality INT, toxic INT").write.parquet(f"{tmp_path}/labels.parquet")

@@ -4,10 +4,12 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from terrace import workload as w
 from terrace.operators import attribution, cleaning, containment, market, minutes
 from terrace.operators.backfill import match_to_fixtures
 from terrace.plans.backfill import backfill
 
+SF = "/root/testdata/sf0.001"
 START = datetime(2031, 3, 4, 18)
 RAW = "fixture_id STRING, created_utc TIMESTAMP, message STRING, source STRING, author STRING, ingest_seq BIGINT, terms ARRAY<STRING>"
 TERMS = ["Norhaven", "Velmora"]
@@ -121,6 +123,35 @@ def test_containment_join_against_brute_force(rows):
     assert got == {(i, t) for i, x in enumerate(texts) for t in terms if t in x}
 
 
+def test_containment_of_no_text_and_no_terms(rows):
+    df = rows([(1, None), (2, ""), (3, "a bridge 🎺🎺 afar")], "id INT, text STRING")
+    table = rows([("",), ("🎺🎺 a",), ("🎺🎺 a",), ("far away",)], "term STRING")
+    assert [(r.id, r.term) for r in containment.containment_join(df, "id", "text", table, "term").collect()] == [(3, "🎺🎺 a")] * 2
+    assert containment.containment_join(df, "id", "text", table.limit(0), "term").count() == 0
+    assert containment.containment_join(df.limit(0), "id", "text", table, "term").count() == 0
+
+
+def test_few_runs_pass_the_filter(spark, rows):
+    docs = w.documents(spark, SF).select("doc_id", F.lower("text").alias("low"))
+    terms = rows([(t,) for words in w.LEXICON.values() for t in words], "term STRING").distinct()
+    anchored = containment.anchored_terms(docs, "low", terms, "term").cache()
+    hits = containment.anchor_hits(docs, "doc_id", "low", anchored).count()
+    pairs = containment.containment_join(docs, "doc_id", "low", terms, "term").count()
+    assert anchored.count() == terms.count() and pairs > 0
+    assert hits < 2 * pairs
+
+
+def test_a_post_meets_only_fixtures_of_its_hour_and_teams(rows):
+    names = "fixture_id STRING, home_team STRING, away_team STRING, kickoff_utc TIMESTAMP"
+    fixtures = rows([("F1", "Norhaven", "Velmora", START), ("F2", "VELMORA", "Velmora", START), ("F3", "Orsk", "Brenna", START), ("F4", None, "Alda", START)], names)
+    texts = ["velmora and norhaven", "Velmora only", "nobody", None, "brenna, ORSK, alda"]
+    df = rows([(START, t, i) for i, t in enumerate(texts)], "created_utc TIMESTAMP, message STRING, ingest_seq BIGINT")
+    got = match_to_fixtures(df, fixtures)
+    assert got.columns == ["created_utc", "message", "ingest_seq", "fixture_id", "terms"]
+    assert sorted((r.ingest_seq, r.fixture_id) for r in got.collect()) == [(0, "F1"), (0, "F2"), (1, "F1"), (1, "F2"), (4, "F3"), (4, "F4")]
+    assert match_to_fixtures(df, fixtures.limit(0)).count() == 0 and match_to_fixtures(df.limit(0), fixtures).count() == 0
+
+
 def test_market_event_first_in_feed_order(rows):
     fixtures = rows([("F1", "Norhaven", "Velmora"), ("F2", "Alda", "Orsk"), ("F3", "", "Orsk")], "fixture_id STRING, home_team STRING, away_team STRING")
     events = rows([
