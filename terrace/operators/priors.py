@@ -42,14 +42,9 @@ def team_priors(schedule: DataFrame, team_stats: DataFrame | None = None, update
         F.when(matches > 0, xg / matches).otherwise(xg).alias("xg_for_per_match"),
         F.col("possession").try_cast("double").alias("possession_pct"),
     )
-    if played.isEmpty():
-        none = F.lit(None)
-        return extra.select(
-            "team", none.cast("bigint").alias("matches_played"), none.cast("double").alias("goals_for_per_match"),
-            none.cast("double").alias("goals_against_per_match"), "xg_for_per_match", "possession_pct",
-            stamp.alias("updated_at"),
-        )
-    return played.join(extra, "team", "left").withColumn("updated_at", stamp)
+    any_match = rows.limit(1).agg(F.count(F.lit(1))).scalar() > 0
+    table = played.join(extra, "team", "full").filter(F.col("matches_played").isNotNull() | ~any_match)
+    return table.withColumn("updated_at", stamp)
 
 
 def fixture_prior(fixtures: DataFrame, priors: DataFrame) -> DataFrame:

@@ -111,6 +111,16 @@ def old_schema_backfill(spark, sf):
     )
 
 
+@query("old_schema_rows", f"""SELECT fixture_id AS match_id, CAST(minute AS INTEGER) AS minute, {q6('crowd_panic_score', 'rolling_xg')}, dominant_emotion,
+    flagged, 'unknown' AS situation, CAST(0 AS DOUBLE) AS situation_confidence FROM cls""")
+def old_schema_rows(spark, sf):
+    """The same, row by row."""
+    old = _archive_rows(spark, sf).drop("situation", "situation_confidence")
+    return rounded(archive.backfill_columns(old), "crowd_panic_score", "rolling_xg").select(
+        "match_id", "minute", "crowd_panic_score", "rolling_xg", "dominant_emotion", "flagged", "situation", "situation_confidence"
+    )
+
+
 def _table_dir(spark, name: str) -> str:
     """A fresh folder under the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

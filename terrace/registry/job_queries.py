@@ -15,7 +15,7 @@ from terrace.operators.minutes import posts_to_chat
 from terrace.plans import backfill, ingest, nightly, panel, training
 from terrace.registry.base import AS_OF, SQL, THRESHOLD, classified, query
 from terrace.registry.context_queries import fixture_markets
-from terrace.registry.reaction_queries import heartbeats, listed_sources
+from terrace.registry.reaction_queries import BLANKS, heartbeats, listed_sources
 from terrace.session import shared_dir
 from terrace.sources import tables
 
@@ -24,15 +24,21 @@ def _base(spark, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("ingest_job", """SELECT fixture_id AS match_id, greatest(coalesce(max(c.minute), 0), coalesce(max(m.minute), 0)) AS last_minute,
-    count(DISTINCT c.ingest_seq) AS reactions FROM fx LEFT JOIN (
-      SELECT cleaned.*, minute FROM cleaned JOIN timed USING (ingest_seq)) c USING (fixture_id) LEFT JOIN mev m USING (fixture_id) GROUP BY 1""")
-def ingest_job(spark, sf):
-    """Clean, tag, score, classify and store every fixture; the stored tables are read back."""
+def _ingested(spark, sf) -> str:
+    """Clean, tag, score, classify and store every fixture; the folder of the tables."""
     base = _base(spark, "ingest")
     fixtures = w.fixtures(spark, sf)
     captured = ingest.capture(w.reactions(spark, sf), w.commentary(spark, sf), fixtures, THRESHOLD, w.LEXICON)
     ingest.store(captured, fixtures, base, F.lit(AS_OF).cast("timestamp"))
+    return base
+
+
+@query("ingest_job", """SELECT fixture_id AS match_id, greatest(coalesce(max(c.minute), 0), coalesce(max(m.minute), 0)) AS last_minute,
+    count(DISTINCT c.ingest_seq) AS reactions FROM fx LEFT JOIN (
+      SELECT cleaned.*, minute FROM cleaned JOIN timed USING (ingest_seq)) c USING (fixture_id) LEFT JOIN mev m USING (fixture_id) GROUP BY 1""")
+def ingest_job(spark, sf):
+    """The last minute and the reactions of every fixture, from the stored tables."""
+    base = _ingested(spark, sf)
     archived = tables.load(spark, f"{base}/match_archive", tables.MATCH_ARCHIVE).groupBy("match_id").agg(
         F.max("minute").cast("bigint").alias("last_minute")
     )
@@ -40,6 +46,29 @@ def ingest_job(spark, sf):
     return archived.join(beats, "match_id")
 
 
+@query("ingest_reactions", f"""SELECT fixture_id AS match_id, substr(sha256(trim(d.text, {BLANKS})), 1, 24) AS message_hash, t.minute, t.source, t.team, t.author
+    FROM (SELECT ingest_seq FROM cleaned) JOIN tagged t USING (ingest_seq) JOIN documents d ON d.doc_id = t.doc_id
+    QUALIFY row_number() OVER (PARTITION BY fixture_id, trim(d.text, {BLANKS}) ORDER BY ingest_seq) = 1""")
+def ingest_reactions(spark, sf):
+    """The reactions an ingest stored, row by row."""
+    stored = tables.load(spark, f"{_ingested(spark, sf)}/reactions", tables.REACTIONS)
+    return stored.select("match_id", "message_hash", "minute", "source", "team", "author")
+
+
+@query("ingest_events", "SELECT fixture_id, seq, minute, team, event_type, xg_value FROM mev")
+def ingest_events(spark, sf):
+    """The events of an ingest's run table."""
+    return spark.read.parquet(f"{_ingested(spark, sf)}/match_events").select("fixture_id", "seq", "minute", "team", "event_type", "xg_value")
+
+
+@query("ingest_results", """SELECT fixture_id AS match_id, home_team, away_team, score AS final_score, state FROM fx WHERE fixture_id IN (
+    SELECT fixture_id FROM mev UNION SELECT t.fixture_id FROM timed t JOIN cleaned USING (ingest_seq))""")
+def ingest_results(spark, sf):
+    """The result rows of an ingest."""
+    stored = tables.load(spark, f"{_ingested(spark, sf)}/match_results", tables.MATCH_RESULTS)
+    return stored.select("match_id", "home_team", "away_team", "final_score", "state")
+
+
 @query("nightly_job", "SELECT 'fitted' AS status, (SELECT count(DISTINCT fixture_id) FROM truth) AS matches, CAST(threshold AS DOUBLE) AS threshold, 1::BIGINT AS records FROM grid ORDER BY grid.log_loss, threshold LIMIT 1")
 def nightly_job(spark, sf):
     """Archive the scored state, re-fit on it and read the logged record back."""

@@ -207,6 +207,15 @@ def json_rows(spark, sf):
     return tables.json_rows(df)
 
 
+@query("labelled_rows", """SELECT doc_id, lang, text, CASE quality WHEN 0 THEN 'low' WHEN 1 THEN 'good' END AS y
+    FROM documents JOIN labels USING (doc_id)""")
+def labelled_rows(spark, sf):
+    """The labelled texts as training reads them: whole, every language, one scan of each table."""
+    texts = w.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    rows = w.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")).join(texts, "doc_id")
+    return tables.labelled_text([(rows, None)], {0: "low", 1: "good"}).drop("label")
+
+
 @query("labelled_text", """SELECT doc_id, lang, CASE quality WHEN 0 THEN 'low' WHEN 1 THEN 'good' END AS y
     FROM documents JOIN labels USING (doc_id)""")
 def labelled_text(spark, sf):

@@ -360,7 +360,8 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-CHECKED = ["flagged_minutes", "situations", "clean_reactions", "team_tags", "mood_verdicts", "fixture_events", "tfidf", "stream_minutes"]
+CHECKED = ["flagged_minutes", "situations", "clean_reactions", "team_tags", "mood_verdicts", "fixture_events", "tfidf", "stream_minutes", "linear_scores", "emotion_intensities_table",
+           "term_semi_join", "backfill_matches", "labelled_rows", "old_schema_rows", "ingest_reactions", "ingest_results"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
