@@ -283,8 +283,9 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, calibration_docs: int = CALIB
     number = {name: i for i, name in enumerate(langs)}
     gram = np.frombuffer("".join(rows["gram"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
     lang = np.array([number[x] for x in rows["lang"].to_pylist()], np.uint32)
-    counts = rows["n"].to_numpy()
+    counts = rows["n"].to_numpy().copy()
     del rows
+    pa.default_memory_pool().release_unused()
     model = build(langs, lang, gram, counts)
     model.limit = np.full(len(langs), np.inf)
 

@@ -261,14 +261,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", metadata: li
                 yield table_of({"doc_id": doc, "text_view": list(text), "meta_view": list(meta)}, FEATURES)
 
     source = _source(docs, metadata).join(F.broadcast(wanted), "doc_id")
-    rows = source.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>").toArrow().sort_by("doc_id")
+    rows = source.mapInArrow(run, "doc_id long, text_view array<float>, meta_view array<float>").toArrow()
     doc = rows["doc_id"].to_numpy()
-    text = rows["text_view"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
-    meta = rows["meta_view"].combine_chunks().flatten().to_numpy().reshape(len(doc), -1)
+    known = np.array([d in picked["labelled"] for d in doc], bool)
+    order = np.argsort(doc, kind="stable")
+    # each row goes straight to its place among the labelled or the pool rows, in order of doc_id
+    slot = np.empty(len(doc), int)
+    slot[order] = np.where(known[order], np.cumsum(known[order]), np.cumsum(~known[order])) - 1
+    y = np.empty(int(known.sum()))
+    y[slot[known]] = [picked["labelled"][d] for d in doc[known]]
+    text, meta = (_placed(rows[name], known, slot) for name in ("text_view", "meta_view"))
     del rows
-    place = np.array([d in picked["labelled"] for d in doc])
-    y = np.array([picked["labelled"].get(d, -1) for d in doc], float)
-    return cotrain(text[place], meta[place], y[place], text[~place], meta[~place], metadata)
+    pa.default_memory_pool().release_unused()
+    return cotrain(text[True], meta[True], y, text[False], meta[False], metadata)
+
+
+def _placed(views: pa.ChunkedArray, known: np.ndarray, slot: np.ndarray) -> dict[bool, np.ndarray]:
+    """The rows of a view as two matrices, the labelled ones and the others, filled chunk by chunk."""
+    width = len(views[0]) if len(views) else 0
+    out = {side: np.empty((int((known == side).sum()), width), np.float32) for side in (True, False)}
+    start = 0
+    for chunk in views.chunks:
+        part = chunk.flatten().to_numpy().reshape(len(chunk), width)
+        here = slice(start, start + len(chunk))
+        for side, matrix in out.items():
+            rows = known[here] == side
+            matrix[slot[here][rows]] = part[rows]
+        start += len(chunk)
+    return out
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
